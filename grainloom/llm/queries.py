@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from grainloom.llm import encode_corpus as p6
+from grainloom.llm import text_stats as p2
 from grainloom.llm import token_budget as p5
 from grainloom.llm.common import read_table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _p2_stats(spark: SparkSession, d: str, code: bool = True) -> DataFrame:
+    clean = t(spark, d, "clean", "doc_id", "subset", "text")
+    if not code:
+        clean = clean.where("subset IS NULL OR lower(trim(subset)) <> 'code'")
+    return p2.text_statistics(p2.text_counts(clean, t(spark, d, "common_words")))
+
+
 def _p5_audit(spark: SparkSession, d: str) -> DataFrame:
     clean = t(spark, d, "clean", "doc_id", "text")
     docs_idx = t(spark, d, "docs_idx", "subset", "part", "doc_id", "start_off", "end_off", "tokens")
@@ -27,6 +35,8 @@ def _p5_slices(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": lambda s, d: p2.not_prose(_p2_stats(s, d, code=False)),
+    "p2_text_statistics": _p2_stats,
     "p5_found": lambda s, d: p5.wrong_totals(_p5_audit(s, d)),
     "p5_part_audit": _p5_audit,
     "p5_slice_totals": _p5_slices,
