@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from grainloom.llm import encode_corpus as p6
+from grainloom.llm import generated_code as p4
 from grainloom.llm import leak_tiling as p1
 from grainloom.llm import text_stats as p2
 from grainloom.llm import token_budget as p5
@@ -39,6 +40,8 @@ QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: p1.leaked_items(t(s, d, "clean", "doc_id", "text"), t(s, d, "eval_sets", "item_id", "text"), t(s, d, "decontam_exclude", "ngram")),
     "p2_found": lambda s, d: p2.not_prose(_p2_stats(s, d, code=False)),
     "p2_text_statistics": _p2_stats,
+    "p4_found": lambda s, d: p4.not_hand_written(t(s, d, "code", "file_id", "path", "code")).select("file_id"),
+    "p4_file_kinds": lambda s, d: p4.not_hand_written(t(s, d, "code", "file_id", "path", "code")),
     "p5_found": lambda s, d: p5.wrong_totals(_p5_audit(s, d)),
     "p5_part_audit": _p5_audit,
     "p5_slice_totals": _p5_slices,
