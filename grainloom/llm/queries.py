@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grainloom.llm import encode_corpus as p6
 from grainloom.llm import generated_code as p4
+from grainloom.llm import hidden_event_sentences as p8
 from grainloom.llm import leak_tiling as p1
 from grainloom.llm import text_stats as p2
 from grainloom.llm import token_budget as p5
@@ -46,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "p5_part_audit": _p5_audit,
     "p5_slice_totals": _p5_slices,
     "p6_ids": lambda s, d: p6.encode_corpus(t(s, d, "documents", "doc_id", "text")),
+    "p8_found": lambda s, d: p8.sentence_units(t(s, d, "documents", "doc_id", "text", "source")),
 }
 
 ORACLE: dict[str, str] = {
