@@ -120,8 +120,8 @@ def weights(tokens: list[str]) -> np.ndarray:
     return 1.0 - 0.5 * (_HASH(tokens) & np.uint64(1)).astype(np.float64)
 
 
-def seeds(tokens: list[str], stops: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of the shortest run of weight `SEED` from each unit on.
+def seeds(tokens: list[str], stops: np.ndarray | None = None, cum: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of the shortest run of weight `SEED` from each unit on; ``cum`` gets the running weights.
 
     ``stops`` has, for each unit, the end of the text it belongs to (one text by default); no seed runs over it.
     """
@@ -129,7 +129,7 @@ def seeds(tokens: list[str], stops: np.ndarray | None = None) -> tuple[np.ndarra
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     value = _HASH(tokens)
-    cum = np.zeros(n + 1)
+    cum = np.zeros(n + 1) if cum is None else cum
     np.cumsum(1.0 - 0.5 * (value & np.uint64(1)), out=cum[1:])
     end = np.searchsorted(cum, cum[:-1] + (SEED - 1e-6))
     start = np.flatnonzero(end <= (n if stops is None else stops))
@@ -149,13 +149,13 @@ def document_windows(texts: list[str | None], bitmap: np.ndarray) -> list[tuple[
     sizes = np.array([len(x) for x in split], dtype=np.int64)
     tokens = list(chain.from_iterable(split))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    start, end, hashes = seeds(tokens, np.repeat(bounds[1:], sizes))
+    cum = np.zeros(len(tokens) + 1)
+    start, end, hashes = seeds(tokens, np.repeat(bounds[1:], sizes), cum)
     slot = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
     hit = np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
     if not len(hit):
         return []
     start, end = start[hit].tolist(), end[hit].tolist()
-    cum = np.concatenate([[0.0], np.cumsum(weights(tokens))])
     owner = (np.searchsorted(bounds, start, side="right") - 1).tolist()
     out: list[tuple[int, str]] = []
     spans: list[list[int]] = []
@@ -277,14 +277,18 @@ class Passage:
         return self.span >= PASSAGE - 1e-6 and self.matched >= MATCHED * self.span and self.specific >= SPECIFIC
 
 
+def least_tile(item: list[str]) -> int:
+    """Units of the shortest tile: two words, or three characters of a text that is mostly Han."""
+    return 2 if sum(len(x) > 1 for x in item) > 0.5 * len(item) else 3
+
+
 def best_passage(item: list[str], window: list[str], generic: np.ndarray) -> Passage:
     """The passage of the item that the window holds with most matched words. ``generic`` flags units in fragments."""
     names: dict[str, int] = {}
     p_ids = [names.setdefault(w, len(names) + 1) for w in item]
     t_ids = [names.setdefault(w, len(names) + 1) for w in window]
     w = weights(item)
-    least = 2 if w.mean() > 0.75 else 3
-    found = sorted(tiles(p_ids, t_ids, least))
+    found = sorted(tiles(p_ids, t_ids, least_tile(item)))
     cum = np.concatenate([[0.0], np.cumsum(w, dtype=np.float64)])
     own = np.concatenate([[0.0], np.cumsum(w * ~generic, dtype=np.float64)])
     best: list[tuple[float, float, int, int, tuple[int, ...]]] = []  # matched, specific, first unit, tile before, slips
@@ -322,17 +326,38 @@ def best_passage(item: list[str], window: list[str], generic: np.ndarray) -> Pas
     return Passage(span, matched, specific, tuple(sorted(used)))
 
 
+#: Words that tiles must cover in a passage; two more may match by slips of the pen.
+LEAST_HOLD = MATCHED * PASSAGE - 2.0
+
+
 def _may_hold(upper: np.ndarray, lower: np.ndarray) -> bool:
-    """Whether some stretch may hold a passage of one item that another does not explain better.
+    """Whether some stretch may hold a passage of one item that no rival explains better.
 
-    ``upper`` are the words that can match the one, ``lower`` those that surely match the other, unit by unit.
+    ``upper`` are the words that can match the item, the rows of ``lower`` those that surely match a rival, unit by unit.
     """
     total = np.concatenate([[0.0], np.cumsum(upper)])
-    lead = np.concatenate([[0.0], np.cumsum(upper - lower)])
-    lowest = np.minimum.accumulate(lead)
-    last = np.searchsorted(total, total - (MATCHED * PASSAGE - 2.0) + 1e-6, side="right") - 1
+    last = np.searchsorted(total, total - LEAST_HOLD + 1e-6, side="right") - 1
     ends = np.flatnonzero(last >= 0)
-    return bool(np.any(lead[ends] - lowest[last[ends]] >= -0.4))
+    if not len(ends):
+        return False
+    lead = np.zeros((len(lower), len(total)))
+    np.cumsum(upper - lower, axis=1, out=lead[:, 1:])
+    lowest = np.minimum.accumulate(lead, axis=1)
+    return bool(np.all(np.any(lead[:, ends] - lowest[:, last[ends]] >= -0.4, axis=1)))
+
+
+def _champions(sure: list[np.ndarray], most: int = 16) -> list[int]:
+    """The items that own the longest surely matched run at some unit of the window."""
+    longest = np.zeros(len(sure[0]))
+    owner = np.full(len(sure[0]), -1)
+    for i, mask in enumerate(sure):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask > 0, [0]])))
+        for a, b in edges.reshape(-1, 2):
+            run = mask[a:b].sum()
+            better = longest[a:b] < run
+            longest[a:b][better], owner[a:b][better] = run, i
+    won = np.bincount(owner[owner >= 0], minlength=len(sure))
+    return [int(i) for i in np.argsort(-won, kind="stable")[:most] if won[i]]
 
 
 def leaking(window: list[str], items: list[list[str]], generic: list[np.ndarray], item_seeds: list[set[int]]) -> list[bool]:
@@ -342,6 +367,8 @@ def leaking(window: list[str], items: list[list[str]], generic: list[np.ndarray]
     items made from one template agree in most words of a stretch that was copied from one of them only. Items that
     another must beat everywhere, by the seeds it surely shares, are not tiled.
     """
+    if not items:
+        return []
     w = weights(window)
     start, end, hashes = seeds(window)
     hashes = hashes.view(np.int64).tolist()
@@ -351,19 +378,28 @@ def leaking(window: list[str], items: list[list[str]], generic: list[np.ndarray]
         hit = [i for i, h in enumerate(hashes) if h in own]
         step = np.bincount(start[hit], minlength=size) - np.bincount(end[hit], minlength=size)
         sure.append((np.cumsum(step[:-1]) > 0) * w)
-    rivals = sorted(range(len(items)), key=lambda i: -sure[i].sum())[:6]
-    pairs = list(zip(window, window[1:]))
+    rivals = _champions(sure)
+    strongest = np.array([sure[j] for j in rivals])
+    grams = {n: list(zip(*(window[k:] for k in range(n)))) for n in (2, 3)}
     passages: dict[int, np.ndarray] = {}
     for i, item in enumerate(items):
-        # a tile has two units at least, so a unit can match only inside a pair that the item has too
-        known = set(zip(item, item[1:]))
-        both = np.fromiter((x in known for x in pairs), dtype=bool, count=len(pairs))
-        upper = w * (np.append(both, False) | np.append(False, both))
-        if not all(_may_hold(upper, sure[j]) for j in rivals if j != i):
+        # a unit can match only inside a tile, that is inside a run of the least length that the item has too
+        n = least_tile(item)
+        known = set(zip(*(item[k:] for k in range(n))))
+        shared = [k for k, g in enumerate(grams[n]) if g in known]
+        mask = np.zeros(size - 1, dtype=bool)
+        for k in range(n):
+            mask[np.asarray(shared, dtype=np.int64) + k] = True
+        upper = w * mask
+        others = strongest[[k for k, j in enumerate(rivals) if j != i]]
+        # a passage has no gap wider than what may be altered; outside its units, and a margin, there is nothing to tile
+        some = np.flatnonzero(mask)
+        runs = np.split(some, np.flatnonzero(np.diff(some) > ALTERED + 2) + 1)
+        runs = [(r[0], r[-1] + 1) for r in runs if len(r) and upper[r].sum() >= LEAST_HOLD]
+        runs = [(a, b) for a, b in runs if _may_hold(upper[a:b], others[:, a:b])]
+        if not runs:
             continue
-        # outside what the item can match, and a margin for slips, there is nothing to tile
-        some = np.flatnonzero(upper)
-        low, high = max(0, int(some[0]) - 2), min(len(window), int(some[-1]) + 3)
+        low, high = max(0, int(runs[0][0]) - 2), min(len(window), int(runs[-1][1]) + 2)
         p = best_passage(item, window[low:high], generic[i])
         at = np.asarray(p.units, dtype=np.int64) + low
         sure[i][at] = w[at]
