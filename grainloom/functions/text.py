@@ -1,0 +1,103 @@
+"""Text helpers as column expressions: words, lines, paragraphs, n-grams, units.
+
+The character classes are written so that the JVM's and RE2's regular expressions read them alike.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: White space as Python's ``str.isspace`` sees it, and Han characters (fixed values).
+SPACE_SET = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+HAN_SET = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
+SPACE, NOT_SPACE, HAN = f"[{SPACE_SET}]", f"[^{SPACE_SET}]", f"[{HAN_SET}]"
+
+#: A unit of weighted n-grams: a Han character, or a run of other characters.
+UNIT = f"{HAN}|[^{SPACE_SET}{HAN_SET}]+"
+
+
+def col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def words(text: Column | str) -> Column:
+    """The runs of other characters than white space."""
+    return F.filter(F.split(col(text), f"{SPACE}+"), lambda w: w != "")
+
+
+def strip(text: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(col(text), f"^{SPACE}+|{SPACE}+\\z", "")
+
+
+def full_lines(text: Column | str) -> Column:
+    """The lines that are not blank."""
+    return F.filter(F.split(col(text), "\n"), lambda x: F.regexp_replace(x, f"{SPACE}+", "") != "")
+
+
+def blocks(text: Column | str, separator: str) -> Column:
+    """The non-empty pieces between separators."""
+    return F.filter(F.split(col(text), separator), lambda x: x != "")
+
+
+def without_space(text: Column | str) -> Column:
+    return F.regexp_replace(col(text), f"{SPACE}+", "")
+
+
+def occurrences(text: Column | str, needle: str) -> Column:
+    """How often a fixed string occurs without overlap."""
+    return ((F.length(col(text)) - F.length(F.replace(col(text), F.lit(needle), F.lit("")))) / len(needle)).cast("bigint")
+
+
+@F.pandas_udf(StringType())
+def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Unicode compatibility form; pure ASCII passes through."""
+    for s in batches:
+        yield s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+def normalize(text: Column | str, compatibility: bool = True) -> Column:
+    """Compatibility form, lower case, and every run of other than letters and numbers one blank.
+
+    ``compatibility=False`` leaves the first step out; it is the only one that needs Python.
+    """
+    t = nfkc(col(text)) if compatibility else col(text)
+    return F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "))
+
+
+def word_windows(tokens: Column, n: int, sep: str = " ") -> Column:
+    """All runs of ``n`` tokens, joined; shorter lists give one run of everything."""
+    size = F.size(tokens)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), sep))
+    return runs
+
+
+def units(normalized: Column | str) -> Column:
+    """The units of a normalised text."""
+    return F.regexp_extract_all(col(normalized), F.lit(f"({UNIT})"), 1)
+
+
+def weighted_windows(unit_list: Column, weight: float = 13.0) -> Column:
+    """From each unit the shortest run that weighs at least ``weight``, a word one and a Han character half; joined by
+    blanks, in order. Starts without such a run give none.
+
+    Running weights are kept in halves, so that they stay whole numbers; a run's end is found by looking through the at
+    most ``2 * weight`` units after its start.
+    """
+    least = int(round(2 * weight))
+    half = F.transform(unit_list, lambda u: F.when(u.rlike(f"^{HAN}$"), 1).otherwise(2))
+    running = F.aggregate(half, F.array(F.lit(0)), lambda acc, h: F.concat(acc, F.array(F.element_at(acc, -1) + h)))
+    n = F.size(unit_list)
+
+    def window(i: Column) -> Column:
+        ends = F.filter(F.sequence(i + (least + 1) // 2, F.least(i + least, n)), lambda e: F.element_at(running, (e + 1).cast("int")) - F.element_at(running, (i + 1).cast("int")) >= least)
+        return F.when(F.size(ends) > 0, F.array_join(F.slice(unit_list, (i + 1).cast("int"), (F.element_at(ends, 1) - i).cast("int")), " "))
+
+    starts = F.when(n >= (least + 1) // 2, F.sequence(F.lit(0), n - (least + 1) // 2)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(starts, window), lambda w: w.isNotNull())
