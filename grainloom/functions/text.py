@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space as Python's ``str.isspace`` sees it, and Han characters (fixed values).
 SPACE_SET = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -71,11 +71,13 @@ def normalize(text: Column | str, compatibility: bool = True) -> Column:
     return F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "))
 
 
-def word_windows(tokens: Column, n: int, sep: str = " ") -> Column:
-    """All runs of ``n`` tokens, joined; shorter lists give one run of everything."""
+def word_windows(tokens: str, n: int, sep: str = " ") -> Column:
+    """All runs of ``n`` tokens, joined; shorter lists give one run of everything.
+
+    ``tokens`` names a column: an expression would be evaluated anew for every run.
+    """
     size = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), sep))
-    return runs
+    return F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(F.col(tokens), i, n), sep))
 
 
 def units(normalized: Column | str) -> Column:
@@ -83,21 +85,24 @@ def units(normalized: Column | str) -> Column:
     return F.regexp_extract_all(col(normalized), F.lit(f"({UNIT})"), 1)
 
 
-def weighted_windows(unit_list: Column, weight: float = 13.0) -> Column:
+def windows_of(unit_list: list[str], weight: float = 13.0) -> list[str]:
     """From each unit the shortest run that weighs at least ``weight``, a word one and a Han character half; joined by
-    blanks, in order. Starts without such a run give none.
-
-    Running weights are kept in halves, so that they stay whole numbers; a run's end is found by looking through the at
-    most ``2 * weight`` units after its start.
-    """
-    least = int(round(2 * weight))
-    half = F.transform(unit_list, lambda u: F.when(u.rlike(f"^{HAN}$"), 1).otherwise(2))
-    running = F.aggregate(half, F.array(F.lit(0)), lambda acc, h: F.concat(acc, F.array(F.element_at(acc, -1) + h)))
-    n = F.size(unit_list)
-
-    def window(i: Column) -> Column:
-        ends = F.filter(F.sequence(i + (least + 1) // 2, F.least(i + least, n)), lambda e: F.element_at(running, (e + 1).cast("int")) - F.element_at(running, (i + 1).cast("int")) >= least)
-        return F.when(F.size(ends) > 0, F.array_join(F.slice(unit_list, (i + 1).cast("int"), (F.element_at(ends, 1) - i).cast("int")), " "))
-
-    starts = F.when(n >= (least + 1) // 2, F.sequence(F.lit(0), n - (least + 1) // 2)).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, window), lambda w: w.isNotNull())
+    blanks, in order. Starts without such a run give none."""
+    half = [1 if len(u) == 1 and ("\u3400" <= u <= "\u4dbf" or "\u4e00" <= u <= "\u9fff" or "\uf900" <= u <= "\ufaff") else 2 for u in unit_list]
+    least, out, end, held = int(round(2 * weight)), [], 0, 0
+    for start in range(len(unit_list)):
+        while held < least and end < len(unit_list):
+            held += half[end]
+            end += 1
+        if held < least:
+            break
+        out.append(" ".join(unit_list[start:end]))
+        held -= half[start]
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def weighted_windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """`windows_of` each list of units; one pass over the units, which column expressions cannot do."""
+    for s in batches:
+        yield s.map(lambda u: None if u is None else windows_of(list(u)))
