@@ -46,7 +46,7 @@ def plan_targets(plan: DataFrame, sizes: DataFrame) -> DataFrame:
     total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens"))
     joined = rows.crossJoin(total).join(sizes, "source", "left").na.fill({"n_docs": 0, "n_tokens": 0})
     there = F.when(F.col("n_tokens") > 0, F.col("weight")).otherwise(0.0)
-    joined = joined.withColumn("share", F.coalesce(there / F.sum(there).over(everything), F.lit(0.0)))
+    joined = joined.withColumn("share", F.coalesce(there / F.nullif(F.sum(there).over(everything), F.lit(0.0)), F.lit(0.0)))
     joined = joined.withColumn("target", F.coalesce(F.col("share") * F.col("draw_share") * F.col("all_tokens"), F.lit(0.0)))
     draw = F.least(F.col("target"), (F.col("n_tokens") * F.col("max_epochs")).cast("double"))
     return joined.withColumn("draw", draw).select("source", "share", "target", "draw", "tilt", "max_epochs", "priority", "n_docs", "n_tokens")
