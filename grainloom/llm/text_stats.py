@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, fields
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -41,10 +42,9 @@ _CHAIN = re.compile(r"\s[>|\u00bb\u203a/\u2192\u00b7\u2022]\s|\s#\w|[,\uff0c\u30
 _CELL = re.compile(r"[,;|\t]")
 _NUMBER_CELL = re.compile(r"(?:^|[,;|\t])\s*(?:-?[\d.]+%?|n/a|-|)\s*(?=[,;|\t]|$)", re.I)
 _BLOB = re.compile(r"[A-Za-z0-9+/=]{28,}")
-_VOWEL = re.compile(r"[aeiouy\u00e0-\u00ff]", re.I)
-_DIGIT = re.compile(r"\d")
-_OTHER = re.compile(r"[\W_]")
-_WORDLIKE = re.compile(r"[^\W\d_]{2,}")
+_VOICED = re.compile(r"(?<!\S)[^\saeiouyAEIOUY\u00c0-\u00ff]*[aeiouyAEIOUY\u00c0-\u00ff]\S*")
+_DIGITS = re.compile(r"\d+")
+_TOKEN = re.compile(r"[^\W_]+")
 
 #: Kinds of lines. Plain lines are judged by the document they stand in.
 KINDS = ("prose", "list", "table", "junk", "short", "long")
@@ -73,8 +73,10 @@ class Counts:
     long: int = 0
 
     def add(self, other: Counts) -> None:
-        for name in _NAMES:
-            setattr(self, name, getattr(self, name) + getattr(other, name))
+        mine = self.__dict__
+        for name, value in other.__dict__.items():
+            if value:
+                mine[name] += value
 
 
 _NAMES = tuple(f.name for f in fields(Counts))
@@ -101,7 +103,6 @@ class Piece:
     wordlike: int = 0
     digits: int = 0
     alnum: int = 0
-    seen: frozenset = frozenset()
     head: str = ""
     tail: str = ""
     #: word pieces at the two ends: they are not yet among the words where a cut touches them
@@ -110,29 +111,34 @@ class Piece:
 
     @staticmethod
     def of(text: str, common: frozenset[str]) -> Piece:
-        tokens = text.split()
-        han = len(_HAN.findall(text)) if not text.isascii() else 0
-        plain = tokens if not han else _HAN.sub(" ", text).split()
-        p = Piece(chars=len(text), han=han, words=len(plain) + han)
-        p.word_chars = sum(map(len, plain)) + han
-        p.spaces = p.chars - sum(map(len, tokens))
-        p.symbols = len(_SYMBOL.findall(text))
-        p.ends = len(_SENTENCE_END.findall(text))
-        p.common = sum(w.strip(".,;:!?\"'()\u201c\u201d\u2018\u2019").lower() in common for w in plain)
+        blanks = text.split()
+        ascii_only = text.isascii()
+        han = 0 if ascii_only else len(_HAN.findall(text))
+        plain = blanks if not han else _HAN.sub(" ", text).split()
+        solid = sum(map(len, blanks))
+        p = Piece(chars=len(text), han=han, words=len(plain) + han, spaces=len(text) - solid)
+        p.word_chars = (sum(map(len, plain)) + han) if han else solid
+        tokens = _TOKEN.findall(text.lower())
+        p.alnum = sum(map(len, tokens))
+        p.common = sum(map(common.__contains__, tokens))
         if han:
-            p.common += sum(map(text.count, _single(common)))
-        p.cells = len(_CELL.findall(text))
-        p.numeric_cells = len(_NUMBER_CELL.findall(text)) if p.cells else 0
-        p.gaps = len(_GAPS.findall(text)) if "  " in text or "\t" in text else 0
-        p.chains = len(_CHAIN.findall(text))
-        p.blob = sum(len(b) for b in _BLOB.findall(text)) if any(len(w) > 27 for w in plain) else 0
-        p.wordlike = len(_WORDLIKE.findall(text))
-        p.voiced = sum(1 for w in plain if _VOWEL.search(w)) if len(text) < 4000 else len(plain)
-        p.digits = len(_DIGIT.findall(text))
-        p.alnum = len(text) - len(_OTHER.findall(text))
-        p.seen = frozenset(plain[:400]) if not han else frozenset(text[i : i + 2] for i in range(min(len(text) - 1, 800)))
+            p.common += sum(map(text.count, _single(common))) - sum(1 for t in tokens if len(t) == 1 and t in common and _HAN.match(t))
+        if p.alnum + p.spaces < len(text):
+            p.symbols = len(_SYMBOL.findall(text))
+            p.ends = len(_SENTENCE_END.findall(text))
+            p.cells = len(_CELL.findall(text))
+            p.numeric_cells = len(_NUMBER_CELL.findall(text)) if p.cells > 1 else 0
+            p.chains = len(_CHAIN.findall(text))
+        if p.spaces > len(blanks) - 1:
+            p.gaps = len(_GAPS.findall(text))
+            p.cells += "\t" in text and not p.cells and text.count("\t")
+            p.numeric_cells = p.numeric_cells or (len(_NUMBER_CELL.findall(text)) if p.cells > 1 else 0)
+        p.blob = sum(map(len, _BLOB.findall(text))) if solid > 27 and max(map(len, blanks)) > 27 else 0
+        p.wordlike = int(any(len(t) > 1 and t.isalpha() for t in tokens))
+        p.voiced = len(_VOICED.findall(text))
+        p.digits = sum(map(len, _DIGITS.findall(text)))
         p.head, p.tail = text[:EDGE], text[-EDGE:]
-        if plain and tokens:
+        if plain:
             p.first = "" if text[:1].isspace() or _HAN.match(text[:1]) else plain[0][:EDGE]
             p.last = "" if text[-1:].isspace() or _HAN.match(text[-1:]) else plain[-1][-EDGE:]
         return p
@@ -145,10 +151,9 @@ class Piece:
             return self
         p = Piece(**{f.name: getattr(self, f.name) + getattr(right, f.name) for f in fields(Piece) if f.type == "int"})
         if self.last and right.first:
-            strip = lambda w: w.strip(".,;:!?\"'()\u201c\u201d\u2018\u2019").lower()
+            known = lambda w: sum(map(common.__contains__, _TOKEN.findall(w.lower())))
             p.words -= 1
-            p.common += (strip(self.last + right.first) in common) - (strip(self.last) in common) - (strip(right.first) in common)
-        p.seen = frozenset(list(self.seen | right.seen)[:1000])
+            p.common += known(self.last + right.first) - known(self.last) - known(right.first)
         p.head = (self.head + right.head)[:EDGE] if self.chars < EDGE else self.head
         p.tail = (self.tail + right.tail)[-EDGE:]
         whole_left = self.first and self.chars == len(self.first)
@@ -215,6 +220,7 @@ class Piece:
         return "long"
 
 
+@lru_cache(maxsize=4)
 def _single(common: frozenset[str]) -> list[str]:
     return [w for w in common if len(w) == 1 and _HAN.match(w)]
 
