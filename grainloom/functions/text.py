@@ -18,6 +18,9 @@ SPACE_SET = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{20
 HAN_SET = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
 SPACE, NOT_SPACE, HAN = f"[{SPACE_SET}]", f"[^{SPACE_SET}]", f"[{HAN_SET}]"
 
+#: White space inside a line.
+INLINE_SPACE = "[" + SPACE_SET.replace(r"\x{9}-\x{d}", r"\x{9}\x{b}-\x{d}") + "]"
+
 #: A unit of weighted n-grams: a Han character, or a run of other characters.
 UNIT = f"{HAN}|[^{SPACE_SET}{HAN_SET}]+"
 
@@ -28,7 +31,7 @@ def col(c: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """The runs of other characters than white space."""
-    return F.filter(F.split(col(text), f"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(col(text), f"{SPACE}+"), "")
 
 
 def strip(text: Column | str) -> Column:
@@ -36,14 +39,9 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(col(text), f"^{SPACE}+|{SPACE}+\\z", "")
 
 
-def full_lines(text: Column | str) -> Column:
-    """The lines that are not blank."""
-    return F.filter(F.split(col(text), "\n"), lambda x: F.regexp_replace(x, f"{SPACE}+", "") != "")
-
-
 def blocks(text: Column | str, separator: str) -> Column:
     """The non-empty pieces between separators."""
-    return F.filter(F.split(col(text), separator), lambda x: x != "")
+    return F.array_remove(F.split(col(text), separator), "")
 
 
 def without_space(text: Column | str) -> Column:
