@@ -22,9 +22,10 @@ def seed_noise(seeds: DataFrame) -> DataFrame:
 
 def ablation(planned: DataFrame, runs: DataFrame, noise: DataFrame) -> DataFrame:
     """Difference of each planned run to the mean of the seeds, and whether it exceeds two deviations; missing runs stay."""
-    joined = planned.join(runs, "name", "left").crossJoin(F.broadcast(noise.select("mean", "sigma").limit(1)))
-    delta = F.col("loss") - F.col("mean")
-    return joined.select("name", "loss", delta.alias("delta"), (F.abs(delta) > 2 * F.col("sigma")).alias("significant"))
+    one = noise.first()
+    mean, sigma = (F.lit(one[c] if one else None).cast("double") for c in ("mean", "sigma"))
+    delta = F.col("loss") - mean
+    return planned.join(runs, "name", "left").select("name", "loss", delta.alias("delta"), (F.abs(delta) > 2 * sigma).alias("significant"))
 
 
 def compare_runs(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
@@ -39,16 +40,21 @@ def compare_runs(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
 def fit_power(points: DataFrame) -> DataFrame:
     """``loss = A * n^-alpha`` by least squares of the logarithms, with the greatest absolute residual."""
     fit = points.agg(F.regr_slope(F.ln("loss"), F.ln("n")).alias("slope"), F.regr_intercept(F.ln("loss"), F.ln("n")).alias("log_a"))
-    resid = points.crossJoin(F.broadcast(fit)).agg(F.max(F.abs(F.exp(F.col("log_a") + F.col("slope") * F.ln("n")) - F.col("loss"))).alias("max_resid"))
-    return fit.crossJoin(resid).select((-F.col("slope")).alias("alpha"), "log_a", "max_resid")
+    slope, log_a = (F.lit(x).cast("double") for x in fit.first())
+    resid = F.max(F.abs(F.exp(log_a + slope * F.ln("n")) - F.col("loss")))
+    return points.agg(resid.alias("max_resid")).select((-slope).alias("alpha"), log_a.alias("log_a"), "max_resid")
 
 
 def fit_scaling(points: DataFrame, low: float = 0.01, high: float = 1.5, steps: int = 3000) -> DataFrame:
     """``loss = floor + A * n^-alpha``: of a grid of exponents the one whose linear fit has the least squared residual,
-    the first among equals. The grid is joined to the few points."""
+    the first among equals. The points, at most 10,000, are put beside each exponent."""
     spark = points.sparkSession
     grid = spark.range(steps).select((F.lit(low) + F.col("id") * ((high - low) / (steps - 1))).alias("alpha"))
-    x = grid.crossJoin(F.broadcast(points.limit(10_000))).withColumn("x", F.pow("n", -F.col("alpha")))
+    few = points.select("n", "loss").limit(10_001).collect()
+    if not 0 < len(few) <= 10_000:
+        raise ValueError("no points, or more than 10,000")
+    pairs = F.array(*[F.struct(F.lit(float(r["n"])).alias("n"), F.lit(float(r["loss"])).alias("loss")) for r in few])
+    x = grid.select("alpha", F.inline(pairs)).withColumn("x", F.pow("n", -F.col("alpha")))
     fit = x.groupBy("alpha").agg(F.regr_intercept("loss", "x").alias("floor"), F.regr_slope("loss", "x").alias("a"), F.regr_sxx("x", "loss").alias("syy"), F.regr_syy("x", "loss").alias("sxx"), F.regr_sxy("loss", "x").alias("sxy"))
     return fit.withColumn("resid", F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")).agg(F.min_by(F.struct("alpha", "floor", "a"), F.struct("resid", "alpha")).alias("f")).select("f.alpha", "f.floor", "f.a")
 
