@@ -43,8 +43,8 @@ def plan_targets(plan: DataFrame, sizes: DataFrame) -> DataFrame:
     everything = Window.partitionBy()  # over the plan's few rows
     rank = (F.row_number().over(Window.partitionBy().orderBy(F.col("priority").asc_nulls_last(), "source")) - 1) / F.greatest(F.count("*").over(everything) - 1, F.lit(1))
     rows = rows.withColumn("tilt", F.round(STEEPEST * (2 * rank - 1), 9))
-    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens"))
-    joined = rows.crossJoin(total).join(sizes, "source", "left").na.fill({"n_docs": 0, "n_tokens": 0})
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    joined = rows.withColumn("all_tokens", F.lit(total)).join(sizes, "source", "left").na.fill({"n_docs": 0, "n_tokens": 0})
     there = F.when(F.col("n_tokens") > 0, F.col("weight")).otherwise(0.0)
     joined = joined.withColumn("share", F.coalesce(there / F.nullif(F.sum(there).over(everything), F.lit(0.0)), F.lit(0.0)))
     joined = joined.withColumn("target", F.coalesce(F.col("share") * F.col("draw_share") * F.col("all_tokens"), F.lit(0.0)))
@@ -74,10 +74,10 @@ def draw_mixture(sized: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     """
     sizes = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     targets = plan_targets(plan, sizes).where("draw > 0").select("source", "draw", "tilt", F.col("n_tokens").alias("size"))
-    buckets = F.broadcast(sized.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BUCKET_DOCS)).cast("long").alias("buckets")))
+    buckets = 1 + sized.count() // BUCKET_DOCS
     copies = sized.join(F.broadcast(targets), "source")  # the plan has a few rows
     copies = copies.withColumn("epoch", F.explode(F.expr("sequence(0L, greatest(cast(ceil(draw / size) as bigint) - 1, 0L))")))
-    copies = copies.withColumn("h", F.xxhash64(F.lit(seed), "epoch", "doc_id")).crossJoin(buckets).withColumn("bucket", F.expr("pmod(shiftrightunsigned(h, 24), buckets)"))
+    copies = copies.withColumn("h", F.xxhash64(F.lit(seed), "epoch", "doc_id")).withColumn("bucket", F.expr(f"pmod(shiftrightunsigned(h, 24), {buckets}L)"))
     ahead = Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = copies.groupBy("source", "epoch", "bucket").agg(F.sum("n_tokens").alias("t"))
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(ahead), F.lit(0))).drop("t")
