@@ -110,3 +110,33 @@ def rms_norm(vector: Column, eps: float = 1e-5) -> Column:
     """A vector over the root of its mean square."""
     mean = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x) / F.size(vector)
     return F.transform(vector, lambda x: x * (1 / F.sqrt(mean + eps)))
+
+
+def ablation_by_subset(losses: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Difference of each run's loss on each subset to the seeds' mean there, flagged beyond two of that subset's own
+    deviations. Subsets without seeds have none."""
+    noise = seeds.groupBy("subset").agg(F.avg("loss").alias("mean"), F.stddev_samp("loss").alias("sigma"))
+    delta = F.col("loss") - F.col("mean")
+    return losses.join(noise, "subset").select("name", "subset", delta.alias("delta"), (F.abs(delta) > 2 * F.col("sigma")).alias("significant"))
+
+
+def prefix_mean(losses: DataFrame, *prefixes: str) -> DataFrame:
+    """Mean loss of each run over the subsets whose names begin alike; null where there are none."""
+    return losses.groupBy("name").agg(*[F.avg(F.when(F.col("subset").startswith(p), F.col("loss"))).alias(p) for p in prefixes])
+
+
+def macro_average(batches: DataFrame) -> DataFrame:
+    """Mean over subsets, each counting once, of their mean losses."""
+    return batches.groupBy("run", "subset").agg(F.avg("loss").alias("l")).groupBy("run").agg(F.avg("l").alias("val_loss"))
+
+
+def check_params(counted: DataFrame, expected: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Whether each model's counted total lies within a tolerance of the expected one."""
+    off = F.abs(F.col("total") - F.col("expected")) / F.col("expected")
+    return counted.join(expected, "name").select("name", "total", "expected", off.alias("off"), (off <= tolerance).alias("ok"))
+
+
+def accumulation(configs: DataFrame) -> DataFrame:
+    """Gradient accumulation steps of each configuration; null where the batch does not divide."""
+    step = F.col("micro_batch") * F.col("seq_len") * F.col("world")
+    return configs.select("run", F.when(F.col("batch_tokens") % step == 0, F.floor(F.col("batch_tokens") / step)).alias("steps"))

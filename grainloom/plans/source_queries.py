@@ -39,6 +39,11 @@ SPEED = "SELECT * FROM (VALUES ('s1', 524288, 2.85, 1.87e8, 3.12e14, 1), ('s2',
 JOBS = "SELECT * FROM (VALUES ('short', 12.0), ('mid', 284.9), ('long', 900.5)) x(run, train_min)"
 CKPTS = "SELECT * FROM (VALUES ('a', 100), ('a', 200), ('a', 300), ('a', 400), ('a', 500), ('b', 250), ('b', 1000)) x(run, step)"
 
+SUBSET_LOSS = """SELECT * FROM (VALUES ('s0', 'en_web', 3.2), ('s1', 'en_web', 3.22), ('s2', 'en_web', 3.19), ('s0', 'zh_web', 3.9), ('s1', 'zh_web', 3.95), ('s2', 'zh_web', 3.92), ('s0', 'en_wiki', 2.9),
+    ('s1', 'en_wiki', 2.91), ('s2', 'en_wiki', 2.92), ('muon', 'en_web', 3.1), ('muon', 'zh_web', 3.91), ('muon', 'code', 1.5)) x(name, subset, loss)"""
+ACCUMULATION = "SELECT * FROM (VALUES ('a', 524288, 16, 2048, 1), ('b', 524288, 16, 2048, 8), ('c', 500000, 16, 2048, 1)) x(run, batch_tokens, micro_batch, seq_len, world)"
+EXPECTED = "SELECT * FROM (VALUES ('250m', 236491776), ('gelu', 99000000)) x(name, expected)"
+
 
 def rounded(df: DataFrame, n: int = 6) -> DataFrame:
     return df.select(*[F.round(c, n).alias(c) if kind in ("double", "float") or kind.startswith("decimal") else F.col(c) for c, kind in df.dtypes])
@@ -103,6 +108,11 @@ QUERIES: dict[str, Query] = {
     "lr_cosine": lambda s, d: s.range(0, 1000).select("id", F.round(an.learning_rate(F.col("id"), "cosine", 3e-4, 0.1, 50, 1000), 9).alias("lr")),
     "job_plan": lambda s, d: an.job_plan(_sql(s, JOBS)),
     "ckpt_retention": lambda s, d: an.checkpoint_retention(_sql(s, CKPTS), 2, 250),
+    "ablation_subset": lambda s, d: rounded(an.ablation_by_subset(_sql(s, SUBSET_LOSS).where("name = 'muon'"), _sql(s, SUBSET_LOSS).where("name LIKE 's%'"))),
+    "group_mean": lambda s, d: rounded(an.prefix_mean(_sql(s, SUBSET_LOSS), "en", "zh")),
+    "macro_val": lambda s, d: rounded(an.macro_average(_sql(s, SUBSET_LOSS).withColumnRenamed("name", "run"))),
+    "params_check": lambda s, d: rounded(an.check_params(an.param_counts(_sql(s, MODELS)), _sql(s, EXPECTED))),
+    "grad_accum": lambda s, d: an.accumulation(_sql(s, ACCUMULATION)).na.fill(0, ["steps"]),
     "rms_norm": lambda s, d: t(s, d, "embeddings", "vec_id", "embedding").select("vec_id", F.round(F.aggregate(an.rms_norm(F.col("embedding").cast("array<double>")), F.lit(0.0), lambda a, x: a + F.abs(x)), 4).alias("l1")),
 }
 
@@ -155,6 +165,13 @@ ORACLE: dict[str, str] = {
     "lr_cosine": "SELECT k AS id, round(CASE WHEN k < 50 THEN 3e-4 * (k + 1) / 50 ELSE 3e-5 + (3e-4 - 3e-5) * 0.5 * (1 + cos(pi() * (k - 50) / 950)) END, 9) AS lr FROM range(0, 1000) r(k)",
     "job_plan": f"SELECT run, greatest(1, ceil(train_min / 285))::BIGINT AS jobs, least(300, ceil(train_min / greatest(1, ceil(train_min / 285))) + 15)::BIGINT AS job_min FROM ({JOBS})",
     "ckpt_retention": f"SELECT run, step FROM ({CKPTS}) QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) <= 2 OR step % 250 = 0",
+    "ablation_subset": f"""WITH x AS ({SUBSET_LOSS}), n AS (SELECT subset, avg(loss::DOUBLE) AS mean, stddev_samp(loss::DOUBLE) AS sigma FROM x WHERE name LIKE 's%' GROUP BY subset)
+        SELECT name, subset, round(loss - mean, 6) AS delta, abs(loss - mean) > 2 * sigma AS significant FROM x JOIN n USING (subset) WHERE name = 'muon'""",
+    "group_mean": f"WITH x AS ({SUBSET_LOSS}) SELECT name, round(avg(loss::DOUBLE) FILTER (subset LIKE 'en%'), 6) AS en, round(avg(loss::DOUBLE) FILTER (subset LIKE 'zh%'), 6) AS zh FROM x GROUP BY name",
+    "macro_val": f"WITH x AS ({SUBSET_LOSS}), g AS (SELECT name AS run, subset, avg(loss::DOUBLE) AS l FROM x GROUP BY ALL) SELECT run, round(avg(l), 6) AS val_loss FROM g GROUP BY run",
+    "params_check": f"""SELECT name, t.total, expected::INT AS expected, round(abs(t.total - expected) / expected::DOUBLE, 6) AS off, abs(t.total - expected) / expected::DOUBLE <= 0.01 AS ok
+        FROM (VALUES ('250m', 236491776::BIGINT), ('gelu', 58728960::BIGINT)) t(name, total) JOIN ({EXPECTED}) USING (name)""",
+    "grad_accum": f"SELECT run, CASE WHEN batch_tokens % (micro_batch * seq_len * world) = 0 THEN batch_tokens // (micro_batch * seq_len * world) ELSE 0 END::BIGINT AS steps FROM ({ACCUMULATION})",
     "rms_norm": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x)) / len(v) + 1e-5) AS r FROM e)
         SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x / r))), 4) AS l1 FROM q""",
 }
