@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text, by greedy string tiling (problem 1).
 
 1. Items and documents become sequences of units: words, and single Han characters of half a word's weight.
-2. Seeds are short runs of units. A bitmap of fixed size holds the items' seeds; a narrow stage keeps of each document
-   only the windows in which enough of its units lie in seeds of the bitmap, so no document text is ever shuffled.
-3. Distinct windows are joined to the items on the exact seed; a pair goes on when it shares enough seeds.
+2. Seeds are runs as long as an item's shortest tile. A bitmap of fixed size holds the items' seeds; a narrow stage keeps
+   of each document only the windows in which enough of its units lie in seeds, so no document text is ever shuffled.
+3. Distinct windows are joined to the items on the exact seed; a pair goes on when seeds no further apart than tiles of a
+   passage cover as many words as the tiles of an accepted passage must (`least_covered`).
 4. Each pair is tiled: a running Karp-Rabin scan finds common runs of a search length, the longest are marked first, the
    length shrinks until the least tile is reached. Tiles in the item's order with at most single altered units between
    them form a passage; a passage of thirteen words of the item that does not consist of generic fragments is a leak.
@@ -27,17 +28,20 @@ from pyspark.sql import functions as F
 
 from grainloom.llm.common import map_batches, shared_checkpoint, small_batches
 
-#: Words in a leaked passage; words in a seed; bits of the seed filter (8 MB whatever the number of items).
+#: Words in a leaked passage; words in a run that surely matches; bits of the seed filter (8 MB whatever the number of items).
 PASSAGE, SEED, FILTER_BITS = 13.0, 3.0, 26
 
-#: Words of a document that must lie in seeds of the filter near each other, units between them, units kept on each side.
-COVERED, NEAR, MARGIN = 6.0, 12, 26
+#: Units of a document kept on each side of a stretch that seeds cover.
+MARGIN = 26
 
 #: A window is cut into blocks of so many units that overlap by so many; any thirteen words lie whole in one of them.
 BLOCK, OVERLAP = 1500, 300
 
-#: Words of a window that must lie in seeds of the item, units that may be altered between two tiles.
-SHARED, ALTERED = 8.0, 3
+#: Units that may be altered between two tiles.
+ALTERED = 3
+
+#: Units of the shortest tile of an item of words and of one of Han characters; letters of a word that may have a slip.
+TILES, SLIP = (2, 3), 4
 
 #: Share of a passage that must match letter for letter after normalisation, and words of it outside generic fragments.
 MATCHED, SPECIFIC = 0.75, 4.0
@@ -120,19 +124,16 @@ def weights(tokens: list[str]) -> np.ndarray:
     return 1.0 - 0.5 * (_HASH(tokens) & np.uint64(1)).astype(np.float64)
 
 
-def seeds(tokens: list[str], stops: np.ndarray | None = None, cum: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of the shortest run of weight `SEED` from each unit on; ``cum`` gets the running weights.
-
-    ``stops`` has, for each unit, the end of the text it belongs to (one text by default); no seed runs over it.
-    """
+def seeds(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of the shortest run of weight `SEED` from each unit on."""
     n = len(tokens)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     value = _HASH(tokens)
-    cum = np.zeros(n + 1) if cum is None else cum
+    cum = np.zeros(n + 1)
     np.cumsum(1.0 - 0.5 * (value & np.uint64(1)), out=cum[1:])
     end = np.searchsorted(cum, cum[:-1] + (SEED - 1e-6))
-    start = np.flatnonzero(end <= (n if stops is None else stops))
+    start = np.flatnonzero(end <= n)
     end = end[start]
     out = np.zeros(len(start), np.uint64)
     with np.errstate(over="ignore"):
@@ -143,38 +144,52 @@ def seeds(tokens: list[str], stops: np.ndarray | None = None, cum: np.ndarray |
     return start, end, out
 
 
-def document_windows(texts: list[str | None], bitmap: np.ndarray) -> list[tuple[int, str]]:
-    """The stretches of the texts, as units joined by blanks, that may hold a passage, each with its text's index."""
+def tile_seeds(tokens: list[str], n: int) -> np.ndarray:
+    """Hash of the run of ``n`` units from each unit on."""
+    value = _HASH(tokens)
+    out = np.zeros(max(0, len(tokens) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n if len(out) else 0):
+            mixed = (out ^ value[j : j + len(out)]) * _MULTIPLIER
+            out = mixed ^ (mixed >> np.uint64(29))
+    return out
+
+
+def document_windows(texts: list[str | None], bitmap: np.ndarray, least: float = 0.0) -> list[tuple[int, str]]:
+    """The stretches of the texts, as units joined by blanks, that may hold a passage, each with its text's index.
+
+    Seeds of the bitmap with no more units between them than between two tiles must cover ``least`` words.
+    """
     split = [units(t) for t in texts]
     sizes = np.array([len(x) for x in split], dtype=np.int64)
     tokens = list(chain.from_iterable(split))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    cum = np.zeros(len(tokens) + 1)
-    start, end, hashes = seeds(tokens, np.repeat(bounds[1:], sizes), cum)
-    slot = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    hit = np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-    if not len(hit):
+    stops = np.repeat(bounds[1:], sizes)
+    mask = np.zeros(len(tokens), dtype=bool)
+    for n in TILES:
+        hashes = tile_seeds(tokens, n)
+        slot = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        hit = np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+        hit = hit[hit + n <= stops[hit]]
+        for j in range(n):
+            mask[hit + j] = True
+    covered = np.flatnonzero(mask)
+    if not len(covered):
         return []
-    start, end = start[hit].tolist(), end[hit].tolist()
-    owner = (np.searchsorted(bounds, start, side="right") - 1).tolist()
+    cum = np.concatenate([[0.0], np.cumsum(weights(tokens) * mask)])
+    cut = np.flatnonzero((np.diff(covered) > ALTERED + 2) | (np.diff(stops[covered]) > 0))
+    first, last = covered[np.concatenate([[0], cut + 1])], covered[np.concatenate([cut, [len(covered) - 1]])] + 1
+    enough = cum[last] - cum[first] >= least - 1e-6
+    first, last = first[enough], last[enough]
+    owner = np.searchsorted(bounds, first, side="right") - 1
     out: list[tuple[int, str]] = []
     spans: list[list[int]] = []
-    i = 0
-    while i < len(start):
-        first, last, mine = start[i], end[i], owner[i]
-        covered = cum[last] - cum[first]
-        i += 1
-        while i < len(start) and owner[i] == mine and start[i] - last <= NEAR:
-            if end[i] > last:
-                covered += cum[end[i]] - cum[max(start[i], last)]
-                last = end[i]
-            i += 1
-        if covered >= COVERED:
-            a, b = max(bounds[mine], first - MARGIN), min(bounds[mine + 1], last + MARGIN)
-            if spans and spans[-1][2] == mine and a <= spans[-1][1]:
-                spans[-1][1] = b
-            else:
-                spans.append([a, b, mine])
+    for f, e, mine in zip(first.tolist(), last.tolist(), owner.tolist()):
+        a, b = max(int(bounds[mine]), f - MARGIN), min(int(bounds[mine + 1]), e + MARGIN)
+        if spans and spans[-1][2] == mine and a <= spans[-1][1]:
+            spans[-1][1] = b
+        else:
+            spans.append([a, b, mine])
     for a, b, mine in spans:
         for x in range(a, max(a + 1, b - OVERLAP), BLOCK - OVERLAP):
             out.append((mine, " ".join(tokens[x : min(b, x + BLOCK)])))
@@ -253,7 +268,7 @@ def _alike(a: str, b: str) -> bool:
     """Whether one word is the other with a slip of the pen."""
     if a == b:
         return True
-    if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1:
+    if min(len(a), len(b)) < SLIP or abs(len(a) - len(b)) > 1:
         return False
     i = 0
     while i < min(len(a), len(b)) and a[i] == b[i]:
@@ -279,7 +294,20 @@ class Passage:
 
 def least_tile(item: list[str]) -> int:
     """Units of the shortest tile: two words, or three characters of a text that is mostly Han."""
-    return 2 if sum(len(x) > 1 for x in item) > 0.5 * len(item) else 3
+    return TILES[0] if sum(len(x) > 1 for x in item) > 0.5 * len(item) else TILES[1]
+
+
+def least_covered(item: list[str], w: np.ndarray) -> float:
+    """Words that the tiles of any passage of the item that `Passage.holds` accepts cover.
+
+    Between two tiles are at most ``ALTERED - 1`` words of the item; they may all match by slips of the pen, in an item
+    that has words long enough for slips.
+    """
+    if not any(len(x) >= SLIP for x in item):
+        return MATCHED * PASSAGE
+    n = least_tile(item)
+    tile = float(np.convolve(w, np.ones(n), "valid").min()) if len(w) >= n else n / 2
+    return min(max(k * tile, PASSAGE - (ALTERED - 1) * (k - 1)) for k in range(1, 14))
 
 
 def best_passage(item: list[str], window: list[str], generic: np.ndarray) -> Passage:
@@ -326,17 +354,13 @@ def best_passage(item: list[str], window: list[str], generic: np.ndarray) -> Pas
     return Passage(span, matched, specific, tuple(sorted(used)))
 
 
-#: Words that tiles must cover in a passage; two more may match by slips of the pen.
-LEAST_HOLD = MATCHED * PASSAGE - 2.0
-
-
-def _may_hold(upper: np.ndarray, lower: np.ndarray) -> bool:
+def _may_hold(upper: np.ndarray, lower: np.ndarray, least: float) -> bool:
     """Whether some stretch may hold a passage of one item that no rival explains better.
 
     ``upper`` are the words that can match the item, the rows of ``lower`` those that surely match a rival, unit by unit.
     """
     total = np.concatenate([[0.0], np.cumsum(upper)])
-    last = np.searchsorted(total, total - LEAST_HOLD + 1e-6, side="right") - 1
+    last = np.searchsorted(total, total - least + 1e-6, side="right") - 1
     ends = np.flatnonzero(last >= 0)
     if not len(ends):
         return False
@@ -360,7 +384,7 @@ def _champions(sure: list[np.ndarray], most: int = 16) -> list[int]:
     return [int(i) for i in np.argsort(-won, kind="stable")[:most] if won[i]]
 
 
-def leaking(window: list[str], items: list[list[str]], generic: list[np.ndarray], item_seeds: list[set[int]]) -> list[bool]:
+def leaking(window: list[str], items: list[list[str]], generic: list[np.ndarray], item_seeds: list[set[int]], least: list[float]) -> list[bool]:
     """Which of the items a window leaks.
 
     A passage counts for the item that explains its stretch of the window best, or for each that does equally well:
@@ -379,7 +403,7 @@ def leaking(window: list[str], items: list[list[str]], generic: list[np.ndarray]
         step = np.bincount(start[hit], minlength=size) - np.bincount(end[hit], minlength=size)
         sure.append((np.cumsum(step[:-1]) > 0) * w)
     rivals = _champions(sure)
-    strongest = np.array([sure[j] for j in rivals])
+    strongest = np.array([sure[j] for j in rivals]).reshape(len(rivals), len(window))
     grams = {n: list(zip(*(window[k:] for k in range(n)))) for n in (2, 3)}
     passages: dict[int, np.ndarray] = {}
     for i, item in enumerate(items):
@@ -395,8 +419,8 @@ def leaking(window: list[str], items: list[list[str]], generic: list[np.ndarray]
         # a passage has no gap wider than what may be altered; outside its units, and a margin, there is nothing to tile
         some = np.flatnonzero(mask)
         runs = np.split(some, np.flatnonzero(np.diff(some) > ALTERED + 2) + 1)
-        runs = [(r[0], r[-1] + 1) for r in runs if len(r) and upper[r].sum() >= LEAST_HOLD]
-        runs = [(a, b) for a, b in runs if _may_hold(upper[a:b], others[:, a:b])]
+        runs = [(r[0], r[-1] + 1) for r in runs if len(r) and upper[r].sum() >= least[i] - 1e-6]
+        runs = [(a, b) for a, b in runs if _may_hold(upper[a:b], others[:, a:b], least[i])]
         if not runs:
             continue
         low, high = max(0, int(runs[0][0]) - 2), min(len(window), int(runs[-1][1]) + 2)
@@ -455,13 +479,30 @@ def leaked_items(docs: DataFrame, items: DataFrame, fragments: DataFrame, doc_id
             flags = _generic_flags(tokens, w, generic.value)
             own = [h for s, e, h in zip(*(x.tolist() for x in seeds(tokens))) if not flags[s:e].all()]
             own = np.array(own, np.uint64).view(np.int64).tolist()
-            out.append((i, " ".join(tokens), flags.tolist(), sorted(set(own))))
-        cols = list(zip(*out)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.bool_())), pa.array(cols[3], pa.list_(pa.int64()))], ["item_id", "units", "generic", "seeds"])
+            n, reach = least_tile(tokens), 2 * (ALTERED - 1)
+            # every tile of a passage counts, also one in a fragment; some tile stands in or next to the words outside
+            beside = np.convolve(~flags, np.ones(2 * reach + n), "full")[reach + n - 1 :][: len(tokens) - n + 1] > 0.5
+            probes: dict[int, bool] = {}
+            for h, near in zip(tile_seeds(tokens, n).view(np.int64).tolist(), beside.tolist()):
+                probes[h] = probes.get(h, False) or near
+            out.append((i, " ".join(tokens), flags.tolist(), sorted(set(own)), [{"seed": h, "near": x} for h, x in probes.items()], least_covered(tokens, w)))
+        cols = list(zip(*out)) or [[]] * 6
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(cols[0], pa.int64()),
+                pa.array(cols[1], pa.string()),
+                pa.array(cols[2], pa.list_(pa.bool_())),
+                pa.array(cols[3], pa.list_(pa.int64())),
+                pa.array(cols[4], pa.list_(pa.struct([("seed", pa.int64()), ("near", pa.bool_())]))),
+                pa.array(cols[5], pa.float64()),
+            ],
+            ["item_id", "units", "generic", "seeds", "probes", "least"],
+        )
 
     plain = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    index = shared_checkpoint(map_batches(plain, item_rows, "item_id bigint, units string, generic array<boolean>, seeds array<bigint>"))
-    postings = index.select("item_id", F.explode("seeds").alias("seed"))
+    index = shared_checkpoint(map_batches(plain, item_rows, "item_id bigint, units string, generic array<boolean>, seeds array<bigint>, probes array<struct<seed: bigint, near: boolean>>, least double"))
+    postings = index.select("item_id", "least", F.inline("probes"))
+    lowest = index.agg(F.min("least")).first()[0] or 0.0
 
     # the filter: at most 2^FILTER_BITS slots reach the driver, packed into 64-bit words
     slots = postings.select(F.shiftrightunsigned("seed", 64 - FILTER_BITS).alias("slot")).distinct()
@@ -472,7 +513,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, fragments: DataFrame, doc_id
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_pylist()
-        found = document_windows(batch.column(1).to_pylist(), bitmap.value)
+        found = document_windows(batch.column(1).to_pylist(), bitmap.value, lowest)
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([w for _, w in found], pa.string())], ["doc_id", "window"])
 
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
@@ -481,24 +522,33 @@ def leaked_items(docs: DataFrame, items: DataFrame, fragments: DataFrame, doc_id
     distinct = held.groupBy("window_id").agg(F.any_value("window").alias("window"))
 
     def window_seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, starts, out = [], [], []
+        ids, places, out = [], [], []
         for i, window in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             tokens = window.split(" ")
-            at, _, hashes = seeds(tokens)
-            ids += [i] * len(hashes)
-            starts += np.concatenate([[0.0], np.cumsum(weights(tokens))])[at].tolist()
-            out.append(hashes.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(starts, pa.float64()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], ["window_id", "at", "seed"])
-
-    # a seed that starts within another's reach adds only the words from one start to the next
-    probes = map_batches(distinct, window_seeds, "window_id string, at double, seed bigint")
-    starts = F.sort_array(F.collect_set("at"))
-    pairs = probes.join(postings, "seed").groupBy("window_id", "item_id").agg(starts.alias("s")).where(F.size("s") >= 3)
-    pairs = pairs.select("window_id", "item_id", F.expr(f"aggregate(zip_with(slice(s, 2, greatest(size(s) - 1, 1)), s, (b, a) -> CASE WHEN b IS NULL THEN 0D ELSE least(b - a, {SEED}D) END), {SEED}D, (x, y) -> x + y)").alias("covered")).where(F.col("covered") >= SHARED).select("window_id", "item_id")
-    candidates = pairs.join(distinct, "window_id").join(index, "item_id")
+            half = np.concatenate([[0], np.cumsum(2 * weights(tokens))]).astype(np.int64)
+            for n in TILES:
+                hashes = tile_seeds(tokens, n)
+                at = np.arange(len(hashes), dtype=np.int64)
+                ids += [i] * len(hashes)
+                places.append(at << 32 | n << 28 | half[at] << 8 | half[at + n] - half[at])
+                out.append(hashes.view(np.int64))
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(cat(places)), pa.array(cat(out))], ["window_id", "place", "seed"])
+
+    # a place is a seed's first unit, its units, the half words before it and in it; seeds further from the last one's end
+    # than tiles may be start a new stretch, a seed within another's reach adds only what lies beyond it
+    probes = map_batches(distinct, window_seeds, "window_id string, place bigint, seed bigint")
+    pairs = probes.join(postings, "seed").groupBy("window_id", "item_id").agg(F.sort_array(F.collect_set("place")).alias("s"), F.max("least").alias("least"), F.bool_or("near").alias("near"))
+    pairs = pairs.where(F.col("near") & (F.size("s") * TILES[1] >= F.col("least")))
+    step = f"""named_struct('e', shiftright(x, 32) + (shiftright(x, 28) & 15), 'h', (shiftright(x, 8) & 1048575) + (x & 255),
+        'c', IF(shiftright(x, 32) - a.e > {ALTERED + 1}, x & 255, a.c + (shiftright(x, 8) & 1048575) + (x & 255) - greatest(a.h, shiftright(x, 8) & 1048575)),
+        'm', greatest(a.m, a.c))"""
+    covered = f"aggregate(s, named_struct('e', -99L, 'h', 0L, 'c', 0L, 'm', 0L), (a, x) -> {step}, a -> greatest(a.m, a.c))"
+    pairs = pairs.where(F.expr(covered) >= 2 * F.col("least") - 1e-6).select("window_id", "item_id")
+    candidates = pairs.join(distinct, "window_id").join(index.drop("probes"), "item_id")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = leaking(pdf["window"].iloc[0].split(" "), [x.split(" ") for x in pdf["units"]], [np.asarray(g, dtype=bool) for g in pdf["generic"]], [set(x.tolist()) for x in pdf["seeds"]])
+        keep = leaking(pdf["window"].iloc[0].split(" "), [x.split(" ") for x in pdf["units"]], [np.asarray(g, dtype=bool) for g in pdf["generic"]], [set(x.tolist()) for x in pdf["seeds"]], pdf["least"].tolist())
         return pdf.loc[keep, ["window_id", "item_id"]]
 
     leaks = candidates.groupBy("window_id").applyInPandas(verify, "window_id string, item_id bigint")

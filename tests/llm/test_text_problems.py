@@ -85,6 +85,24 @@ def test_leaks_of_every_alteration_and_no_others(spark):
     assert sorted(found) == sorted([(i, k) for i in range(len(KINDS)) for k in (1, 2)] + [(200, 3)])
 
 
+def slipped(word):
+    return word[0] + word[2] + word[1] + word[3:]
+
+
+def test_no_passage_that_tiling_accepts_is_dropped_before_it(spark):
+    words = "falconer marble typewriter juniper canoe violet squirrel ninety tokens harbour crowd lantern pickle velvet".split()
+    other = lambda places, w: " ".join("zzz" if i in places else slipped(x) if i in w else x for i, x in enumerate(words[:13], 1))
+    docs = [(1, other({3, 6}, ())), (2, other({3, 11}, ())), (3, other({8, 11}, ())), (4, other({4, 7, 10}, ())), (5, other((), {3, 6, 9})), (6, other((), {3, 4, 7, 8, 11})), (7, other({3, 6, 9, 12}, ()))]
+    tail = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split()
+    docs += [(8, " ".join(tail[-9:] + words[:5]))]
+    fragments = [(" ".join(tail[i : i + 13]),) for i in range(2)]
+    items = [(1, " ".join(words)), (2, " ".join(tail + words[:6]))]
+    found = leak_tiling.leaked_items(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(fragments, "ngram string")
+    ).collect()
+    assert sorted(found) == [(i, 1) for i in range(1, 7)] + [(8, 2)]
+
+
 def test_generic_fragments_do_not_count(spark):
     generic = "read the short passage below with care and then choose the one option that best completes the final sentence"
     words = generic.split()
