@@ -310,48 +310,92 @@ def least_covered(item: list[str], w: np.ndarray) -> float:
     return min(max(k * tile, PASSAGE - (ALTERED - 1) * (k - 1)) for k in range(1, 14))
 
 
-def best_passage(item: list[str], window: list[str], generic: np.ndarray) -> Passage:
-    """The passage of the item that the window holds with most matched words. ``generic`` flags units in fragments."""
+def passages(item: list[str], window: list[str], generic: np.ndarray) -> tuple[list[int], list[Passage]]:
+    """The units of the window in the chain with most matched words, and all chains and parts of chains that hold, one
+    for each first and last tile. ``generic`` flags units in fragments."""
     names: dict[str, int] = {}
     p_ids = [names.setdefault(w, len(names) + 1) for w in item]
     t_ids = [names.setdefault(w, len(names) + 1) for w in window]
     w = weights(item)
     found = sorted(tiles(p_ids, t_ids, least_tile(item)))
-    cum = np.concatenate([[0.0], np.cumsum(w, dtype=np.float64)])
-    own = np.concatenate([[0.0], np.cumsum(w * ~generic, dtype=np.float64)])
-    best: list[tuple[float, float, int, int, tuple[int, ...]]] = []  # matched, specific, first unit, tile before, slips
-    top, at = 0.0, -1
-    for j, (p, t, n) in enumerate(found):
-        matched, specific = float(cum[p + n] - cum[p]), float(own[p + n] - own[p])
-        state = (matched, specific, p, -1, ())
+    cum = np.concatenate([[0.0], np.cumsum(w, dtype=np.float64)]).tolist()
+    own = np.concatenate([[0.0], np.cumsum(w * ~generic, dtype=np.float64)]).tolist()
+    links: list[list[tuple[int, float, float, tuple[int, ...]]]] = []  # tile before, words matched by slips, specific ones
+    for j, (p, t, _) in enumerate(found):
+        links.append([])
         for i in range(j - 1, -1, -1):
             pi, ti, ni = found[i]
             gap_p, gap_t = p - pi - ni, t - ti - ni
             if not 0 <= gap_t <= ALTERED + 1 or gap_p < 0 or cum[p] - cum[pi + ni] > ALTERED - 0.9:
                 continue
             slips: tuple[int, ...] = ()
-            slip = 0.0
+            slip = special = 0.0
             if gap_p and gap_t:
                 for x in range(pi + ni, p):
                     y = next((y for y in range(ti + ni, t) if y not in slips and _alike(item[x], window[y])), -1)
                     if y >= 0:
-                        slips, slip = (*slips, y), slip + float(w[x])
-            m = best[i][0] + matched + slip
-            if m > state[0]:
-                state = (m, best[i][1] + specific + slip, best[i][2], i, slips)
-        best.append(state)
-        if state[0] > top:
-            top, at = state[0], j
-    if at < 0:
-        return Passage(0.0, 0.0, 0.0)
-    matched, specific, first, _, _ = best[at]
-    span = float(cum[found[at][0] + found[at][2]] - cum[first])
-    used: list[int] = []
-    while at >= 0:
-        _, t, n = found[at]
-        used += [*range(t, t + n), *best[at][4]]
-        at = best[at][3]
-    return Passage(span, matched, specific, tuple(sorted(used)))
+                        slips, slip, special = (*slips, y), slip + float(w[x]), special + own[x + 1] - own[x]
+            links[j].append((i, slip, special, slips))
+    top: tuple[float, list[int]] = (0.0, [])
+    out: list[Passage] = []
+    # what is best by matched words may lack specific ones, and the other way round
+    for order in (0, 1) if generic.any() else (0,):
+        for first in range(len(found)):
+            best: dict[int, tuple[float, float, int, tuple[int, ...]]] = {}  # matched, specific, tile before, slips
+            for j in range(first, len(found)):
+                p, t, n = found[j]
+                matched, specific = cum[p + n] - cum[p], own[p + n] - own[p]
+                if j == first:
+                    best[j] = (matched, specific, -1, ())
+                    state = best[j]
+                else:
+                    ways = [(best[i][0] + matched + slip, best[i][1] + specific + special, i, slips) for i, slip, special, slips in links[j] if i in best]
+                    if not ways:
+                        continue
+                    state = best[j] = max(ways, key=lambda x: (x[order], x[1 - order]))
+                span = cum[p + n] - cum[found[first][0]]
+                held = Passage(span, state[0], state[1])
+                if state[0] <= top[0] and not held.holds():
+                    continue
+                used: list[int] = []
+                at = j
+                while at >= 0:
+                    _, start, size = found[at]
+                    used += [*range(start, start + size), *best[at][3]]
+                    at = best[at][2]
+                if state[0] > top[0]:
+                    top = (state[0], used)
+                if held.holds():
+                    held.units = tuple(sorted(used))
+                    out.append(held)
+    return top[1], out
+
+
+def holds_exactly(item: list[str], window: list[str], generic: np.ndarray) -> bool:
+    """Whether the window has a run of the item, letter for letter, that is long and specific enough."""
+    where: dict[tuple[str, ...], list[int]] = {}
+    own = np.concatenate([[0.0], np.cumsum(weights(item) * ~generic)])
+
+    def runs(tokens: list[str]) -> list[tuple[int, tuple[str, ...]]]:
+        cum = np.concatenate([[0.0], np.cumsum(weights(tokens))])
+        ends = np.searchsorted(cum, cum[:-1] + (PASSAGE - 1e-6)).tolist()
+        return [(i, tuple(tokens[i:e])) for i, e in enumerate(ends) if e <= len(tokens)]
+
+    for i, run in runs(item):
+        where.setdefault(run, []).append(i)
+    for t, run in runs(window):
+        for p in where.get(run, ()):
+            n = len(run)
+            while p + n < len(item) and t + n < len(window) and item[p + n] == window[t + n]:
+                n += 1
+            if own[p + n] - own[p] >= SPECIFIC:
+                return True
+    return False
+
+
+def _variants(word: str) -> set[str]:
+    """The word and what is left of it without one letter; words with a slip between them share one."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
 def _may_hold(upper: np.ndarray, lower: np.ndarray, least: float) -> bool:
@@ -387,9 +431,10 @@ def _champions(sure: list[np.ndarray], most: int = 16) -> list[int]:
 def leaking(window: list[str], items: list[list[str]], generic: list[np.ndarray], item_seeds: list[set[int]], least: list[float]) -> list[bool]:
     """Which of the items a window leaks.
 
-    A passage counts for the item that explains its stretch of the window best, or for each that does equally well:
-    items made from one template agree in most words of a stretch that was copied from one of them only. Items that
-    another must beat everywhere, by the seeds it surely shares, are not tiled.
+    An exact run of thirteen words counts whatever else matches. An altered passage counts for the item that explains
+    its stretch of the window best, or for each that does equally well: items made from one template agree in most words
+    of a stretch that was copied from one of them only. Every part of a chain of tiles is a passage of its own. Items
+    that another must beat everywhere, by the seeds it surely shares, are not tiled.
     """
     if not items:
         return []
@@ -405,7 +450,16 @@ def leaking(window: list[str], items: list[list[str]], generic: list[np.ndarray]
     rivals = _champions(sure)
     strongest = np.array([sure[j] for j in rivals]).reshape(len(rivals), len(window))
     grams = {n: list(zip(*(window[k:] for k in range(n)))) for n in (2, 3)}
-    passages: dict[int, np.ndarray] = {}
+    held: dict[int, list[Passage]] = {}
+    lows: dict[int, int] = {}
+    out = [False] * len(items)
+    # the words of the items that a word of the window may be, by a slip of the pen
+    by_variant: dict[str, set[str]] = {}
+    for word in {x for item in items for x in item if len(x) >= SLIP}:
+        for v in _variants(word):
+            by_variant.setdefault(v, set()).add(word)
+    slips = [(k, set().union(*(by_variant.get(v, ()) for v in _variants(x)))) for k, x in enumerate(window) if len(x) >= SLIP]
+    slips = [(k, x) for k, x in slips if x]
     for i, item in enumerate(items):
         # a unit can match only inside a tile, that is inside a run of the least length that the item has too
         n = least_tile(item)
@@ -414,25 +468,33 @@ def leaking(window: list[str], items: list[list[str]], generic: list[np.ndarray]
         mask = np.zeros(size - 1, dtype=bool)
         for k in range(n):
             mask[np.asarray(shared, dtype=np.int64) + k] = True
-        upper = w * mask
+        words = set(item)
+        slipped = np.zeros(size - 1, dtype=bool)
+        slipped[[k for k, x in slips if not x.isdisjoint(words)]] = True
+        upper, reach = w * mask, w * (mask | slipped)
         others = strongest[[k for k, j in enumerate(rivals) if j != i]]
         # a passage has no gap wider than what may be altered; outside its units, and a margin, there is nothing to tile
         some = np.flatnonzero(mask)
         runs = np.split(some, np.flatnonzero(np.diff(some) > ALTERED + 2) + 1)
         runs = [(r[0], r[-1] + 1) for r in runs if len(r) and upper[r].sum() >= least[i] - 1e-6]
-        runs = [(a, b) for a, b in runs if _may_hold(upper[a:b], others[:, a:b], least[i])]
+        out[i] = any(upper[r].sum() >= PASSAGE - 1e-6 for a, b in runs for r in np.split(np.arange(a, b), np.flatnonzero(~mask[a:b]))) and holds_exactly(item, window, generic[i])
+        runs = [(a, b) for a, b in runs if out[i] or _may_hold(reach[a:b], others[:, a:b], least[i])]
         if not runs:
             continue
         low, high = max(0, int(runs[0][0]) - 2), min(len(window), int(runs[-1][1]) + 2)
-        p = best_passage(item, window[low:high], generic[i])
-        at = np.asarray(p.units, dtype=np.int64) + low
+        units_of_best, found = passages(item, window[low:high], generic[i])
+        at = np.unique([u + low for p in [Passage(0.0, 0.0, 0.0, tuple(units_of_best)), *found] for u in p.units]).astype(np.int64)
         sure[i][at] = w[at]
-        if p.holds():
-            passages[i] = at
-    out = [False] * len(items)
-    for i, at in passages.items():
-        inside, mine = slice(at[0], at[-1] + 1), w[at].sum()
-        out[i] = not any(sure[j][inside].sum() > mine + 0.4 for j in range(len(items)) if j != i)
+        if found and not out[i]:
+            held[i] = found
+            lows[i] = low
+    for i, found in held.items():
+        for p in found:
+            at = np.asarray(p.units, dtype=np.int64) + lows[i]
+            inside, mine = slice(at[0], at[-1] + 1), w[at].sum()
+            if not any(sure[j][inside].sum() > mine + 0.4 for j in range(len(items)) if j != i):
+                out[i] = True
+                break
     return out
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,29 @@ def test_no_passage_that_tiling_accepts_is_dropped_before_it(spark):
     assert sorted(found) == [(i, 1) for i in range(1, 7)] + [(8, 2)]
 
 
+def test_every_item_of_an_exact_run_counts_whatever_its_rivals(spark):
+    a = "falconer marble typewriter juniper canoe violet squirrel ninety tokens harbour crowd lantern pickle velvet orchard thimble walnut saddle copper meadow".split()
+    b = [*a[:14], "zeppelin", *a[15:19], "end"]
+    short = [*a[:9], "zeppelin", "anchor", *a[11:15], "end"]
+    generic = "read the short passage below with care and then choose the one option that best completes the final sentence".split()
+    fragments = [(" ".join(generic[i : i + 13]),) for i in range(len(generic) - 12)]
+    fourth = [*generic, "xylophone", "gravel", *a[5:19]]
+    items = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(short)), (4, " ".join(fourth))]
+    docs = [(1, " ".join(a)), (2, " ".join([*generic, "one", "two", "three", "four", "five", "six", *a[5:19]]))]
+    found = leak_tiling.leaked_items(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(fragments, "ngram string")
+    ).collect()
+    assert sorted(found) == [(1, 1), (1, 2), (1, 4), (2, 1), (2, 4)]
+
+
+def test_a_part_of_a_chain_that_holds_is_found():
+    words = [f"word{x}" for x in "abcdefghijklmn"]
+    item = [*words[:6], "altered", *words[7:], "xx", "yy", "pp", "qq", "vv", "ww", "rr", "ss", "uu", "zz"]
+    window = [*words[:6], "other", *words[7:], "k1", "k2", "pp", "qq", "k3", "k4", "rr", "ss", "k5", "k6", "zz"]
+    _, found = leak_tiling.passages(item, window, np.zeros(len(item), bool))
+    assert any(p.span == 14 and p.matched == 13 for p in found)
+
+
 def test_generic_fragments_do_not_count(spark):
     generic = "read the short passage below with care and then choose the one option that best completes the final sentence"
     words = generic.split()
