@@ -261,6 +261,21 @@ def test_unmarked_changed_copies_are_found(spark):
     assert generated_code.not_hand_written(spark.createDataFrame([], "file_id bigint, path string, code string")).collect() == []
 
 
+@pytest.mark.parametrize("times", [1, 5])
+def test_a_library_with_many_unmarked_copies_is_found(spark, times):
+    names = "abcdefghijkl"
+    library = [f"    return value_{i} * scale_{i} + offset_{i}" for i in names]
+    idiom = ["import argparse, logging", "def main(arguments):", "if __name__ == '__main__':", "    main(sys.argv[1:])"]
+    hand = [idiom + [f"    rate_{k} = thing_{i} - shift_{k}" for i in "abcdef"] for k in range(20 * times)]
+    marked = [("vendor/x/x.py", [*idiom, *library])] * (2 * times)
+    copies = [("app/util.py", [*idiom, *library[: k % 12], f"changed_line = {k}", *library[k % 12 + 1 :]]) for k in range(20 * times)]
+    part = [("app/part.py", library[:6] + ["own_line_of_code = 1"])]
+    files = marked + copies + part + [("app/own.py", x) for x in hand]
+    rows = [(i, path, "\n".join(x)) for i, (path, x) in enumerate(files)]
+    found = generated_code.not_hand_written(spark.createDataFrame(rows, "file_id bigint, path string, code string")).collect()
+    assert {r["file_id"] for r in found} == set(range(22 * times + 1))
+
+
 # -- sentences --------------------------------------------------------------------------------------------------------
 
 SENTENCES = [
