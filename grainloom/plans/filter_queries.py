@@ -162,8 +162,10 @@ QUERIES |= {
     "apply_filters_plain": lambda s, d: fl.apply_filters(clean_rows(s, d), grams=False).select("doc_id", "subset", "reason"),
     "filter_funnel": lambda s, d: fl.filter_funnel(fl.apply_filters(clean_rows(s, d)), "subset"),
     "filter_funnel_plain": lambda s, d: fl.filter_funnel(fl.apply_filters(clean_rows(s, d), grams=False), "subset"),
-    "top_reasons": lambda s, d: fl.top_reasons(fl.apply_filters(clean_rows(s, d), grams=False)),
-    "filter_calib": lambda s, d: _calibration(fl.apply_filters(clean_rows(s, d), grams=False)),
+    "top_reasons": lambda s, d: fl.top_reasons(fl.apply_filters(clean_rows(s, d))),
+    "top_reasons_plain": lambda s, d: fl.top_reasons(fl.apply_filters(clean_rows(s, d), grams=False)),
+    "filter_calib": lambda s, d: _calibration(fl.apply_filters(clean_rows(s, d))),
+    "filter_calib_plain": lambda s, d: _calibration(fl.apply_filters(clean_rows(s, d), grams=False)),
 }
 
 
@@ -178,9 +180,9 @@ _FILTERED = f"WITH {BASE_SQL}, f AS (SELECT doc_id, subset, {subset_case_sql()}
 ORACLE |= {
     "apply_filters_plain": f"{_FILTERED} SELECT doc_id, subset, reason FROM f",
     "filter_funnel_plain": f"{_FILTERED} SELECT subset, coalesce(reason, 'kept') AS reason, count(*) AS docs FROM f GROUP BY ALL",
-    "top_reasons": f"""{_FILTERED}, c AS (SELECT subset, reason, count(*) AS docs FROM f WHERE reason IS NOT NULL GROUP BY ALL)
+    "top_reasons_plain": f"""{_FILTERED}, c AS (SELECT subset, reason, count(*) AS docs FROM f WHERE reason IS NOT NULL GROUP BY ALL)
         SELECT subset, reason, docs, row_number() OVER (PARTITION BY subset ORDER BY docs DESC, reason) AS rank FROM c QUALIFY rank <= 6""",
-    "filter_calib": f"""{_FILTERED}, c AS (SELECT subset, coalesce(reason, 'kept') AS reason, count(*) AS docs FROM f GROUP BY ALL)
+    "filter_calib_plain": f"""{_FILTERED}, c AS (SELECT subset, coalesce(reason, 'kept') AS reason, count(*) AS docs FROM f GROUP BY ALL)
         SELECT subset, reason, docs, round(docs / sum(docs) OVER (PARTITION BY subset), 6) AS share FROM c""",
 }
 

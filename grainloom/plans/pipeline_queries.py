@@ -24,16 +24,20 @@ def documents(s: SparkSession, d: str) -> DataFrame:
     return df.withColumn("doc_rank", pl.document_rank(F.col("subset"), F.col("part"), F.col("pos")))
 
 
-def _fetched(s: SparkSession, d: str, grams: bool = False) -> DataFrame:
+def _fetched(s: SparkSession, d: str, grams: bool = True) -> DataFrame:
     return pl.fetch_stage(documents(s, d), grams=grams)
 
 
-def _status(s: SparkSession, d: str) -> DataFrame:
-    return pl.clean_status(_fetched(s, d), dq.index(s, d), compatibility=False)
+def _status(s: SparkSession, d: str, grams: bool = True) -> DataFrame:
+    return pl.clean_status(_fetched(s, d, grams), dq.index(s, d), compatibility=False)
 
 
-def _funnel(s: SparkSession, d: str) -> DataFrame:
-    return pl.funnel(documents(s, d), _fetched(s, d), _status(s, d))
+def _funnel(s: SparkSession, d: str, grams: bool = True) -> DataFrame:
+    return pl.funnel(documents(s, d), _fetched(s, d, grams), _status(s, d, grams))
+
+
+def _shown(status: DataFrame) -> DataFrame:
+    return status.select("doc_rank", "subset", F.md5("text").alias("text_md5"), "removed", "status")
 
 
 def _lengths(s: SparkSession, d: str) -> DataFrame:
@@ -91,9 +95,14 @@ _STATUS_CORE = f"""{_FETCH}, {dq._ITEMS}, ct AS (SELECT doc_rank AS key, text AS
 
 QUERIES: dict[str, Query] = {
     "stage_fetch": lambda s, d: _fetched(s, d).select("doc_rank", "doc_id", "subset"),
-    "clean_status": lambda s, d: _status(s, d).select("doc_rank", "subset", F.md5("text").alias("text_md5"), "removed", "status"),
+    "clean_status": lambda s, d: _shown(_status(s, d)),
     "clean_stats": lambda s, d: pl.clean_stats(_status(s, d)),
     "funnel": _funnel,
+    # without the n-gram rules, which SQL does not express
+    "stage_fetch_plain": lambda s, d: _fetched(s, d, False).select("doc_rank", "doc_id", "subset"),
+    "clean_status_plain": lambda s, d: _shown(_status(s, d, False)),
+    "clean_stats_plain": lambda s, d: pl.clean_stats(_status(s, d, False)),
+    "funnel_plain": lambda s, d: _funnel(s, d, False),
     "doc_offsets": lambda s, d: pk.doc_offsets(_lengths(s, d)).select("subset", "part", "ord", "doc_id", "n_tokens", "start_off", "end_off"),
     "split_val": lambda s, d: pk.split_validation(_lengths(s, d), VAL_TOKENS).select("subset", "doc_id", "n_tokens", "split"),
     "mix_schedule": lambda s, d: pk.mix_order(_train(s, d), _weights(s, d)).select("subset", "doc_id", F.round("at", 6).alias("at")),
@@ -110,10 +119,10 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
-    "stage_fetch": f"WITH {_FETCH} SELECT doc_rank, doc_id, subset FROM fetched",
-    "clean_status": f"WITH {_STATUS_CORE} SELECT doc_rank, subset, md5(text) AS text_md5, removed, status FROM status",
-    "clean_stats": f"WITH {_STATUS_CORE} SELECT subset, status, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes, sum(removed)::BIGINT AS removed FROM status GROUP BY ALL",
-    "funnel": f"""WITH {_STATUS_CORE}, a AS (SELECT subset, count(*) AS read FROM raw GROUP BY ROLLUP (subset)), b AS (SELECT subset, count(*) AS filtered FROM fetched GROUP BY ROLLUP (subset)),
+    "stage_fetch_plain": f"WITH {_FETCH} SELECT doc_rank, doc_id, subset FROM fetched",
+    "clean_status_plain": f"WITH {_STATUS_CORE} SELECT doc_rank, subset, md5(text) AS text_md5, removed, status FROM status",
+    "clean_stats_plain": f"WITH {_STATUS_CORE} SELECT subset, status, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes, sum(removed)::BIGINT AS removed FROM status GROUP BY ALL",
+    "funnel_plain": f"""WITH {_STATUS_CORE}, a AS (SELECT subset, count(*) AS read FROM raw GROUP BY ROLLUP (subset)), b AS (SELECT subset, count(*) AS filtered FROM fetched GROUP BY ROLLUP (subset)),
         c AS (SELECT subset, count(*) AS cleaned FROM status WHERE status = 'kept' GROUP BY ROLLUP (subset)),
         j AS (SELECT a.subset, read, coalesce(filtered, 0) AS filtered, coalesce(cleaned, 0) AS cleaned FROM a LEFT JOIN b ON a.subset IS NOT DISTINCT FROM b.subset LEFT JOIN c ON a.subset IS NOT DISTINCT FROM c.subset)
         SELECT *, round(filtered / greatest(read, 1)::DOUBLE, 6) AS filter_rate, round(cleaned / greatest(filtered, 1)::DOUBLE, 6) AS clean_rate FROM j""",

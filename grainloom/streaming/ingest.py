@@ -14,7 +14,7 @@ def ingest_parts(spark: SparkSession, source: str, schema: StructType | str, sin
     Runs until the present files are done. A call that is repeated after a loss takes up where the checkpoint ends.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    kept = filters.apply_filters(stream, grams=False)
+    kept = filters.apply_filters(stream)
     query = kept.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
 

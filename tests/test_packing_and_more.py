@@ -134,5 +134,23 @@ def test_stream_ingest_takes_each_file_once(spark, tmp_path):
     assert sorted((r["doc_id"], r["reason"]) for r in spark.read.parquet(sink).collect()) == [(0, None), (1, None), (10, "code_short"), (11, "code_short")]
 
 
+REPETITIVE = "\n".join(f"The old miller of the valley went down to the river on day {i} and that is all of it." for i in range(40))
+
+
+def test_ingest_and_pipeline_take_the_n_gram_rules(spark, tmp_path):
+    src, sink, ckpt = (str(tmp_path / x) for x in ("src", "sink", "ckpt"))
+    schema = "doc_id bigint, subset string, text string"
+    spark.createDataFrame([(1, "en_web", REPETITIVE)], schema).write.parquet(src)
+    ingest_parts(spark, src, schema, sink, ckpt)
+    reason = spark.read.parquet(sink).first()["reason"]
+    assert "gram" in (reason or "")
+    rows = [(1, "en_web", 0, 0, REPETITIVE)]
+    spark.createDataFrame(rows, "doc_id bigint, subset string, part bigint, pos bigint, text string").write.parquet(f"{tmp_path}/clean.parquet")
+    assert registry.QUERIES["stage_fetch"](spark, str(tmp_path)).count() == 0
+    assert registry.QUERIES["stage_fetch_plain"](spark, str(tmp_path)).count() == 1
+    assert [r["reason"] for r in registry.QUERIES["top_reasons"](spark, str(tmp_path)).collect()] == [reason]
+    assert [r["reason"] for r in registry.QUERIES["filter_calib"](spark, str(tmp_path)).collect()] == [reason]
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
