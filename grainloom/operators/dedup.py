@@ -27,14 +27,24 @@ def coefficients(permutations: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarr
     return rng.integers(1, 1 << 32, permutations, dtype=np.uint64), rng.integers(0, 1 << 32, permutations, dtype=np.uint64)
 
 
-def with_shingles(df: DataFrame, normalized: str, out: str = "shingles", n: int = 5, by_char: bool = False) -> DataFrame:
+def with_shingles(df: DataFrame, normalized: str, out: str = "shingles", n: int = 5, by_char: bool | Column = False) -> DataFrame:
     """``df`` with the distinct runs of ``n`` words of a normalised text, or of ``n`` characters without the blanks; a
-    shorter text is one shingle, an empty one the empty shingle."""
-    tokens = F.split(F.replace(F.col(normalized), F.lit(" "), F.lit("")), "") if by_char else F.split(normalized, " ")
+    shorter text is one shingle, an empty one the empty shingle. ``by_char`` may be a condition on each row."""
+    chars, words = F.split(F.replace(F.col(normalized), F.lit(" "), F.lit("")), ""), F.split(normalized, " ")
+    if isinstance(by_char, Column):
+        split = df.withColumn("__by_char", F.coalesce(by_char, F.lit(False))).withColumn("__tokens", F.when(F.col("__by_char"), chars).otherwise(words))
+        runs = F.when(F.col("__by_char"), T.word_windows("__tokens", n, "")).otherwise(T.word_windows("__tokens", n, " "))
+        return split.withColumn(out, F.array_distinct(runs)).drop("__tokens", "__by_char")
+    tokens = chars if by_char else words
     # the tokens are a column of their own, else every run would split the text again
     return df.withColumn("__tokens", tokens).withColumn(out, F.array_distinct(T.word_windows("__tokens", n, "" if by_char else " "))).drop("__tokens")
 
 
+def chinese(subset: str | None) -> Column:
+    """Whether a row's subset begins with zh: a word there is a whole clause, so its texts are compared by characters."""
+    return F.coalesce(F.col(subset).startswith("zh"), F.lit(False)) if subset else F.lit(False)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct members; 0 for two empty sets."""
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
@@ -138,32 +148,33 @@ def sign_documents(docs: DataFrame, text: str = "text", rank: str = "doc_rank",
     return hashed.select("doc_rank", signature(F.col("h")).alias("sig"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", rank: str = "doc_rank", compatibility: bool = True, kind: str = "crc32") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", rank: str = "doc_rank", compatibility: bool = True, kind: str = "crc32", subset: str | None = None) -> DataFrame:
     """``doc_rank, rep``: one row for each document with the least rank of its class of near duplicates.
 
     Equal texts are joined first, by hash and length of the normalised text, and only one of each goes through LSH.
-    Ranks must be distinct; null ranks are left out.
+    Ranks must be distinct; null ranks are left out. Of a ``subset`` that begins with zh the shingles are of characters.
     """
-    norm = docs.where(F.col(rank).isNotNull()).select(F.col(rank).alias("doc_rank"), T.normalize(F.coalesce(F.col(text), F.lit("")), compatibility).alias("n"))
+    norm = docs.where(F.col(rank).isNotNull()).select(F.col(rank).alias("doc_rank"), chinese(subset).alias("zh"), T.normalize(F.coalesce(F.col(text), F.lit("")), compatibility).alias("n"))
     keyed = norm.withColumn("k", F.sha2("n", 256))
     first = keyed.groupBy("k").agg(F.min("doc_rank").alias("first"))
     same = shared_checkpoint(keyed.select("doc_rank", "k").join(first, "k").select("doc_rank", "first"))
     once = keyed.join(same.where("doc_rank = first").select("doc_rank"), "doc_rank", "left_semi")
-    hashed = with_shingles(once, "n", "s").select("doc_rank", F.transform("s", lambda s: base_hash(s, kind)).alias("h"))
+    hashed = with_shingles(once, "n", "s", by_char=F.col("zh")).select("doc_rank", F.transform("s", lambda s: base_hash(s, kind)).alias("h"))
     signed = shared_checkpoint(hashed.select("doc_rank", signature(F.col("h")).alias("sig")))
     roots = components(verified_edges(candidate_pairs(bands(signed)), signed))
     return same.join(roots, same["first"] == roots["node"], "left").select("doc_rank", F.coalesce("root", "first").alias("rep"))
 
 
-def exact_near_duplicates(docs: DataFrame, text: str = "text", rank: str = "doc_rank", compatibility: bool = True, alike: float = ALIKE) -> DataFrame:
+def exact_near_duplicates(docs: DataFrame, text: str = "text", rank: str = "doc_rank", compatibility: bool = True, alike: float = ALIKE, subset: str | None = None) -> DataFrame:
     """``a, b, similarity`` of all pairs of distinct texts with Jaccard similarity from ``alike`` on, exactly.
 
     Prefix filtering: the shingles of a document are ordered from rare to frequent, and two alike documents must share
     one among the first ``size - ceil(alike * size) + 1`` of each. Only these rare shingles are joined.
+    Of a ``subset`` that begins with zh the shingles are of characters.
     """
-    norm = docs.select(F.col(rank).alias("doc_rank"), T.normalize(F.coalesce(F.col(text), F.lit("")), compatibility).alias("n"))
-    once = norm.groupBy("n").agg(F.min("doc_rank").alias("doc_rank"))
-    sets = shared_checkpoint(with_shingles(once, "n", "s").select("doc_rank", "s"))
+    norm = docs.select(F.col(rank).alias("doc_rank"), chinese(subset).alias("zh"), T.normalize(F.coalesce(F.col(text), F.lit("")), compatibility).alias("n"))
+    once = norm.groupBy("n").agg(F.min("doc_rank").alias("doc_rank"), F.min_by("zh", "doc_rank").alias("zh"))
+    sets = shared_checkpoint(with_shingles(once, "n", "s", by_char=F.col("zh")).select("doc_rank", "s"))
     long = sets.select("doc_rank", F.size("s").alias("size"), F.explode("s").alias("g"))
     rare = long.groupBy("g").agg(F.count("*").alias("df"))
     order = Window.partitionBy("doc_rank").orderBy("df", "g")

@@ -37,7 +37,7 @@ def clean_status(docs: DataFrame, index: DataFrame, compatibility: bool = True)
     neither duplicates nor contaminated, also when they are then too short. Code keeps its paragraphs.
     """
     docs = shared_checkpoint(docs.select("doc_rank", "subset", "text"))
-    reps = dedup.near_duplicates(docs, compatibility=compatibility)
+    reps = dedup.near_duplicates(docs, compatibility=compatibility, subset="subset")
     bad = decontam.contaminated(docs, index, key="doc_rank", compatibility=compatibility)
     flagged = shared_checkpoint(docs.join(reps, "doc_rank").join(bad, "doc_rank", "left").withColumn("status", F.when(F.col("rep") != F.col("doc_rank"), "near_dup").when(F.col("bench").isNotNull(), F.concat(F.lit("contam:"), "bench"))).drop("rep", "bench"))
     common = paragraphs.common_paragraphs(paragraphs.paragraphs(docs.where("subset <> 'code'"), compatibility=compatibility))

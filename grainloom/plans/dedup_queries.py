@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "clean", "doc_id", "text").groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("doc_rank", F.col("doc_id"))
+    return t(spark, d, "clean", "doc_id", "subset", "text").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("subset").alias("subset")).withColumn("doc_rank", F.col("doc_id"))
 
 
 def distinct_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -36,16 +36,16 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def _clusters(s: SparkSession, d: str) -> DataFrame:
-    return dd.near_duplicates(documents(s, d), compatibility=False, kind="md5").select(F.col("doc_rank").alias("doc_id"), F.col("rep").alias("rep_id"))
+    return dd.near_duplicates(documents(s, d), compatibility=False, kind="md5", subset="subset").select(F.col("doc_rank").alias("doc_id"), F.col("rep").alias("rep_id"))
 
 
 def _exact(s: SparkSession, d: str) -> DataFrame:
-    return dd.exact_near_duplicates(documents(s, d), compatibility=False).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return dd.exact_near_duplicates(documents(s, d), compatibility=False, subset="subset").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def _exact_dups(s: SparkSession, d: str) -> DataFrame:
     """Documents that are not the first of their exact class, over representatives."""
-    return dd.components(dd.exact_near_duplicates(documents(s, d), compatibility=False)).where("node <> root").select(F.col("node").alias("doc_rank"))
+    return dd.components(dd.exact_near_duplicates(documents(s, d), compatibility=False, subset="subset")).where("node <> root").select(F.col("node").alias("doc_rank"))
 
 
 def _lsh_dups(s: SparkSession, d: str) -> DataFrame:

@@ -67,6 +67,18 @@ def test_exact_pairs_against_brute_force(spark):
     assert got == ideal and len(ideal) == 4
 
 
+def test_edited_chinese_reposts_are_near_duplicates(spark):
+    rng = random.Random(4)
+    clauses = ["".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(20)) for _ in range(8)]
+    text = "，".join(clauses)
+    edited_text = "，".join("变" + c[1:] if i in (1, 5) else c for i, c in enumerate(clauses))
+    rows = [(0, "zh_web", text), (1, "zh_wiki", edited_text), (2, "en_web", "some words of another text"), (3, None, "more words that stand alone")]
+    docs = spark.createDataFrame(rows, "doc_rank bigint, subset string, text string")
+    assert dict(dd.near_duplicates(docs, subset="subset").select("doc_rank", "rep").collect()) == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert [(r["a"], r["b"]) for r in dd.exact_near_duplicates(docs, subset="subset").collect()] == [(0, 1)]
+    assert dd.exact_near_duplicates(docs).count() == 0
+
+
 def test_normalize(spark):
     df = spark.createDataFrame([("ＡＢ_c-ﬁ  x!",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(T.normalize("t")).collect()] == ["ab c fi x", None, ""]
