@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from grainloom.functions import text as T
 from grainloom.operators.lineage import shared_checkpoint
 
 #: Permutations, bands, and the similarity from which two documents count as alike. Buckets larger than `STAR` are
-#: joined to their first member only, which keeps every member connected without all pairs.
+#: joined to their first member only; links that this star misses are found by `links_across`.
 PERMUTATIONS, BANDS, ALIKE, STAR = 256, 32, 0.8, 32
 
 _MERSENNE = (1 << 61) - 1
@@ -141,6 +142,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def links_across(banded: DataFrame, signed: DataFrame, roots: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """``a, b, similarity``: the alike pairs among members of large buckets that their stars left in different classes.
+
+    Exact, by prefix filtering: two alike signatures agree in ``ceil(alike * size)`` places at least, so they share one of
+    the rarest ``size - ceil(alike * size) + 1`` places of each. A bucket whose members are all of one class has no pairs.
+    """
+    large = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > STAR).select("band", "key")
+    members = banded.join(large, ["band", "key"]).join(roots.select(F.col("node").alias("doc_rank"), "root"), "doc_rank", "left").withColumn("root", F.coalesce("root", "doc_rank"))
+    mixed = members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
+    open_ = shared_checkpoint(members.join(mixed, ["band", "key"]).select("doc_rank", "root").distinct())
+    places = signed.join(open_, "doc_rank").select("doc_rank", "root", F.posexplode("sig").alias("at", "value"))
+    rare = places.groupBy("at", "value").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("doc_rank").orderBy("df", "at", "value")
+    least = PERMUTATIONS - math.ceil(alike * PERMUTATIONS) + 1
+    prefix = places.join(rare, ["at", "value"]).withColumn("nth", F.row_number().over(order)).where((F.col("nth") <= least) & (F.col("df") > 1))
+    x, y = prefix.alias("x"), prefix.alias("y")
+    same = (F.col("x.at") == F.col("y.at")) & (F.col("x.value") == F.col("y.value"))
+    pairs = x.join(y, same & (F.col("x.doc_rank") < F.col("y.doc_rank")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.doc_rank").alias("a"), F.col("y.doc_rank").alias("b")).distinct()
+    return verified_edges(pairs, signed, alike)
+
+
 def sign_documents(docs: DataFrame, text: str = "text", rank: str = "doc_rank", compatibility: bool = True, by_char: bool = False, kind: str = "crc32") -> DataFrame:
     """``doc_rank, sig`` of each document; a null text counts as empty, and all empty texts are alike."""
     norm = docs.select(F.col(rank).alias("doc_rank"), T.normalize(F.coalesce(F.col(text), F.lit("")), compatibility).alias("n"))
@@ -161,7 +183,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", rank: str = "doc_rank",
     once = keyed.join(same.where("doc_rank = first").select("doc_rank"), "doc_rank", "left_semi")
     hashed = with_shingles(once, "n", "s", by_char=F.col("zh")).select("doc_rank", F.transform("s", lambda s: base_hash(s, kind)).alias("h"))
     signed = shared_checkpoint(hashed.select("doc_rank", signature(F.col("h")).alias("sig")))
-    roots = components(verified_edges(candidate_pairs(bands(signed)), signed))
+    banded = bands(signed)
+    edges = shared_checkpoint(verified_edges(candidate_pairs(banded), signed))
+    roots = components(edges)
+    more = shared_checkpoint(links_across(banded, signed, roots))
+    if not more.isEmpty():
+        roots = components(edges.unionByName(more))
     return same.join(roots, same["first"] == roots["node"], "left").select("doc_rank", F.coalesce("root", "first").alias("rep"))
 
 

@@ -41,6 +41,28 @@ def test_large_bucket_is_a_star(spark):
     assert sorted(pairs) == [(0, r) for r in range(1, 40)]
 
 
+def test_links_that_a_star_misses_are_found(spark):
+    rng = random.Random(8)
+    family = [f"w{rng.randint(0, 9999)}" for _ in range(300)]
+    # every text shares most of the family's words, its own part tells it from the others; one has a near duplicate
+    texts = [" ".join([*family, *(f"own{k}x{rng.randint(0, 9999)}" for _ in range(110))]) for k in range(80)]
+    words = texts[60].split()
+    texts.append(" ".join([*words[:-3], "one", "two", "three"]))
+    docs = docs_frame(spark, texts)
+    signed = dd.sign_documents(docs)
+    banded = dd.bands(signed)
+    pairs = dd.verified_edges(dd.candidate_pairs(banded), signed).select("a", "b").collect()
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    large = spark.createDataFrame([(0, 7, r) for r in range(81)], "band int, key bigint, doc_rank bigint")
+    assert (60, 80) not in dd.verified_edges(dd.candidate_pairs(large), signed).select("a", "b").collect()
+    found = {(r["a"], r["b"]) for r in dd.links_across(large, signed, roots).collect()}
+    assert (60, 80) in found and found >= {tuple(p) for p in pairs}
+    sigs = {r["doc_rank"]: np.array(r["sig"]) for r in signed.collect()}
+    assert found == {(i, j) for i in sigs for j in sigs if i < j and (sigs[i] == sigs[j]).mean() >= dd.ALIKE}
+    one = spark.createDataFrame([(r, 0) for r in range(81)], "node bigint, root bigint")
+    assert dd.links_across(large, signed, one).count() == 0
+
+
 def test_verification_rejects_chance_collisions(spark):
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**32, 256).tolist()
