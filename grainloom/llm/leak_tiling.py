@@ -3,11 +3,13 @@
 1. Items and documents become sequences of units: words, and single Han characters of half a word's weight.
 2. Seeds are runs as long as an item's shortest tile. A bitmap of fixed size holds the items' seeds; a narrow stage keeps
    of each document only the windows in which enough of its units lie in seeds, so no document text is ever shuffled.
-3. Distinct windows are joined to the items on the exact seed; a pair goes on when seeds no further apart than tiles of a
-   passage cover as many words as the tiles of an accepted passage must (`least_covered`).
+3. Slices of the distinct windows meet blocks of the items, both of bounded size; a block's inverted index joins the seeds
+   of a window to its items, and a pair is tiled when its longest common runs can be linked as the tiles of a passage are
+   and span and cover as much (`_stretches`; a bound from the acceptance rule that loses no passage).
 4. Each pair is tiled: a running Karp-Rabin scan finds common runs of a search length, the longest are marked first, the
    length shrinks until the least tile is reached. Tiles in the item's order with at most single altered units between
-   them form a passage; a passage of thirteen words of the item that does not consist of generic fragments is a leak.
+   them form a passage; a passage of thirteen words of the item that does not consist of generic fragments is a leak
+   (`leaked_items`). What long tiles cover of an item in any order is thresholded by itself (`item_coverage`).
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import chain
 
@@ -50,9 +52,11 @@ HAN = "㐀-䶿一-鿿豈-﫿"
 _UNIT = re.compile(f"[{HAN}]|[^\\W_{HAN}]+")
 _IS_HAN = re.compile(f"[{HAN}]")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]+")
-_INLINE_TAG = re.compile(r"</?(?:a|b|i|u|s|em|strong|span|font|code|mark|small|sup|sub|tt)\b[^<>]{0,200}>", re.I)
-_TAG = re.compile(r"</?[a-z][^<>]{0,200}>|<!--.{0,200}?-->", re.I)
-_NOTE = re.compile(r"\[\^?\d{1,4}\]|\]\([^()\s]{0,300}\)")
+#: A tag of some length must consist of attributes with values, else it is text between two signs of comparison.
+_REST = r"(?:[^<>]{0,200}|(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>]+))+\s*/?)>"
+_INLINE_TAG = re.compile(rf"</?(?:a|b|i|u|s|em|strong|span|font|code|mark|small|sup|sub|tt)\b{_REST}", re.I)
+_TAG = re.compile(rf"</?[a-z][\w:-]*{_REST}", re.I)
+_NOTE = re.compile(r"\[\^?\d{1,4}\]|\]\([^()\s]*\)")
 _MARK = re.compile(r"[̀-ͯ]")
 _ACCENTED = re.compile("[À-ɏ̀-ͯḀ-ỿ]")
 _FOREIGN_LETTER = re.compile("[Ͱ-ϿЀ-ӿԀ-ԯա-ևıɡ]")
@@ -71,6 +75,15 @@ _SIMPLIFIED = str.maketrans(
 _TRADITIONAL = re.compile("[" + "".join(map(chr, _SIMPLIFIED)) + "]")
 
 
+def _without_comments(text: str) -> str:
+    """Without markup comments of any length, in one pass."""
+    kept, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (stop := text.find("-->", start + 4)) >= 0:
+        kept.append(text[at:start])
+        at = stop + 3
+    return " ".join([*kept, text[at:]])
+
+
 def normalise(text: str) -> str:
     """Letter forms, invisible characters, markup and accents away; lower case. Layout stays, units ignore it."""
     if not text.isascii():
@@ -79,7 +92,7 @@ def normalise(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
-        text = _TAG.sub(" ", _INLINE_TAG.sub("", text))
+        text = _TAG.sub(" ", _INLINE_TAG.sub("", _without_comments(text)))
     if "[" in text:
         text = _NOTE.sub(" ", text)
     if not text.isascii():
@@ -393,107 +406,192 @@ def holds_exactly(item: list[str], window: list[str], generic: np.ndarray) -> bo
     return False
 
 
-def _variants(word: str) -> set[str]:
-    """The word and what is left of it without one letter; words with a slip between them share one."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
-
+@dataclass
+class Item:
+    """An item prepared for tiling; sums before each unit of the words, and of the words outside fragments."""
+
+    tokens: list[str]
+    generic: np.ndarray
+    w: np.ndarray = field(init=False)
+    least: float = field(init=False)
+    cum: np.ndarray = field(init=False)
+    own: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.w = weights(self.tokens)
+        self.least = least_covered(self.tokens, self.w)
+        self.cum = np.concatenate([[0.0], np.cumsum(self.w)])
+        self.own = np.concatenate([[0.0], np.cumsum(self.w * ~self.generic)])
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after the other, and the range that each is of."""
+    n = np.maximum(high - low, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(owner)), owner
+
+
+class ItemIndex:
+    """Inverted index of a block of items: where each run of the least tile's length, and each seed, stands."""
+
+    def __init__(self, items: list[Item]) -> None:
+        self.items = items
+        self.tile = np.array([least_tile(x.tokens) for x in items], dtype=np.int64)
+        self.least = np.array([x.least for x in items])
+        self._runs = {}
+        for n in TILES:
+            rows = np.flatnonzero(self.tile == n)
+            hashes = [tile_seeds(items[r].tokens, n) for r in rows]
+            self._runs[n] = self._sorted(hashes, rows)
+        found = [seeds(x.tokens) for x in items]
+        # seeds inside fragments show nothing
+        kept = [h[[not x.generic[a:b].all() for a, b in zip(s, e)]] if len(h) else h for x, (s, e, h) in zip(items, found)]
+        self._seeds = self._sorted(kept, np.arange(len(items)))
+
+    @staticmethod
+    def _sorted(hashes: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        row = np.repeat(rows, [len(h) for h in hashes])
+        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        return flat[order], row[order], place[order]
+
+    @staticmethod
+    def _find(index: tuple[np.ndarray, np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, owner = _spread(np.searchsorted(index[0], hashes, "left"), np.searchsorted(index[0], hashes, "right"))
+        return index[1][at], owner, index[2][at]
+
+    def segments(self, window: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Item, place in the window, place in the item and length of every longest common run, by item."""
+        parts = []
+        for n in TILES:
+            row, t, p = self._find(self._runs[n], tile_seeds(window, n))
+            order = np.lexsort((t, t - p, row))
+            row, t, p = row[order], t[order], p[order]
+            if len(row):
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(row) > 0) | (np.diff(t - p) != 0) | (np.diff(t) != 1)]))
+                parts.append((row[new], t[new], p[new], np.diff(np.append(new, len(t))) + n - 1))
+        out = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
+        order = np.argsort(out[0], kind="stable")
+        return tuple(x[order] for x in out)
+
+    def surely(self, window: list[str], w: np.ndarray) -> np.ndarray:
+        """Words of the window that surely match each item: those in a seed that the item has outside fragments."""
+        start, end, hashes = seeds(window)
+        row, k, _ = self._find(self._seeds, hashes)
+        step = np.zeros((len(self.items), len(window) + 1), np.int32)
+        np.add.at(step, (row, start[k]), 1)
+        np.add.at(step, (row, end[k]), -1)
+        return (np.cumsum(step[:, :-1], axis=1) > 0) * w
+
+
+#: Common runs of an item and a window beyond which their chains are not looked at before tiling.
+MOST_SEGMENTS = 400
+
+
+def _stretches(index: ItemIndex, window: list[str], w: np.ndarray) -> dict[int, tuple[int, int]]:
+    """The items that may hold a passage, each with the part of the window where it may stand.
+
+    The tiles of a passage are parts of longest common runs that follow each other as tiles do, so together these must
+    span and cover what a passage does. No passage is lost here.
+    """
+    row, t, p, n = index.segments(window)
+    ahead = np.concatenate([[0.0], np.cumsum(w)])
+    size = ahead[t + n] - ahead[t]
+    enough = (np.bincount(row, size, minlength=len(index.items)) >= index.least - 1e-6)[row]
+    row, t, p, n, size = row[enough], t[enough], p[enough], n[enough], size[enough]
+    if not len(row):
+        return {}
+    first, last = np.searchsorted(row, row, "left"), np.searchsorted(row, row, "right")
+    many = last - first > MOST_SEGMENTS
+    b, a = _spread(first, np.where(many, first, last))
+    wide = np.where(index.tile[row[a]] == TILES[0], ALTERED - 1, 2 * ALTERED - 1)
+    link = (t[b] > t[a]) & (p[b] > p[a]) & (t[b] - t[a] - n[a] <= ALTERED + 1) & (p[b] - p[a] - n[a] <= wide)
+    a, b = a[link], b[link]
+    label = np.where(many, first, np.arange(len(row)))
+    while len(a):
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            break
+    order = np.argsort(label, kind="stable")
+    row, t, p, n, size, label = row[order], t[order], p[order], n[order], size[order], label[order]
+    new = np.flatnonzero(np.concatenate([[True], np.diff(label) > 0]))
+    stop = np.append(new[1:], len(label))
+    lows = (np.minimum.reduceat(t, new), np.minimum.reduceat(p, new))
+    highs = (np.maximum.reduceat(t + n, new), np.maximum.reduceat(p + n, new))
+    out: dict[int, tuple[int, int]] = {}
+    for k in np.flatnonzero(np.add.reduceat(size, new) >= index.least[row[new]] - 1e-6).tolist():
+        item = index.items[row[new[k]]]
+        (t0, p0), (t1, p1) = (x[k] for x in lows), (x[k] for x in highs)
+        if item.cum[p1] - item.cum[p0] < PASSAGE - 1e-6 or item.own[p1] - item.own[p0] < SPECIFIC - 1e-6:
+            continue
+        mine, here = np.zeros(p1 - p0, dtype=bool), np.zeros(t1 - t0, dtype=bool)
+        for q in range(new[k], stop[k]):
+            mine[p[q] - p0 : p[q] - p0 + n[q]] = here[t[q] - t0 : t[q] - t0 + n[q]] = True
+        words, special = item.w[p0:p1], ~item.generic[p0:p1]
+        if min(words[mine].sum(), w[t0:t1][here].sum()) < item.least - 1e-6:
+            continue
+        slips = sum(len(item.tokens[x]) >= SLIP for x in np.flatnonzero(special & ~mine) + p0)
+        if words[mine & special].sum() + slips < SPECIFIC - 1e-6:
+            continue
+        low, high = out.get(int(row[new[k]]), (len(window), 0))
+        out[int(row[new[k]])] = (min(low, int(t0)), max(high, int(t1)))
+    return out
 
-def _may_hold(upper: np.ndarray, lower: np.ndarray, least: float) -> bool:
-    """Whether some stretch may hold a passage of one item that no rival explains better.
 
-    ``upper`` are the words that can match the item, the rows of ``lower`` those that surely match a rival, unit by unit.
-    """
-    total = np.concatenate([[0.0], np.cumsum(upper)])
-    last = np.searchsorted(total, total - least + 1e-6, side="right") - 1
-    ends = np.flatnonzero(last >= 0)
-    if not len(ends):
-        return False
-    lead = np.zeros((len(lower), len(total)))
-    np.cumsum(upper - lower, axis=1, out=lead[:, 1:])
-    lowest = np.minimum.accumulate(lead, axis=1)
-    return bool(np.all(np.any(lead[:, ends] - lowest[:, last[ends]] >= -0.4, axis=1)))
+@dataclass
+class Finding:
+    """What a window shows of an item: an exact passage, or the units and words of altered ones that rivals may explain."""
 
+    item: int
+    exact: bool
+    altered: list[tuple[int, int, float]]
 
-def _champions(sure: list[np.ndarray], most: int = 16) -> list[int]:
-    """The items that own the longest surely matched run at some unit of the window."""
-    longest = np.zeros(len(sure[0]))
-    owner = np.full(len(sure[0]), -1)
-    for i, mask in enumerate(sure):
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask > 0, [0]])))
-        for a, b in edges.reshape(-1, 2):
-            run = mask[a:b].sum()
-            better = longest[a:b] < run
-            longest[a:b][better], owner[a:b][better] = run, i
-    won = np.bincount(owner[owner >= 0], minlength=len(sure))
-    return [int(i) for i in np.argsort(-won, kind="stable")[:most] if won[i]]
 
+def examine(window: list[str], index: ItemIndex, masks: bool = False) -> tuple[list[Finding], np.ndarray]:
+    """The items of the index with a passage in the window, and the words of the window that each item surely matches
+    (where an altered passage needs them, or ``masks`` are asked for).
 
-def leaking(window: list[str], items: list[list[str]], generic: list[np.ndarray], item_seeds: list[set[int]], least: list[float]) -> list[bool]:
-    """Which of the items a window leaks.
+    Every item that may hold a passage is tiled, and every part of a chain of tiles is a passage of its own.
+    """
+    w = weights(window)
+    out: list[Finding] = []
+    marked: list[tuple[int, np.ndarray]] = []
+    for i, (a, b) in _stretches(index, window, w).items():
+        low, high = max(0, a - 2), min(len(window), b + 2)
+        item = index.items[i]
+        best, found = passages(item.tokens, window[low:high], item.generic)
+        marked.append((i, low + np.array(sorted({*best, *chain.from_iterable(p.units for p in found)}), dtype=np.int64)))
+        if found:
+            exact = holds_exactly(item.tokens, window[low:high], item.generic)
+            spans = {(low + p.units[0], low + p.units[-1] + 1, float(w[low + np.array(p.units)].sum())) for p in found}
+            out.append(Finding(i, exact, [] if exact else sorted(spans)))
+    if not masks and not any(x.altered for x in out):
+        return out, np.zeros((0, len(window)))
+    sure = index.surely(window, w)
+    for i, at in marked:
+        sure[i, at] = w[at]
+    return out, sure
+
+
+def leaking(window: list[str], index: ItemIndex) -> list[int]:
+    """The items of the index that a window leaks.
 
     An exact run of thirteen words counts whatever else matches. An altered passage counts for the item that explains
     its stretch of the window best, or for each that does equally well: items made from one template agree in most words
-    of a stretch that was copied from one of them only. Every part of a chain of tiles is a passage of its own. Items
-    that another must beat everywhere, by the seeds it surely shares, are not tiled.
+    of a stretch that was copied from one of them only.
     """
-    if not items:
-        return []
-    w = weights(window)
-    start, end, hashes = seeds(window)
-    hashes = hashes.view(np.int64).tolist()
-    size = len(window) + 1
-    sure: list[np.ndarray] = []
-    for own in item_seeds:
-        hit = [i for i, h in enumerate(hashes) if h in own]
-        step = np.bincount(start[hit], minlength=size) - np.bincount(end[hit], minlength=size)
-        sure.append((np.cumsum(step[:-1]) > 0) * w)
-    rivals = _champions(sure)
-    strongest = np.array([sure[j] for j in rivals]).reshape(len(rivals), len(window))
-    grams = {n: list(zip(*(window[k:] for k in range(n)))) for n in (2, 3)}
-    held: dict[int, list[Passage]] = {}
-    lows: dict[int, int] = {}
-    out = [False] * len(items)
-    # the words of the items that a word of the window may be, by a slip of the pen
-    by_variant: dict[str, set[str]] = {}
-    for word in {x for item in items for x in item if len(x) >= SLIP}:
-        for v in _variants(word):
-            by_variant.setdefault(v, set()).add(word)
-    slips = [(k, set().union(*(by_variant.get(v, ()) for v in _variants(x)))) for k, x in enumerate(window) if len(x) >= SLIP]
-    slips = [(k, x) for k, x in slips if x]
-    for i, item in enumerate(items):
-        # a unit can match only inside a tile, that is inside a run of the least length that the item has too
-        n = least_tile(item)
-        known = set(zip(*(item[k:] for k in range(n))))
-        shared = [k for k, g in enumerate(grams[n]) if g in known]
-        mask = np.zeros(size - 1, dtype=bool)
-        for k in range(n):
-            mask[np.asarray(shared, dtype=np.int64) + k] = True
-        words = set(item)
-        slipped = np.zeros(size - 1, dtype=bool)
-        slipped[[k for k, x in slips if not x.isdisjoint(words)]] = True
-        upper, reach = w * mask, w * (mask | slipped)
-        others = strongest[[k for k, j in enumerate(rivals) if j != i]]
-        # a passage has no gap wider than what may be altered; outside its units, and a margin, there is nothing to tile
-        some = np.flatnonzero(mask)
-        runs = np.split(some, np.flatnonzero(np.diff(some) > ALTERED + 2) + 1)
-        runs = [(r[0], r[-1] + 1) for r in runs if len(r) and upper[r].sum() >= least[i] - 1e-6]
-        out[i] = any(upper[r].sum() >= PASSAGE - 1e-6 for a, b in runs for r in np.split(np.arange(a, b), np.flatnonzero(~mask[a:b]))) and holds_exactly(item, window, generic[i])
-        runs = [(a, b) for a, b in runs if out[i] or _may_hold(reach[a:b], others[:, a:b], least[i])]
-        if not runs:
-            continue
-        low, high = max(0, int(runs[0][0]) - 2), min(len(window), int(runs[-1][1]) + 2)
-        units_of_best, found = passages(item, window[low:high], generic[i])
-        at = np.unique([u + low for p in [Passage(0.0, 0.0, 0.0, tuple(units_of_best)), *found] for u in p.units]).astype(np.int64)
-        sure[i][at] = w[at]
-        if found and not out[i]:
-            held[i] = found
-            lows[i] = low
-    for i, found in held.items():
-        for p in found:
-            at = np.asarray(p.units, dtype=np.int64) + lows[i]
-            inside, mine = slice(at[0], at[-1] + 1), w[at].sum()
-            if not any(sure[j][inside].sum() > mine + 0.4 for j in range(len(items)) if j != i):
-                out[i] = True
+    found, sure = examine(window, index)
+    out = [x.item for x in found if x.exact]
+    for x in found:
+        for a, b, mine in x.altered:
+            rivals = sure[:, a:b].sum(axis=1)
+            rivals[x.item] = 0.0
+            if not len(rivals) or rivals.max() <= mine + 0.4:
+                out.append(x.item)
                 break
     return out
 
@@ -515,23 +613,22 @@ def _generic_flags(tokens: list[str], w: np.ndarray, fragments: frozenset[str])
 #: Fragments that may be listed; the list is a curated parameter of the operator, far below this bound.
 MOST_FRAGMENTS = 1_000_000
 
+#: Units of the items in a block, which a task indexes in memory; windows that a task puts to a block.
+BLOCK_UNITS, SLICE = 4_000_000, 500
 
-def leaked_items(docs: DataFrame, items: DataFrame, fragments: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row ``(doc_id, item_id)`` for each document and item of which it holds a passage.
+#: Units of the shortest tile of a reordered item, in words, and the share of its words that such tiles must cover.
+REORDERED_TILE, COVERED = 8, 0.6
 
-    A passage is a run of at least thirteen consecutive words of the item, in its order, where single words may be
-    altered, dropped or put in, and letter forms, layout and markup do not matter. Null, empty and short texts and items
-    match nothing; null ids are left out; items that occur under several ids count under each, repeated rows once. Empty
-    tables give an empty result. Extra columns are not read.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
+
+def _prepared_items(items: DataFrame, fragments: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """``key, units, generic, slots, least``: each distinct long enough item text once; and ``key, item_id``."""
+    spark = items.sparkSession
     rows = fragments.where(F.col("ngram").isNotNull()).select("ngram").distinct().limit(MOST_FRAGMENTS + 1).collect()
     if len(rows) > MOST_FRAGMENTS:
         raise ValueError(f"more than {MOST_FRAGMENTS} generic fragments")
     generic = spark.sparkContext.broadcast(frozenset(" ".join(units(r[0])) for r in rows))
 
-    def item_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             tokens = units(raw)
@@ -539,35 +636,24 @@ def leaked_items(docs: DataFrame, items: DataFrame, fragments: DataFrame, doc_id
             if float(w.sum()) < PASSAGE - 1e-6:
                 continue
             flags = _generic_flags(tokens, w, generic.value)
-            own = [h for s, e, h in zip(*(x.tolist() for x in seeds(tokens))) if not flags[s:e].all()]
-            own = np.array(own, np.uint64).view(np.int64).tolist()
-            n, reach = least_tile(tokens), 2 * (ALTERED - 1)
-            # every tile of a passage counts, also one in a fragment; some tile stands in or next to the words outside
-            beside = np.convolve(~flags, np.ones(2 * reach + n), "full")[reach + n - 1 :][: len(tokens) - n + 1] > 0.5
-            probes: dict[int, bool] = {}
-            for h, near in zip(tile_seeds(tokens, n).view(np.int64).tolist(), beside.tolist()):
-                probes[h] = probes.get(h, False) or near
-            out.append((i, " ".join(tokens), flags.tolist(), sorted(set(own)), [{"seed": h, "near": x} for h, x in probes.items()], least_covered(tokens, w)))
-        cols = list(zip(*out)) or [[]] * 6
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(cols[0], pa.int64()),
-                pa.array(cols[1], pa.string()),
-                pa.array(cols[2], pa.list_(pa.bool_())),
-                pa.array(cols[3], pa.list_(pa.int64())),
-                pa.array(cols[4], pa.list_(pa.struct([("seed", pa.int64()), ("near", pa.bool_())]))),
-                pa.array(cols[5], pa.float64()),
-            ],
-            ["item_id", "units", "generic", "seeds", "probes", "least"],
-        )
+            slots = np.unique(tile_seeds(tokens, least_tile(tokens)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            out.append((i, " ".join(tokens), flags.astype(np.uint8).tobytes(), slots, least_covered(tokens, w)))
+        cols = list(zip(*out)) or [[]] * 5
+        kinds = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["item_id", "units", "generic", "slots", "least"])
 
     plain = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    index = shared_checkpoint(map_batches(plain, item_rows, "item_id bigint, units string, generic array<boolean>, seeds array<bigint>, probes array<struct<seed: bigint, near: boolean>>, least double"))
-    postings = index.select("item_id", "least", F.inline("probes"))
-    lowest = index.agg(F.min("least")).first()[0] or 0.0
+    every = shared_checkpoint(map_batches(plain, prepare, "item_id bigint, units string, generic binary, slots array<bigint>, least double").withColumn("key", F.md5("units")))
+    texts = every.groupBy("key").agg(*[F.any_value(c).alias(c) for c in ("units", "generic", "slots", "least")])
+    return shared_checkpoint(texts), every.select("key", "item_id").distinct()
 
+
+def _held_windows(docs: DataFrame, texts: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, window_id, window``: the stretches of documents in which runs of items lie close enough together."""
+    spark = docs.sparkSession
+    lowest = texts.agg(F.min("least")).first()[0] or 0.0
     # the filter: at most 2^FILTER_BITS slots reach the driver, packed into 64-bit words
-    slots = postings.select(F.shiftrightunsigned("seed", 64 - FILTER_BITS).alias("slot")).distinct()
+    slots = texts.select(F.explode("slots").alias("slot")).distinct()
     words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas()
     packed = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
     packed[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
@@ -579,39 +665,127 @@ def leaked_items(docs: DataFrame, items: DataFrame, fragments: DataFrame, doc_id
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([w for _, w in found], pa.string())], ["doc_id", "window"])
 
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    held = map_batches(source, windows, "doc_id bigint, window string").withColumn("window_id", F.md5("window"))
-    held = shared_checkpoint(held)
+    return shared_checkpoint(map_batches(source, windows, "doc_id bigint, window string").withColumn("window_id", F.md5("window")))
+
+
+def _against_items(held: DataFrame, texts: DataFrame, blocks: int, look, schema: str) -> DataFrame:
+    """``look(windows, index, keys)`` of every slice of the distinct windows and every block of the items.
+
+    A slice and a block are bounded, so no frequent run of words and no hot window ever meets all items in one task.
+    """
     distinct = held.groupBy("window_id").agg(F.any_value("window").alias("window"))
+    n = distinct.count()
+    slices = max(1, -(-n // SLICE), min(held.sparkSession.sparkContext.defaultParallelism, -(-n // 50)))
+    deal = lambda c, k: F.expr(f"cast(pmod(xxhash64({c}), {k}) as int)")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = distinct.select("window_id", "window", deal("window_id", slices).alias("slice"), every(blocks).alias("block"))
+    right = texts.select("key", "units", "generic", deal("key", blocks).alias("block"), every(slices).alias("slice"))
+
+    def run(windows: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        if windows.empty or items.empty:
+            return look(windows.iloc[:0], None, [])
+        index = ItemIndex([Item(u.split(" "), np.frombuffer(g, np.uint8).astype(bool)) for u, g in zip(items["units"], items["generic"])])
+        return look(windows, index, items["key"].tolist())
+
+    # a partition of its own for nearly every group: the data are small, the work on them is not
+    tasks = 4 * slices * blocks
+    parts = [x.repartition(tasks, "block", "slice").groupBy("block", "slice") for x in (left, right)]
+    return parts[0].cogroup(parts[1]).applyInPandas(run, schema)
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, fragments: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_units: int = BLOCK_UNITS) -> DataFrame:
+    """One row ``(doc_id, item_id)`` for each document and item of which it holds a passage.
 
-    def window_seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, places, out = [], [], []
-        for i, window in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    A passage is a run of at least thirteen consecutive words of the item, in its order, where single words may be
+    altered, dropped or put in, and letter forms, layout and markup do not matter. Null, empty and short texts and items
+    match nothing; null ids are left out; items that occur under several ids count under each, repeated rows once. Empty
+    tables give an empty result. Extra columns are not read.
+
+    Items beyond ``block_units`` are looked at in blocks; whether an item of another block explains an altered passage
+    better is then decided in a step of its own, with the same outcome.
+    """
+    small_batches(docs.sparkSession)
+    texts, ids = _prepared_items(items, fragments, item_id, item_text)
+    held = _held_windows(docs, texts, doc_id, text)
+    size = texts.agg(F.sum(F.length("units") - F.length(F.replace("units", F.lit(" "), F.lit(""))) + 1)).first()[0] or 0
+    blocks = max(1, -(-size // block_units))
+    if blocks == 1:
+
+        def whole(windows: pd.DataFrame, index: ItemIndex, keys: list[str]) -> pd.DataFrame:
+            rows = [(i, keys[k]) for i, window in zip(windows["window_id"], windows["window"]) for k in leaking(window.split(" "), index)]
+            return pd.DataFrame(rows, columns=["window_id", "key"])
+
+        leaks = _against_items(held, texts, 1, whole, "window_id string, key string")
+    else:
+        leaks = _without_rivals(_against_items(held, texts, blocks, _findings, _FINDINGS))
+    return held.select("doc_id", "window_id").join(leaks, "window_id").select("doc_id", "key").distinct().join(ids, "key").select("doc_id", "item_id").distinct()
+
+
+_FINDINGS = "window_id string, key string, exact boolean, a int, b int, mine double, mask binary, owners int"
+
+
+def _findings(windows: pd.DataFrame, index: ItemIndex, keys: list[str]) -> pd.DataFrame:
+    """Passages, and masks (half words that surely match, unit by unit) with the number of items that share each."""
+    rows: list[tuple] = []
+    for i, window in zip(windows["window_id"], windows["window"]):
+        found, sure = examine(window.split(" "), index, masks=True)
+        for x in found:
+            rows += [(i, keys[x.item], True, None, None, None, None, None)] if x.exact else [(i, keys[x.item], False, int(a), int(b), mine, None, None) for a, b, mine in x.altered]
+        shown = (2 * sure).astype(np.uint8)
+        owners: dict[bytes, list[int]] = {}
+        for k in np.flatnonzero(shown.any(axis=1)).tolist():
+            owners.setdefault(shown[k].tobytes(), []).append(k)
+        rows += [(i, keys[k[0]], None, None, None, None, mask, len(k)) for mask, k in owners.items()]
+    return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _FINDINGS.split(", ")]).astype({"exact": "object", "a": "Int32", "b": "Int32", "owners": "Int32"})
+
+
+def _without_rivals(findings: DataFrame) -> DataFrame:
+    """``window_id, key`` of exact passages, and of altered ones that no other item, of any block, explains better."""
+    findings = shared_checkpoint(findings)
+    altered = findings.where("NOT exact").select("window_id", "key", "a", "b", "mine")
+    masks = findings.where("mask IS NOT NULL").select("window_id", "mask", F.col("key").alias("owner"), "owners")
+    met = altered.join(masks, "window_id").where("key <> owner OR owners > 1").select("window_id", "key", "a", "b", "mine", F.expr("substring(mask, a + 1, b - a)").alias("part"))
+    # the half words of a byte are 0, 1 or 2, so counting the hexadecimal digits adds them up
+    digits = F.hex("part")
+    half = F.regexp_count(digits, F.lit("01")) + 2 * F.regexp_count(digits, F.lit("02"))
+    beaten = met.where(half / 2 > F.col("mine") + 0.4).select("window_id", "key", "a", "b", "mine").distinct()
+    left = altered.join(beaten, ["window_id", "key", "a", "b", "mine"], "left_anti").select("window_id", "key")
+    return findings.where("exact").select("window_id", "key").unionByName(left).distinct()
+
+
+def item_coverage(docs: DataFrame, items: DataFrame, fragments: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", covered: float = COVERED) -> DataFrame:
+    """``doc_id, item_id, coverage``: items of which tiles cover at least the share ``covered`` of the words, in any order.
+
+    This finds items whose passages were reordered or scattered: tiles have eight words at least (`REORDERED_TILE`) and may
+    stand anywhere in the document; what lies in generic fragments is taken out of both sides of the share. Nulls, short
+    items, repeated rows and empty tables are treated as in `leaked_items`.
+    """
+    small_batches(docs.sparkSession)
+    texts, ids = _prepared_items(items, fragments, item_id, item_text)
+    held = _held_windows(docs, texts, doc_id, text)
+    size = texts.agg(F.sum(F.length("units") - F.length(F.replace("units", F.lit(" "), F.lit(""))) + 1)).first()[0] or 0
+
+    def tiled(windows: pd.DataFrame, index: ItemIndex, keys: list[str]) -> pd.DataFrame:
+        rows: list[tuple] = []
+        for i, window in zip(windows["window_id"], windows["window"]):
             tokens = window.split(" ")
-            half = np.concatenate([[0], np.cumsum(2 * weights(tokens))]).astype(np.int64)
-            for n in TILES:
-                hashes = tile_seeds(tokens, n)
-                at = np.arange(len(hashes), dtype=np.int64)
-                ids += [i] * len(hashes)
-                places.append(at << 32 | n << 28 | half[at] << 8 | half[at + n] - half[at])
-                out.append(hashes.view(np.int64))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(cat(places)), pa.array(cat(out))], ["window_id", "place", "seed"])
-
-    # a place is a seed's first unit, its units, the half words before it and in it; seeds further from the last one's end
-    # than tiles may be start a new stretch, a seed within another's reach adds only what lies beyond it
-    probes = map_batches(distinct, window_seeds, "window_id string, place bigint, seed bigint")
-    pairs = probes.join(postings, "seed").groupBy("window_id", "item_id").agg(F.sort_array(F.collect_set("place")).alias("s"), F.max("least").alias("least"), F.bool_or("near").alias("near"))
-    pairs = pairs.where(F.col("near") & (F.size("s") * TILES[1] >= F.col("least")))
-    step = f"""named_struct('e', shiftright(x, 32) + (shiftright(x, 28) & 15), 'h', (shiftright(x, 8) & 1048575) + (x & 255),
-        'c', IF(shiftright(x, 32) - a.e > {ALTERED + 1}, x & 255, a.c + (shiftright(x, 8) & 1048575) + (x & 255) - greatest(a.h, shiftright(x, 8) & 1048575)),
-        'm', greatest(a.m, a.c))"""
-    covered = f"aggregate(s, named_struct('e', -99L, 'h', 0L, 'c', 0L, 'm', 0L), (a, x) -> {step}, a -> greatest(a.m, a.c))"
-    pairs = pairs.where(F.expr(covered) >= 2 * F.col("least") - 1e-6).select("window_id", "item_id")
-    candidates = pairs.join(distinct, "window_id").join(index.drop("probes"), "item_id")
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = leaking(pdf["window"].iloc[0].split(" "), [x.split(" ") for x in pdf["units"]], [np.asarray(g, dtype=bool) for g in pdf["generic"]], [set(x.tolist()) for x in pdf["seeds"]], pdf["least"].tolist())
-        return pdf.loc[keep, ["window_id", "item_id"]]
-
-    leaks = candidates.groupBy("window_id").applyInPandas(verify, "window_id string, item_id bigint")
-    return held.select("doc_id", "window_id").join(leaks, "window_id").select("doc_id", "item_id").distinct()
+            ahead = np.concatenate([[0.0], np.cumsum(weights(tokens))])
+            row, t, _, n = index.segments(tokens)
+            for k in np.unique(row[ahead[t + n] - ahead[t] >= REORDERED_TILE - 1e-6]).tolist():
+                item, names = index.items[k], {}
+                p_ids, t_ids = ([names.setdefault(x, len(names) + 1) for x in y] for y in (item.tokens, tokens))
+                least = REORDERED_TILE if index.tile[k] == TILES[0] else 2 * REORDERED_TILE
+                mine = np.zeros(len(item.tokens), dtype=bool)
+                for p, _, m in tiles(p_ids, t_ids, least):
+                    mine[p : p + m] = True
+                mine &= ~item.generic
+                if mine.any():
+                    rows.append((i, keys[k], np.flatnonzero(mine).tolist(), float(item.own[-1])))
+        return pd.DataFrame(rows, columns=["window_id", "key", "at", "words"])
+
+    parts = _against_items(held, texts, max(1, -(-size // BLOCK_UNITS)), tiled, "window_id string, key string, at array<int>, words double")
+    # units of a word weigh one, those of a Han character half
+    places = held.select("doc_id", "window_id").join(parts, "window_id").select("doc_id", "key", "words", F.explode("at").alias("at")).distinct()
+    found = places.join(texts.select("key", F.split("units", " ").alias("u")), "key").groupBy("doc_id", "key", "words").agg(F.sum(F.when(F.expr("u[at]").rlike(f"^[{HAN}]$"), 0.5).otherwise(1.0)).alias("here"))
+    share = F.round(F.col("here") / F.col("words"), 6)
+    return found.join(ids, "key").select("doc_id", "item_id", share.alias("coverage")).where(F.col("coverage") >= covered)

@@ -50,6 +50,7 @@ def _p7_sized(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: p1.leaked_items(t(s, d, "clean", "doc_id", "text"), t(s, d, "eval_sets", "item_id", "text"), t(s, d, "decontam_exclude", "ngram")),
+    "p1_coverage": lambda s, d: p1.item_coverage(t(s, d, "clean", "doc_id", "text"), t(s, d, "eval_sets", "item_id", "text"), t(s, d, "decontam_exclude", "ngram")),
     "p2_found": lambda s, d: p2.not_prose(_p2_stats(s, d, code=False)),
     "p2_text_statistics": _p2_stats,
     "p3_containers": _p3_packed,

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import random
+import time
 
 import numpy as np
 import pytest
@@ -127,6 +128,56 @@ def test_a_part_of_a_chain_that_holds_is_found():
     assert any(p.span == 14 and p.matched == 13 for p in found)
 
 
+def test_blocks_of_items_give_what_one_block_gives(spark):
+    rng = random.Random(11)
+    vocab = [f"w{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    templates = [[rng.choice(vocab) for _ in range(20)] for _ in range(6)]
+    items, docs = [], []
+    for k in range(40):
+        words = list(rng.choice(templates))
+        for place in rng.sample(range(20), 3):
+            words[place] = rng.choice(vocab)
+        items.append((k, " ".join(words)))
+    for k in range(60):
+        words = items[rng.randrange(40)][1].split()
+        for place in rng.sample(range(20), rng.randint(0, 5)):
+            words[place] = rng.choice(vocab)
+        docs.append((k, " ".join([*(rng.choice(vocab) for _ in range(5)), *words])))
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame([], "ngram string")
+    one = sorted(leak_tiling.leaked_items(*frames).collect())
+    assert one and one == sorted(leak_tiling.leaked_items(*frames, block_units=150).collect())
+    # tiling every pair, whatever its runs, finds the same
+    index = leak_tiling.ItemIndex([leak_tiling.Item(x.split(), np.zeros(20, bool)) for _, x in items])
+    for _, text in docs:
+        window = text.split()
+        every = {i for i, x in enumerate(index.items) if leak_tiling.passages(x.tokens, window, x.generic)[1]}
+        assert every == {x.item for x in leak_tiling.examine(window, index)[0]}
+
+
+def test_reordered_blocks_are_covered(spark):
+    words = "falconer marble typewriter juniper canoe violet squirrel ninety tokens harbour crowd lantern pickle velvet orchard thimble walnut saddle copper meadow ribbon candle garden".split()
+    words += "sparrow kettle bishop magnet pepper".split()
+    docs = [(1, "Before. " + " ".join(words[18:]) + " between these " + " ".join(words[9:18]) + " and then some more " + " ".join(words[:9]) + " after."), (2, " ".join(words[:9])), (3, None), (4, "")]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "short"), (3, None)], "item_id bigint, text string")
+    frame, none = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([], "ngram string")
+    assert leak_tiling.item_coverage(frame, items, none).collect() == [(1, 1, 1.0)]
+    assert leak_tiling.leaked_items(frame, items, none).collect() == []
+
+
+def test_markup_of_any_length_is_taken_out():
+    words = ITEM.split()
+    for n in (100, 260, 5000):
+        address = "http://x.example/" + "a" * n
+        text = " ".join(f'<a href="{address}" title="one two three">{w}</a> <!-- {"x " * n} -->' for w in words)
+        assert leak_tiling.units(text) == leak_tiling.units(ITEM)
+        assert leak_tiling.units(" ".join(f"[{w}]({address})" for w in words)) == leak_tiling.units(ITEM)
+    assert leak_tiling.units("if x <y then " + "word " * 100 + "z> 2 end").count("word") == 100
+    began = time.time()
+    for bad in ("<a ", "<!-- ", "](", "<b x="):
+        leak_tiling.units(bad * 100_000)
+    assert time.time() - began < 20
+
+
 def test_generic_fragments_do_not_count(spark):
     generic = "read the short passage below with care and then choose the one option that best completes the final sentence"
     words = generic.split()
