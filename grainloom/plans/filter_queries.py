@@ -187,29 +187,33 @@ ORACLE |= {
 }
 
 
-# n-gram rules: the most common gram is plain SQL, the jumping scan is tested against brute force
+# n-gram rules over all rows: the most common gram is plain SQL, the jumping scan is tested against brute force
+_ZH = [s for s, c in fl.CHAINS.items() if c == "chinese"]
 
 
-def _top_grams(spark: SparkSession, d: str) -> DataFrame:
-    df = clean_rows(spark, d, *FAMILIES["english"]).where("text IS NOT NULL")
-    return df.withColumn("g", fl.gram_shares("text", F.lit(False))).select("doc_id", *[F.round(F.coalesce(F.col(f"g.top_{n}"), F.lit(0.0)), 6).alias(f"top_{n}") for n in fl.TOP_GRAMS])
+def _gram_query(kind: str, sizes: dict[int, float]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        shares = clean_rows(spark, d).where("text IS NOT NULL").withColumn("g", fl.gram_shares("text", F.col("subset").isin(_ZH)))
+        return shares.select("doc_id", *[F.round(F.coalesce(F.col(f"g.{kind}_{n}"), F.lit(0.0)), 6).alias(f"{kind}_{n}") for n in sizes])
+
+    return run
 
 
 def _top_grams_sql() -> str:
     parts = []
     for n in fl.TOP_GRAMS:
         parts.append(f"""g{n} AS (SELECT id, gram, count(*) AS c, min(i) AS first FROM (
-            SELECT id, i, array_to_string(w[i:i + {n - 1}], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d)) GROUP BY ALL),
+            SELECT id, i, CASE WHEN k = 3 THEN array_to_string(w[i:i + {n} * k - 1], '') ELSE array_to_string(w[i:i + {n} * k - 1], ' ') END AS gram FROM (SELECT id, w, k, unnest(range(1, len(w) - {n} * k + 2)) AS i FROM d)) GROUP BY ALL),
           b{n} AS (SELECT id, arg_min(length(gram) * c, row(-c, first)) AS s FROM g{n} GROUP BY id)""")
     joins = " ".join(f"LEFT JOIN b{n} USING (id)" for n in fl.TOP_GRAMS)
     cols = ", ".join(f"round(coalesce(b{n}.s / nullif(length(t), 0)::DOUBLE, 0), 6) AS top_{n}" for n in fl.TOP_GRAMS)
-    return f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, text AS t, {_W.replace("(t,", "(text,")} AS w FROM clean
-        WHERE text IS NOT NULL AND subset IN ({_in(FAMILIES["english"])})), {", ".join(parts)}
+    zh = f"subset IN ({_in(tuple(_ZH))})"
+    chars = f"string_split(regexp_replace(text, '{T.SPACE}+', '', 'g'), '')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, text AS t, CASE WHEN {zh} THEN 3 ELSE 1 END AS k,
+        CASE WHEN {zh} THEN list_filter({chars}, lambda x: x <> '') ELSE {_W.replace("(t,", "(text,")} END AS w FROM clean WHERE text IS NOT NULL), {", ".join(parts)}
         SELECT doc_id, {cols} FROM d {joins}"""
 
 
-QUERIES["f_top_ngram_2_3_4"] = _top_grams
+QUERIES["f_top_ngram_2_3_4"] = _gram_query("top", fl.TOP_GRAMS)
 ORACLE["f_top_ngram_2_3_4"] = _top_grams_sql()
-QUERIES["f_dup_ngram_5_10"] = lambda s, d: (
-    clean_rows(s, d, *FAMILIES["english"]).where("text IS NOT NULL").withColumn("g", fl.gram_shares("text", F.lit(False))).select("doc_id", *[F.round(F.coalesce(F.col(f"g.dup_{n}"), F.lit(0.0)), 6).alias(f"dup_{n}") for n in fl.DUP_GRAMS])
-)
+QUERIES["f_dup_ngram_5_10"] = _gram_query("dup", fl.DUP_GRAMS)

@@ -87,11 +87,36 @@ def test_gram_shares_against_brute_force():
     import random
 
     random.seed(4)
-    for _ in range(50):
+    for _ in range(150):
+        sep = random.choice([" ", ""])
         tokens = [random.choice("ab cd ef".split()) for _ in range(random.randint(0, 60))]
-        text = " ".join(tokens) or "x"
-        for n in (2, 5, 7):
-            assert fl.dup_gram_share(tokens, n, " ", len(text)) == pytest.approx(brute_dup(tokens, n, " ", len(text)))
-            grams = [" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)]
+        text = sep.join(tokens) or "x"
+        runs = fl.TokenRuns(tokens, sep, len(text))
+        for n in (2, 5, 7, 12, 3):
+            assert runs.repeated(n) == pytest.approx(brute_dup(tokens, n, sep, len(text)))
+            grams = [sep.join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)]
             best = max(Counter(grams).items(), key=lambda kv: kv[1], default=None)
-            assert fl.top_gram_share(tokens, n, " ", len(text)) == pytest.approx(len(best[0]) * best[1] / len(text) if best else 0)
+            assert runs.top(n) == pytest.approx(len(best[0]) * best[1] / len(text) if best else 0)
+
+
+def test_rules_in_one_pass_agree_with_the_metrics(spark):
+    import random
+
+    random.seed(9)
+    parts = ["the cat and", "…", "...", "# x", "\n", "\n\n", "- ", "• ", "12 34", "中文字符很多", "\u3000", "\x1c", "\x85", " ", "line of words here", "ǅ ⅷ ½ ²", "_", "do not edit", "https://a.b/c"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 120))) for _ in range(300)] + [None, "", " \n "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    wide = fl.prepare(df).withColumns(fl.metrics()).drop("__w", "__s", "__p", "__r").toPandas().set_index("doc_id")
+    tests = {
+        "too_short_words": lambda r: r.words < 50, "mean_word_len": lambda r: not 3 <= r.mean_word_len <= 10, "symbols": lambda r: r.symbols > 0.1, "bullets": lambda r: r.bullets > 0.9,
+        "ellipsis_lines": lambda r: r.ellipsis_lines > 0.3, "alpha_words": lambda r: r.alpha_words < 0.8, "stop_words": lambda r: r.stop_words < 2,
+        "dup_para_n": lambda r: r.dup_para_n > 0.3, "dup_para_c": lambda r: r.dup_para_c > 0.2, "dup_line_n": lambda r: r.dup_line_n > 0.3, "dup_line_c": lambda r: r.dup_line_c > 0.2,
+        "zh_short": lambda r: r.solid < 100, "zh_han": lambda r: r.zh_han < 0.4, "code_short": lambda r: r.chars < 50, "code_long_line": lambda r: r.code_longest > 1000,
+        "code_mean_line": lambda r: r.code_mean_line > 100, "code_alnum": lambda r: r.code_alnum < 0.25, "code_autogen": lambda r: r.code_autogen,
+    }
+    repetition = ["dup_para_n", "dup_para_c", "dup_line_n", "dup_line_c"]
+    chains = {"english": list(tests)[:7] + repetition, "chinese": ["zh_short", "zh_han", "ellipsis_lines", *repetition], "code": [x for x in tests if x.startswith("code")]}
+    for chain, names in chains.items():
+        for i, text in enumerate(texts):
+            row = wide.loc[i]
+            assert fl.reason_of(text, chain, grams=False) == next((x for x in names if tests[x](row)), None), (chain, text)
