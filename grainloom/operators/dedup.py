@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from grainloom.functions import text as T
 from grainloom.operators.lineage import shared_checkpoint
@@ -56,27 +59,93 @@ def base_hash(shingle: Column, kind: str = "crc32") -> Column:
     return F.crc32(shingle) if kind == "crc32" else F.conv(F.substring(F.md5(shingle), 1, 8), 16, 10).cast("bigint")
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _signature(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: Values of a shingle's bytes outside SQL: the two base hashes, and a 64-bit one for exact comparison.
+_VALUES: dict[str, Callable[[bytes], int]] = {"crc32": zlib.crc32, "md5": lambda x: int.from_bytes(hashlib.md5(x).digest()[:4], "big"), "exact": xxhash.xxh64_intdigest}
+
+
+def shingle_values(normalized: str, by_char: bool, kind: str, n: int = 5) -> np.ndarray:
+    """The values of the runs that `with_shingles` makes, repeats included. A run is a stretch of the text's bytes."""
+    data = (normalized.replace(" ", "") if by_char else normalized).encode()
+    raw = np.frombuffer(data, np.uint8)
+    if by_char:
+        starts = np.flatnonzero((raw & 0xC0) != 0x80)
+        ends = np.append(starts[1:], len(raw))
+    else:
+        blanks = np.flatnonzero(raw == 32)
+        starts, ends = np.concatenate([[0], blanks + 1]), np.append(blanks, len(raw))
+    if len(starts) > n:
+        starts, ends = starts[: len(starts) - n + 1], ends[n - 1 :]
+    else:
+        starts, ends = np.zeros(1, np.int64), np.array([len(raw)])
+    value = _VALUES[kind]
+    return np.fromiter((value(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), dtype=np.uint64, count=len(starts))
+
+
+#: Shingles hashed at a time; with all permutations their values fit a core's cache.
+_AT_ONCE = 1024
+
+
+def sign_values(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """MinHash signatures of the sets ``values[offsets[i]:offsets[i + 1]]``, none of them empty, as rows.
+
+    The values of all sets lie one after the other and are hashed in blocks that do not care where a set ends; minima
+    are then taken over the sets' stretches of a block, so short sets cost no loop and long ones no memory.
+    """
     a, b = coefficients()
-    for s in batches:
-        out = []
-        for values in s:
-            if values is None or not len(values):
-                out.append(None)
+    prime, low = np.uint64(_MERSENNE), np.uint64(0xFFFFFFFF)
+    out = np.full((len(offsets) - 1, len(a)), low, dtype=np.uint64)
+    for at in range(0, len(values), _AT_ONCE):
+        block = values[at : at + _AT_ONCE]
+        sets = np.arange(np.searchsorted(offsets, at, "right") - 1, np.searchsorted(offsets, at + len(block), "left"))
+        hashed = np.multiply.outer(a, block)
+        hashed += b[:, None]
+        # the remainder by 2^61 - 1: what is above 61 bits is added to what is below
+        high = hashed >> np.uint64(61)
+        hashed &= prime
+        hashed += high
+        np.subtract(hashed, prime, out=hashed, where=hashed >= prime)
+        hashed &= low
+        least = np.minimum.reduceat(hashed, np.maximum(offsets[sets] - at, 0), axis=1)
+        out[sets] = np.minimum(out[sets], least.T)
+    return out.astype(np.uint32)
+
+
+def sign_texts(normalized: DataFrame, kind: str = "crc32") -> DataFrame:
+    """``doc_rank, text_key, sig, keys`` of ``doc_rank, n, zh``: a key of the normalised text, its signature (32-bit values,
+    four bytes each) and the keys of its bands. A narrow stage: no text is shuffled.
+    """
+    rows = 4 * PERMUTATIONS // BANDS
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.asarray(values, dtype=np.uint64)
-            best = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
-            for k in range(0, len(x), 4096):
-                h = (a[:, None] * x[None, k : k + 4096] + b[:, None]) % np.uint64(_MERSENNE) & np.uint64(0xFFFFFFFF)
-                np.minimum(best, h.min(axis=1), out=best)
-            out.append(best.astype(np.int64))
-        yield pd.Series(out)
+            texts, zh = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            place: dict[tuple[str, bool], int] = {}
+            which = [place.setdefault(x, len(place)) for x in zip(texts, zh)]
+            sets = [shingle_values(t, z, kind) for t, z in place]
+            sigs = [x.tobytes() for x in sign_values(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))]
+            keys = [[xxhash.xxh64_intdigest(x[k : k + rows]) - (1 << 63) for k in range(0, len(x), rows)] for x in sigs]
+            names = [hashlib.md5(t.encode()).hexdigest() for t, _ in place]
+            columns = [pa.array([made[w] for w in which], kind_) for made, kind_ in ((names, pa.string()), (sigs, pa.binary()), (keys, pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_rank", "text_key", "sig", "keys"])
+
+    plain = normalized.select(F.col("doc_rank").cast("bigint"), "n", "zh")
+    return plain.mapInArrow(sign, "doc_rank bigint, text_key string, sig binary, keys array<bigint>")
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def signature_values(sigs: pd.Series) -> pd.Series:
+    """The 32-bit values of signatures."""
+    return sigs.map(lambda x: np.frombuffer(x, np.uint32).astype(np.int64))
 
 
-def signature(hashes: Column) -> Column:
-    """MinHash signature of an array of 32-bit values."""
-    return _signature(hashes)
+@F.pandas_udf(DoubleType())
+def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    if not len(a):
+        return pd.Series([], dtype="float64")
+    x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(len(s), -1) for s in (a, b))
+    return pd.Series((x == y).mean(axis=1))
 
 
 def estimated_jaccard(a: Column, b: Column) -> Column:
@@ -90,11 +159,9 @@ def candidate_probability(j: Column, bands: int = BANDS, rows: int = PERMUTATION
     return 1 - F.pow(1 - F.pow(j, F.lit(float(rows))), F.lit(float(bands)))
 
 
-def bands(signed: DataFrame, rank: str = "doc_rank", sig: str = "sig", n: int = BANDS) -> DataFrame:
-    """``band, key, doc_rank``: one row for each document and band; the key stands for the band's rows."""
-    rows = PERMUTATIONS // n
-    parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.xxhash64(F.slice(F.col(sig), i * rows + 1, rows)))
-    return signed.select(rank, F.posexplode(parts).alias("band", "key")).select("band", "key", F.col(rank).alias("doc_rank"))
+def bands(signed: DataFrame) -> DataFrame:
+    """``band, key, doc_rank``: one row for each document and band; the key stands for the band's values."""
+    return signed.select("doc_rank", F.posexplode("keys").alias("band", "key")).select("band", "key", "doc_rank")
 
 
 def candidate_pairs(banded: DataFrame) -> DataFrame:
@@ -114,7 +181,7 @@ def verified_edges(pairs: DataFrame, signed: DataFrame, alike: float = ALIKE) ->
     """``a, b, similarity`` of the pairs whose signatures agree well enough."""
     sigs = signed.select("doc_rank", "sig")
     joined = pairs.join(sigs.select(F.col("doc_rank").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_rank").alias("b"), F.col("sig").alias("sb")), "b")
-    return joined.select("a", "b", estimated_jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= alike)
+    return joined.select("a", "b", _agreement("sa", "sb").alias("similarity")).where(F.col("similarity") >= alike)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -152,7 +219,7 @@ def links_across(banded: DataFrame, signed: DataFrame, roots: DataFrame, alike:
     members = banded.join(large, ["band", "key"]).join(roots.select(F.col("node").alias("doc_rank"), "root"), "doc_rank", "left").withColumn("root", F.coalesce("root", "doc_rank"))
     mixed = members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
     open_ = shared_checkpoint(members.join(mixed, ["band", "key"]).select("doc_rank", "root").distinct())
-    places = signed.join(open_, "doc_rank").select("doc_rank", "root", F.posexplode("sig").alias("at", "value"))
+    places = signed.join(open_, "doc_rank").select("doc_rank", "root", F.posexplode(signature_values("sig")).alias("at", "value"))
     rare = places.groupBy("at", "value").agg(F.count("*").alias("df"))
     order = Window.partitionBy("doc_rank").orderBy("df", "at", "value")
     least = PERMUTATIONS - math.ceil(alike * PERMUTATIONS) + 1
@@ -163,26 +230,26 @@ def links_across(banded: DataFrame, signed: DataFrame, roots: DataFrame, alike:
     return verified_edges(pairs, signed, alike)
 
 
-def sign_documents(docs: DataFrame, text: str = "text", rank: str = "doc_rank", compatibility: bool = True, by_char: bool = False, kind: str = "crc32") -> DataFrame:
-    """``doc_rank, sig`` of each document; a null text counts as empty, and all empty texts are alike."""
-    norm = docs.select(F.col(rank).alias("doc_rank"), T.normalize(F.coalesce(F.col(text), F.lit("")), compatibility).alias("n"))
-    hashed = with_shingles(norm, "n", "s", by_char=by_char).select("doc_rank", F.transform("s", lambda s: base_hash(s, kind)).alias("h"))
-    return hashed.select("doc_rank", signature(F.col("h")).alias("sig"))
+def normalized_documents(docs: DataFrame, text: str = "text", rank: str = "doc_rank", compatibility: bool = True, subset: str | None = None) -> DataFrame:
+    """``doc_rank, zh, n``: the normalised texts, null ones as empty; rows without a rank are left out."""
+    return docs.where(F.col(rank).isNotNull()).select(F.col(rank).alias("doc_rank"), chinese(subset).alias("zh"), T.normalize(F.coalesce(F.col(text), F.lit("")), compatibility).alias("n"))
+
+
+def sign_documents(docs: DataFrame, text: str = "text", rank: str = "doc_rank", compatibility: bool = True, kind: str = "crc32", subset: str | None = None) -> DataFrame:
+    """Signatures (`sign_texts`) of each document; a null text counts as empty, and all empty texts are alike."""
+    return sign_texts(normalized_documents(docs, text, rank, compatibility, subset), kind)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", rank: str = "doc_rank", compatibility: bool = True, kind: str = "crc32", subset: str | None = None) -> DataFrame:
     """``doc_rank, rep``: one row for each document with the least rank of its class of near duplicates.
 
-    Equal texts are joined first, by hash and length of the normalised text, and only one of each goes through LSH.
+    Equal texts are joined first, by the key of the normalised text, and only one of each goes through LSH.
     Ranks must be distinct; null ranks are left out. Of a ``subset`` that begins with zh the shingles are of characters.
     """
-    norm = docs.where(F.col(rank).isNotNull()).select(F.col(rank).alias("doc_rank"), chinese(subset).alias("zh"), T.normalize(F.coalesce(F.col(text), F.lit("")), compatibility).alias("n"))
-    keyed = norm.withColumn("k", F.sha2("n", 256))
-    first = keyed.groupBy("k").agg(F.min("doc_rank").alias("first"))
-    same = shared_checkpoint(keyed.select("doc_rank", "k").join(first, "k").select("doc_rank", "first"))
-    once = keyed.join(same.where("doc_rank = first").select("doc_rank"), "doc_rank", "left_semi")
-    hashed = with_shingles(once, "n", "s", by_char=F.col("zh")).select("doc_rank", F.transform("s", lambda s: base_hash(s, kind)).alias("h"))
-    signed = shared_checkpoint(hashed.select("doc_rank", signature(F.col("h")).alias("sig")))
+    every = shared_checkpoint(sign_documents(docs, text, rank, compatibility, kind, subset))
+    once = every.groupBy("text_key").agg(F.min("doc_rank").alias("first"), F.min_by(F.struct("sig", "keys"), "doc_rank").alias("s"))
+    signed = shared_checkpoint(once.select(F.col("first").alias("doc_rank"), "text_key", "s.sig", "s.keys"))
+    same = every.select("doc_rank", "text_key").join(signed.select("text_key", F.col("doc_rank").alias("first")), "text_key").select("doc_rank", "first")
     banded = bands(signed)
     edges = shared_checkpoint(verified_edges(candidate_pairs(banded), signed))
     roots = components(edges)
@@ -192,23 +259,46 @@ def near_duplicates(docs: DataFrame, text: str = "text", rank: str = "doc_rank",
     return same.join(roots, same["first"] == roots["node"], "left").select("doc_rank", F.coalesce("root", "first").alias("rep"))
 
 
+def _shingle_sets(normalized: DataFrame) -> DataFrame:
+    """``doc_rank, s``: the distinct 64-bit values of the shingles of ``doc_rank, n, zh``."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_values(t, z, "exact")).view(np.int64) for t, z in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_rank", "s"])
+
+    return normalized.select(F.col("doc_rank").cast("bigint"), "n", "zh").mapInArrow(hashed, "doc_rank bigint, s array<bigint>")
+
+
+#: Documents that share a shingle of their prefixes beyond which the shingle's pairs are dealt to several tasks.
+HOT = 256
+
+
 def exact_near_duplicates(docs: DataFrame, text: str = "text", rank: str = "doc_rank", compatibility: bool = True, alike: float = ALIKE, subset: str | None = None) -> DataFrame:
-    """``a, b, similarity`` of all pairs of distinct texts with Jaccard similarity from ``alike`` on, exactly.
+    """``a, b, similarity`` of all pairs of distinct texts with Jaccard similarity from ``alike`` on.
 
-    Prefix filtering: the shingles of a document are ordered from rare to frequent, and two alike documents must share
-    one among the first ``size - ceil(alike * size) + 1`` of each. Only these rare shingles are joined.
-    Of a ``subset`` that begins with zh the shingles are of characters.
+    Exact but for chance collisions of 64-bit values. Prefix filtering: the shingles of a document are ordered from rare
+    to frequent, and two alike documents must share one among the first ``size - ceil(alike * size) + 1`` of each; what
+    stands behind a shared shingle, and the sizes, bound what they can share. The pairs of a frequent shingle are dealt to
+    tasks by salt. Of a ``subset`` that begins with zh the shingles are of characters.
     """
-    norm = docs.select(F.col(rank).alias("doc_rank"), chinese(subset).alias("zh"), T.normalize(F.coalesce(F.col(text), F.lit("")), compatibility).alias("n"))
-    once = norm.groupBy("n").agg(F.min("doc_rank").alias("doc_rank"), F.min_by("zh", "doc_rank").alias("zh"))
-    sets = shared_checkpoint(with_shingles(once, "n", "s", by_char=F.col("zh")).select("doc_rank", "s"))
+    norm = normalized_documents(docs, text, rank, compatibility, subset)
+    once = norm.withColumn("k", F.md5("n")).groupBy("k").agg(F.min("doc_rank").alias("doc_rank"), F.min_by(F.struct("n", "zh"), "doc_rank").alias("t")).select("doc_rank", "t.n", "t.zh")
+    sets = shared_checkpoint(_shingle_sets(once))
     long = sets.select("doc_rank", F.size("s").alias("size"), F.explode("s").alias("g"))
     rare = long.groupBy("g").agg(F.count("*").alias("df"))
     order = Window.partitionBy("doc_rank").orderBy("df", "g")
-    prefix = long.join(rare, "g").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("size") - F.ceil(F.lit(alike) * F.col("size")) + 1)
-    x, y = prefix.alias("x"), prefix.alias("y")
+    prefix = long.join(rare, "g").withColumn("at", F.row_number().over(order)).where((F.col("at") <= F.col("size") - F.ceil(F.lit(alike) * F.col("size")) + 1) & (F.col("df") > 1))
+    prefix = shared_checkpoint(prefix.withColumn("salts", (1 + F.col("df") / HOT).cast("int")))
+    x = prefix.withColumn("salt", F.expr("pmod(xxhash64(doc_rank), salts)").cast("int")).alias("x")
+    y = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     fits = F.least("x.size", "y.size") >= F.lit(alike) * F.greatest("x.size", "y.size")
-    pairs = x.join(y, F.col("x.g") == F.col("y.g")).where((F.col("x.doc_rank") < F.col("y.doc_rank")) & fits).select(F.col("x.doc_rank").alias("a"), F.col("y.doc_rank").alias("b")).distinct()
+    # shared at most: this shingle and what is left behind it in the shorter rest
+    reach = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    # of the first shared shingle only; at later ones the bound is too low by the shared ones before
+    fits &= reach + F.least("x.at", "y.at") - 1 >= F.lit(alike / (1 + alike)) * (F.col("x.size") + F.col("y.size")) - 1e-9
+    met = (F.col("x.g") == F.col("y.g")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.doc_rank") < F.col("y.doc_rank"))
+    pairs = x.join(y, met & fits).select(F.col("x.doc_rank").alias("a"), F.col("y.doc_rank").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("doc_rank").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_rank").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= alike)
 
@@ -218,8 +308,3 @@ def precision_recall(got: DataFrame, ideal: DataFrame, key: str = "doc_rank") ->
     both = got.select(key).distinct().withColumn("g", F.lit(1)).join(ideal.select(key).distinct().withColumn("i", F.lit(1)), key, "full_outer")
     sums = both.agg(F.count("g").alias("got"), F.count("i").alias("ideal"), F.count_if(F.col("g").isNotNull() & F.col("i").isNotNull()).alias("common"))
     return sums.select("got", "ideal", "common", (F.col("common") / F.greatest("got", F.lit(1))).alias("precision"), (F.col("common") / F.greatest("ideal", F.lit(1))).alias("recall"))
-
-
-def crc32_of(shingle: str) -> int:
-    """The base hash outside Spark."""
-    return zlib.crc32(shingle.encode())

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -30,9 +31,20 @@ def test_labels_of_edited_documents(spark):
 def test_signature_matches_big_integers(spark):
     a, b = dd.coefficients()
     assert (int(a[0]), int(b[0])) == (2032329983, 1750752463)
-    values = [0, 1, 2**32 - 1, dd.crc32_of("some words of a shingle")]
-    sig = spark.createDataFrame([(values,)], "h array<bigint>").select(dd.signature(F.col("h"))).first()[0]
-    assert sig == [min((int(x) * v + int(y)) % (2**61 - 1) & (2**32 - 1) for v in values) for x, y in zip(a, b)]
+    rng = random.Random(6)
+    sets = [[0, 1, 2**32 - 1, zlib.crc32(b"some words of a shingle")], [7], [rng.randrange(2**32) for _ in range(3000)], [0]]
+    got = dd.sign_values(np.array([v for x in sets for v in x], np.uint64), np.cumsum([0, *map(len, sets)]))
+    for values, sig in zip(sets, got.tolist()):
+        assert sig == [min((int(x) * v + int(y)) % (2**61 - 1) & (2**32 - 1) for v in values) for x, y in zip(a, b)]
+
+
+def test_shingle_values_are_those_of_the_shingles(spark):
+    texts = ["", "one", "a b c d", "a b c d e", "a b c d e f g é 漢", "漢字 混ぜ text 12", "x" * 30]
+    df = spark.createDataFrame([(i, t, z) for i, t in enumerate(texts) for z in (False, True)], "doc_rank bigint, n string, zh boolean")
+    rows = dd.with_shingles(df, "n", "s", by_char=F.col("zh")).select("n", "zh", "s", F.transform("s", lambda s: dd.base_hash(s, "crc32")).alias("c"), F.transform("s", lambda s: dd.base_hash(s, "md5")).alias("m")).collect()
+    for r in rows:
+        assert set(dd.shingle_values(r["n"], r["zh"], "crc32").tolist()) == set(r["c"])
+        assert set(dd.shingle_values(r["n"], r["zh"], "md5").tolist()) == set(r["m"])
 
 
 def test_large_bucket_is_a_star(spark):
@@ -57,7 +69,7 @@ def test_links_that_a_star_misses_are_found(spark):
     assert (60, 80) not in dd.verified_edges(dd.candidate_pairs(large), signed).select("a", "b").collect()
     found = {(r["a"], r["b"]) for r in dd.links_across(large, signed, roots).collect()}
     assert (60, 80) in found and found >= {tuple(p) for p in pairs}
-    sigs = {r["doc_rank"]: np.array(r["sig"]) for r in signed.collect()}
+    sigs = {r["doc_rank"]: np.frombuffer(r["sig"], np.uint32) for r in signed.collect()}
     assert found == {(i, j) for i in sigs for j in sigs if i < j and (sigs[i] == sigs[j]).mean() >= dd.ALIKE}
     one = spark.createDataFrame([(r, 0) for r in range(81)], "node bigint, root bigint")
     assert dd.links_across(large, signed, one).count() == 0
@@ -67,7 +79,8 @@ def test_verification_rejects_chance_collisions(spark):
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**32, 256).tolist()
     b = a[:8] + rng.integers(0, 2**32, 248).tolist()
-    signed = spark.createDataFrame([(0, a), (1, b)], "doc_rank bigint, sig array<bigint>")
+    rows = [(i, bytearray(np.array(x, np.uint32).tobytes()), [hash(tuple(x[k : k + 8])) for k in range(0, 256, 8)]) for i, x in enumerate((a, b))]
+    signed = spark.createDataFrame(rows, "doc_rank bigint, sig binary, keys array<bigint>")
     assert dd.candidate_pairs(dd.bands(signed)).count() == 1
     assert dd.verified_edges(dd.candidate_pairs(dd.bands(signed)), signed).count() == 0
 
@@ -89,6 +102,17 @@ def test_exact_pairs_against_brute_force(spark):
     assert got == ideal and len(ideal) == 4
 
 
+def test_frequent_shingles_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(dd, "HOT", 5)
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join([*base[:70], *(f"v{rng.randint(0, 3)}" for _ in range(10))]) for _ in range(40)]
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(76)} for t in texts]
+    first = {t: texts.index(t) for t in texts}
+    ideal = {(i, j) for i in first.values() for j in first.values() if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    assert {(r["a"], r["b"]) for r in dd.exact_near_duplicates(docs_frame(spark, texts)).collect()} == ideal and len(ideal) > 30
+
+
 def test_edited_chinese_reposts_are_near_duplicates(spark):
     rng = random.Random(4)
     clauses = ["".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(20)) for _ in range(8)]
