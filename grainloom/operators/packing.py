@@ -27,17 +27,22 @@ def shuffle_key(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def running_totals(df: DataFrame, group: str, key: str, value: str, out: str = "before") -> DataFrame:
+def running_totals(df: DataFrame, group: str | list[str], key: str, value: str, out: str = "before") -> DataFrame:
     """``df`` with the total of ``value`` over the rows of its group that come before it by ``key``, a hexadecimal hash.
 
     Keys must be distinct inside a group; the first three digits make the buckets.
     """
-    b = df.withColumn("__bucket", F.substring(key, 1, 3))
-    sums = b.groupBy(group, "__bucket").agg(F.sum(value).alias("__sum"))
-    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return bucket_totals(df.withColumn("__bucket", F.substring(key, 1, 3)), [group] if isinstance(group, str) else group, [key], value, out)
+
+
+def bucket_totals(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with the total of ``value`` before each row by ``order``, of which ``__bucket`` is a coarse form; the buckets
+    are summed first, so that no window holds more than one of them."""
+    sums = df.groupBy(*group, "__bucket").agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__ahead", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
-    inside = Window.partitionBy(group, "__bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return b.join(sums, [group, "__bucket"]).withColumn(out, F.col("__ahead") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__bucket", "__ahead")
+    inside = Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(sums, [*group, "__bucket"]).withColumn(out, F.col("__ahead") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__bucket", "__ahead")
 
 
 def split_validation(docs: DataFrame, val_tokens: int, seed: int = 0) -> DataFrame:
@@ -46,33 +51,64 @@ def split_validation(docs: DataFrame, val_tokens: int, seed: int = 0) -> DataFra
     return running_totals(keyed, "subset", "key", "n_tokens").withColumn("split", F.when(F.col("before") < val_tokens, "val").otherwise("train")).drop("before")
 
 
-def mix_order(train: DataFrame, weights: DataFrame, seed: int = 0) -> DataFrame:
-    """``train`` with ``at``: weighted fair order. A document's time is what its subset has emitted before it over the
-    subset's weight, so every prefix of the order has the target shares up to one document a subset."""
-    keyed = train.withColumn("key", shuffle_key(seed + 1, "subset", "doc_id"))
-    timed = running_totals(keyed, "subset", "key", "n_tokens").join(F.broadcast(weights.where("weight > 0").limit(10_000)), "subset")
-    return timed.withColumn("at", F.col("before") / F.col("weight")).drop("before")
+def mix_targets(train: DataFrame, weights: DataFrame, total: int) -> DataFrame:
+    """Of each weighted subset that has tokens: ``share`` of the mix, tokens to draw (``demand``), its own ``size``, ``docs``."""
+    sizes = train.groupBy("subset").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("docs"))
+    both = sizes.where("size > 0").join(weights.where("weight > 0").groupBy("subset").agg(F.sum("weight").alias("weight")), "subset")
+    share = F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy()), 9)  # a row for each subset
+    return both.select("subset", share.alias("share"), (share * total).alias("demand"), "size", "docs")
+
+
+def mix_order(train: DataFrame, weights: DataFrame, total: int, seed: int = 0) -> DataFrame:
+    """The mix of ``total`` tokens: ``train`` with ``epoch`` and ``due``, once for each use of a document.
+
+    A subset gives its share of the total; one that is too small is gone through again, in a new seeded order, and its
+    last epoch is cut where the share is reached. ``due`` is the part of its subset's demand drawn before the document:
+    sorted by it, every prefix of the mix has the target shares up to a document a subset.
+    """
+    copies = train.join(mix_targets(train, weights, total), "subset")
+    copies = copies.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("demand") / F.col("size")) - 1, F.lit(0)).cast("bigint"))))
+    keyed = copies.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed + 1)), F.col("epoch").cast("string"), "subset", F.col("doc_id").cast("string"))))
+    timed = running_totals(keyed, ["subset", "epoch"], "key", "n_tokens").withColumn("from", F.col("epoch") * F.col("size") + F.col("before"))
+    return timed.where(F.col("from") < F.col("demand")).withColumn("due", F.col("from") / F.col("demand")).drop("before", "from", "key", "demand", "size", "share", "docs")
+
+
+#: Buckets of the mix's order; each is a range of it.
+MIX_BUCKETS = 4096
 
 
-def cut_shards(ordered: DataFrame, shard_tokens: int) -> DataFrame:
-    """``ordered`` (with ``start``, the tokens before each document) with its shard: documents stay whole, a shard begins
-    with the first document that starts in its span."""
-    return ordered.withColumn("shard", F.floor(F.col("start") / shard_tokens).cast("bigint"))
+def cut_shards(mixed: DataFrame, shard_tokens: int) -> DataFrame:
+    """The mix with the tokens before each document (``start``) and its shard: documents stay whole, a shard begins with
+    the first document that starts in its span."""
+    placed = mixed.withColumn("__bucket", F.floor(F.col("due") * MIX_BUCKETS).cast("int"))
+    return bucket_totals(placed, [], ["due", "subset", "epoch", "doc_id"], "n_tokens", "start").withColumn("shard", F.floor(F.col("start") / shard_tokens).cast("bigint"))
 
 
-def pack_meta(train: DataFrame, weights: DataFrame) -> DataFrame:
-    """Documents, tokens, real and target share of each subset."""
-    sums = train.groupBy("subset").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
-    every = Window.partitionBy()  # a row for each subset
-    w = weights.withColumn("target_share", F.round(F.col("weight") / F.sum("weight").over(every), 4))
-    return sums.withColumn("share", F.round(F.col("tokens") / F.sum("tokens").over(every), 4)).join(w.select("subset", "target_share"), "subset")
+def pack_meta(mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """Documents, tokens, real and target share of each subset of a mix, and how often its documents were used."""
+    sums = mixed.groupBy("subset").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
+    share = F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), 4)  # a row for each subset
+    return sums.withColumn("share", share).join(targets.select("subset", F.round("share", 4).alias("target_share"), F.col("docs").alias("__docs")), "subset").withColumn("epochs", F.round(F.col("docs") / F.col("__docs"), 4)).drop("__docs")
 
 
 def check_meta(records: DataFrame, docs: DataFrame) -> DataFrame:
-    """Parts whose latest record's total is not what their documents add up to."""
-    last = records.groupBy("subset", "part").agg(F.max_by("tokens", F.struct("written_at", "run_id", "tokens")).alias("recorded"))
+    """Parts whose latest record's total is not what their documents add up to, or whose tokenizer is not that of most parts."""
+    last = records.groupBy("subset", "part").agg(F.max_by(F.struct("tokens", "tokenizer"), F.struct("written_at", "run_id", "tokens")).alias("r"))
+    last = last.select("subset", "part", F.col("r.tokens").alias("recorded"), "r.tokenizer")
+    usual = last.groupBy("tokenizer").agg(F.count("*").alias("n")).agg(F.max_by("tokenizer", F.struct("n", "tokenizer")).alias("usual"))
     sums = docs.groupBy("subset", "part").agg(F.sum("n_tokens").alias("actual"))
-    return last.join(sums, ["subset", "part"], "full_outer").where(~F.col("recorded").eqNullSafe(F.col("actual")))
+    both = last.join(sums, ["subset", "part"], "full_outer").join(usual, how="left")  # one row
+    both = both.withColumn("same_tokenizer", F.col("tokenizer").eqNullSafe(F.col("usual"))).drop("tokenizer", "usual")
+    return both.where(~F.col("recorded").eqNullSafe(F.col("actual")) | ~F.col("same_tokenizer"))
+
+
+def usable_shards(shards: DataFrame, batch: int, length: int, world: int = 1) -> DataFrame:
+    """Shards with a step's tokens at least; none at all is an error."""
+    least = batch * length * world + 1
+    usable = shards.where(F.col("n_tokens") >= least)
+    if usable.isEmpty():
+        raise ValueError(f"every shard is shorter than the {least} tokens of a step")
+    return usable
 
 
 def batch_plan(shards: DataFrame, batch: int, length: int, world: int = 1) -> DataFrame:
@@ -93,6 +129,20 @@ def epoch_order(shards: DataFrame, epoch: int, seed: int = 0) -> DataFrame:
     return shards.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed + epoch)), "subset", F.col("part").cast("string"))))
 
 
+def loader_stream(shards: DataFrame, epochs: int, batch: int, length: int, world: int = 1, seed: int = 0) -> DataFrame:
+    """The loader's one ordered stream: ``epoch, turn, step, offset`` and the shard's key of each step, steps numbered on
+    through the shards in the order of each epoch. A loader that has done n steps resumes at step n.
+
+    Only a row a shard and epoch is numbered in one window; the steps are made from these rows.
+    """
+    stride = batch * length * world
+    every = shards.where(F.col("n_tokens") >= stride + 1).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    order = Window.orderBy("epoch", F.md5(F.concat_ws(":", (F.lit(seed) + F.col("epoch")).cast("string"), "subset", F.col("part").cast("string"))), "subset", "part")
+    steps = F.floor((F.col("n_tokens") - 1) / stride)
+    placed = every.withColumn("turn", F.row_number().over(order) - 1).withColumn("first", F.coalesce(F.sum(steps).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), steps - 1))).select("epoch", "turn", "subset", "part", (F.col("first") + F.col("k")).alias("step"), (F.col("k") * stride).alias("offset"))
+
+
 def shifted_pairs(tokens: DataFrame, length: int) -> DataFrame:
     """``x, y`` rows of ``length`` tokens of each document's token list; ``y`` is ``x`` one token later, rows share one."""
     rows = F.floor((F.size("tokens") - 1) / length).cast("int")

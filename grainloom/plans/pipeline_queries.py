@@ -57,9 +57,24 @@ def _shards(s: SparkSession, d: str) -> DataFrame:
     return _lengths(s, d).groupBy("subset", "part").agg(F.sum("n_tokens").alias("n_tokens"))
 
 
+def _total(s: SparkSession, d: str) -> int:
+    """Tokens of the mix: half as much again as there are, so that subsets are gone through more than once."""
+    return 3 * int(_train(s, d).agg(F.sum("n_tokens")).first()[0] or 0) // 2
+
+
+def _mixed(s: SparkSession, d: str) -> DataFrame:
+    return pk.mix_order(_train(s, d), _weights(s, d), _total(s, d))
+
+
 def _assigned(s: SparkSession, d: str) -> DataFrame:
-    keyed = _train(s, d).withColumn("key", pk.shuffle_key(1, "subset", "doc_id"))
-    return pk.cut_shards(pk.running_totals(keyed, "subset", "key", "n_tokens", "start"), SHARD_TOKENS)
+    return pk.cut_shards(_mixed(s, d), SHARD_TOKENS)
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    """Rows of input and target; the lengths of a text's words stand for its tokens."""
+    tokens = t(s, d, "documents", "doc_id", "text").select("doc_id", F.transform(F.split("text", " "), F.length).alias("tokens"))
+    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return pk.shifted_pairs(tokens, LENGTH).select("doc_id", F.col("row").cast("bigint").alias("row"), shown("x"), shown("y"))
 
 
 _LEN = "len AS (SELECT subset, part, doc_id, min(ord) AS ord, max(coalesce(tokens, end_off - start_off)) AS n_tokens FROM docs_idx GROUP BY subset, part, doc_id)"
@@ -73,9 +88,23 @@ def _before(seed: int, source: str) -> str:
 _SPLIT = f"{_LEN}, sp AS (SELECT *, CASE WHEN before < {VAL_TOKENS} THEN 'val' ELSE 'train' END AS split FROM ({_before(0, 'len')}))"
 _TRAIN = f"{_SPLIT}, train AS (SELECT subset, part, ord, doc_id, n_tokens FROM sp WHERE split = 'train')"
 _SHARDS = f"{_LEN}, shards AS (SELECT subset, part, sum(n_tokens)::BIGINT AS n_tokens FROM len GROUP BY ALL)"
+_MIX = f"""{_TRAIN}, total AS (SELECT 3 * sum(n_tokens)::BIGINT // 2 AS total FROM train), sz AS (SELECT subset, sum(n_tokens)::BIGINT AS size, count(*) AS docs FROM train GROUP BY ALL),
+    wt AS (SELECT source AS subset, sum(weight) AS weight FROM mix_plan WHERE weight > 0 GROUP BY ALL),
+    tg AS (SELECT subset, round(weight / sum(weight) OVER (), 9) AS share, size, docs FROM sz JOIN wt USING (subset) WHERE size > 0),
+    tgt AS (SELECT *, share * total AS demand FROM tg, total),
+    cp AS (SELECT train.*, size, demand, unnest(range(0, greatest(ceil(demand / size)::BIGINT, 1))) AS epoch FROM train JOIN tgt USING (subset)),
+    ck AS (SELECT *, md5('1:' || epoch || ':' || subset || ':' || doc_id) AS key FROM cp),
+    fr AS (SELECT *, epoch * size + coalesce(sum(n_tokens) OVER (PARTITION BY subset, epoch ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f FROM ck),
+    mix AS (SELECT subset, doc_id, n_tokens, epoch, f / demand AS due FROM fr WHERE f < demand),
+    cut AS (SELECT *, (coalesce(sum(n_tokens) OVER (ORDER BY due, subset, epoch, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {SHARD_TOKENS})::BIGINT AS shard FROM mix)"""
 _STRIDE = BATCH * LENGTH * WORLD
 _PLAN = f"{_SHARDS}, plan AS (SELECT subset, part, step, step * {_STRIDE} AS offset FROM (SELECT subset, part, unnest(range(0, (n_tokens - 1) // {_STRIDE})) AS step FROM shards WHERE n_tokens >= {_STRIDE + 1}))"
 
+_STREAM = f"""{_SHARDS}, o AS (SELECT epoch::INT AS epoch, subset, part, n_tokens, (n_tokens - 1) // {_STRIDE} AS steps FROM shards, range(0, 2) e(epoch) WHERE n_tokens >= {_STRIDE + 1}),
+    n AS (SELECT *, row_number() OVER w - 1 AS turn, coalesce(sum(steps) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM o
+        WINDOW w AS (ORDER BY epoch, md5(epoch || ':' || subset || ':' || part), subset, part)),
+    stream AS (SELECT epoch, turn, subset, part, first + k AS step, k * {_STRIDE} AS "offset" FROM (SELECT *, unnest(range(0, steps)) AS k FROM n))"""
+
 _RANK = "CASE subset " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(pl.PRIORITY)) + f" ELSE {len(pl.PRIORITY)} END * 72057594037927936 + coalesce(part, 0) * 4294967296 + coalesce(pos, 0)"
 _FETCH = f"""raw AS (SELECT doc_id, min(subset) AS subset, min(part) AS part, min(pos) AS pos, min(text) AS text FROM clean GROUP BY doc_id),
     {fq.BASE_SQL.replace("FROM clean", "FROM raw")}, fs AS (SELECT doc_id, {fq.subset_case_sql()} AS reason FROM m),
@@ -105,16 +134,19 @@ QUERIES: dict[str, Query] = {
     "funnel_plain": lambda s, d: _funnel(s, d, False),
     "doc_offsets": lambda s, d: pk.doc_offsets(_lengths(s, d)).select("subset", "part", "ord", "doc_id", "n_tokens", "start_off", "end_off"),
     "split_val": lambda s, d: pk.split_validation(_lengths(s, d), VAL_TOKENS).select("subset", "doc_id", "n_tokens", "split"),
-    "mix_schedule": lambda s, d: pk.mix_order(_train(s, d), _weights(s, d)).select("subset", "doc_id", F.round("at", 6).alias("at")),
-    "shard_assign": lambda s, d: _assigned(s, d).select("subset", "doc_id", "shard"),
-    "shard_totals": lambda s, d: _assigned(s, d).groupBy("subset", "shard").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")),
-    "pack_meta": lambda s, d: pk.pack_meta(_train(s, d), _weights(s, d)),
+    "mix_schedule": lambda s, d: _mixed(s, d).select("subset", "doc_id", "epoch", F.round("due", 6).alias("due")),
+    "mix_epochs": lambda s, d: _mixed(s, d).groupBy("subset", "epoch").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")),
+    "shard_assign": lambda s, d: _assigned(s, d).select("subset", "doc_id", "epoch", "shard"),
+    "shard_totals": lambda s, d: _assigned(s, d).groupBy("shard").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")),
+    "pack_meta": lambda s, d: pk.pack_meta(_mixed(s, d), pk.mix_targets(_train(s, d), _weights(s, d), _total(s, d))),
     "check_meta": lambda s, d: pk.check_meta(t(s, d, "docs"), _lengths(s, d)),
-    "usable_shards": lambda s, d: _shards(s, d).where(F.col("n_tokens") >= _STRIDE + 1),
+    "usable_shards": lambda s, d: pk.usable_shards(_shards(s, d), BATCH, LENGTH, WORLD),
     "epoch_order": lambda s, d: pk.epoch_order(_shards(s, d), 3),
     "batch_plan": lambda s, d: pk.batch_plan(_shards(s, d), BATCH, LENGTH, WORLD).select("subset", "part", "step", "offset"),
     "rank_slices": lambda s, d: pk.rank_slices(pk.batch_plan(_shards(s, d), BATCH, LENGTH, WORLD), BATCH, LENGTH, WORLD).select("subset", "part", "step", "rank", "rank_offset"),
-    "resume_stream": lambda s, d: pk.batch_plan(_shards(s, d), BATCH, LENGTH, WORLD).where("step >= 5").select("subset", "part", "step", "offset"),
+    "loader_stream": lambda s, d: pk.loader_stream(_shards(s, d), 2, BATCH, LENGTH, WORLD),
+    "resume_stream": lambda s, d: pk.loader_stream(_shards(s, d), 2, BATCH, LENGTH, WORLD).where("step >= 5"),
+    "xy_pairs": _pairs,
     "eval_batches": lambda s, d: pk.batch_plan(_shards(s, d), BATCH, LENGTH, WORLD).where("step < 2").select("subset", "part", "step", "offset"),
 }
 
@@ -129,17 +161,25 @@ ORACLE: dict[str, str] = {
     "doc_offsets": f"""WITH {_LEN} SELECT *, (sum(n_tokens) OVER w)::BIGINT AS end_off, (sum(n_tokens) OVER w)::BIGINT - n_tokens AS start_off FROM len
         WINDOW w AS (PARTITION BY subset, part ORDER BY ord, doc_id)""",
     "split_val": f"WITH {_SPLIT} SELECT subset, doc_id, n_tokens, split FROM sp",
-    "mix_schedule": f"WITH {_TRAIN} SELECT subset, doc_id, round(before / weight, 6) AS at FROM ({_before(1, 'train')}) JOIN mix_plan ON source = subset WHERE weight > 0",
-    "shard_assign": f"WITH {_TRAIN} SELECT subset, doc_id, before // {SHARD_TOKENS} AS shard FROM ({_before(1, 'train')})",
-    "shard_totals": f"WITH {_TRAIN} SELECT subset, before // {SHARD_TOKENS} AS shard, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM ({_before(1, 'train')}) GROUP BY ALL",
-    "pack_meta": f"""WITH {_TRAIN}, s AS (SELECT subset, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM train GROUP BY ALL), a AS (SELECT *, round(tokens / (sum(tokens) OVER ())::DOUBLE, 4) AS share FROM s)
-        SELECT a.*, target_share FROM a JOIN (SELECT source, round(weight / sum(weight) OVER (), 4) AS target_share FROM mix_plan) ON source = subset""",
-    "check_meta": f"""WITH {_SHARDS}, l AS (SELECT subset, part, arg_max(row(tokens), row(written_at, run_id, tokens)) AS r FROM docs GROUP BY ALL)
-        SELECT coalesce(l.subset, s.subset) AS subset, coalesce(l.part, s.part) AS part, l.r[1] AS recorded, s.n_tokens AS actual FROM l FULL JOIN shards s ON l.subset = s.subset AND l.part = s.part WHERE l.r[1] IS DISTINCT FROM s.n_tokens""",
+    "mix_schedule": f"WITH {_MIX} SELECT subset, doc_id, epoch, round(due, 6) AS due FROM mix",
+    "mix_epochs": f"WITH {_MIX} SELECT subset, epoch, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM mix GROUP BY ALL",
+    "shard_assign": f"WITH {_MIX} SELECT subset, doc_id, epoch, shard FROM cut",
+    "shard_totals": f"WITH {_MIX} SELECT shard, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM cut GROUP BY ALL",
+    "pack_meta": f"""WITH {_MIX}, a AS (SELECT subset, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM mix GROUP BY ALL)
+        SELECT subset, a.docs, tokens, round(tokens / (sum(tokens) OVER ())::DOUBLE, 4) AS share, round(tgt.share, 4) AS target_share, round(a.docs / tgt.docs::DOUBLE, 4) AS epochs FROM a JOIN tgt USING (subset)""",
+    "check_meta": f"""WITH {_SHARDS}, l AS (SELECT subset, part, arg_max(row(tokens, tokenizer), row(written_at, run_id, tokens)) AS r FROM docs GROUP BY ALL),
+        u AS (SELECT arg_max(tokenizer, row(n, tokenizer)) AS usual FROM (SELECT r[2] AS tokenizer, count(*) AS n FROM l GROUP BY ALL)),
+        j AS (SELECT coalesce(l.subset, s.subset) AS subset, coalesce(l.part, s.part) AS part, l.r[1] AS recorded, s.n_tokens AS actual, l.r[2] IS NOT DISTINCT FROM usual AS same_tokenizer
+            FROM l FULL JOIN shards s ON l.subset = s.subset AND l.part = s.part CROSS JOIN u)
+        SELECT * FROM j WHERE recorded IS DISTINCT FROM actual OR NOT same_tokenizer""",
     "usable_shards": f"WITH {_SHARDS} SELECT * FROM shards WHERE n_tokens >= {_STRIDE + 1}",
     "epoch_order": f"WITH {_SHARDS} SELECT *, md5('3:' || subset || ':' || part) AS key FROM shards",
     "batch_plan": f'WITH {_PLAN} SELECT subset, part, step, "offset" FROM plan'.replace("AS offset", 'AS "offset"'),
     "rank_slices": f'WITH {_PLAN} SELECT subset, part, step, r AS rank, "offset" + r * {BATCH * LENGTH} AS rank_offset FROM plan, range(0, {WORLD}) q(r)'.replace("AS offset", 'AS "offset"'),
-    "resume_stream": f'WITH {_PLAN} SELECT subset, part, step, "offset" FROM plan WHERE step >= 5'.replace("AS offset", 'AS "offset"'),
+    "loader_stream": f"WITH {_STREAM} SELECT * FROM stream",
+    "resume_stream": f"WITH {_STREAM} SELECT * FROM stream WHERE step >= 5",
+    "xy_pairs": f"""WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) AS t FROM documents WHERE text IS NOT NULL),
+        r AS (SELECT *, unnest(range(0, (len(t) - 1) // {LENGTH})) AS row FROM w WHERE len(t) > {LENGTH})
+        SELECT doc_id, row, array_to_string(t[row * {LENGTH} + 1:row * {LENGTH} + {LENGTH}], ',') AS x, array_to_string(t[row * {LENGTH} + 2:row * {LENGTH} + {LENGTH} + 1], ',') AS y FROM r""",
     "eval_batches": f'WITH {_PLAN} SELECT subset, part, step, "offset" FROM plan WHERE step < 2'.replace("AS offset", 'AS "offset"'),
 }

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from grainloom.functions import text as T
 from grainloom.operators import analytics as an
+from grainloom.operators import filters as fl
 from grainloom.operators import tokens as tk
+from grainloom.plans import filter_queries as fq
 from grainloom.sources import catalogue as sc
 from grainloom.sources.tables import read_table as t
 
@@ -61,6 +63,25 @@ def _files(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "clean", "subset", "part").distinct()
 
 
+def _done(s: SparkSession, d: str) -> DataFrame:
+    """Parts whose latest record is whole, all but the last part of each subset: that one counts as broken off."""
+    latest = t(s, d, "docs").groupBy("subset", "part").agg(F.max_by(F.struct("tokens", "docs"), F.struct("written_at", "run_id", "tokens")).alias("r"))
+    last = _files(s, d).groupBy("subset").agg(F.max("part").alias("last"))
+    return latest.where("r.tokens IS NOT NULL AND r.docs IS NOT NULL").join(last, "subset").where("part < last")
+
+
+def _groups(s: SparkSession, d: str) -> DataFrame:
+    """Subsets as files, a group for every hundred documents."""
+    return t(s, d, "clean", "subset").groupBy(F.col("subset").alias("file")).agg(F.ceil(F.count("*") / 100).alias("groups"))
+
+
+def _probe(s: SparkSession, d: str) -> DataFrame:
+    """Kept bytes of the probed parts; what is judged are the rows of these parts only."""
+    groups = sc.probed_groups(_files(s, d))
+    rows = t(s, d, "clean", "doc_id", "subset", "part", "text").join(groups, ["subset", "part"], "left_semi").groupBy("doc_id", "subset", "part").agg(F.min("text").alias("text"))
+    return sc.yield_probe(fl.apply_filters(rows.where("text IS NOT NULL"), grams=False), groups, F.col("reason").isNull())
+
+
 def _rates(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "tokenizer_eval").where("tokenizer = 'mt32k'").select("subset", "bytes_per_token")
 
@@ -74,16 +95,21 @@ _ONE = "c1 AS (SELECT doc_id, min(subset) AS subset, min(part) AS part, min(pos)
 _LANGS = ", ".join(f"'{x}'" for x in sc.CODE_LANGUAGES)
 _CODE = "cc AS (SELECT DISTINCT file_id, language, size, code FROM code)"
 
+_PARAMS = f"""WITH m AS ({MODELS}), l AS (SELECT *, 2 * d_model * d_model + 2 * d_model * n_kv_heads * head_dim + (CASE activation WHEN 'swiglu' THEN 3 ELSE 2 END) * d_model * ffn_hidden + 2 * d_model + CASE WHEN qk_norm THEN 2 * head_dim ELSE 0 END AS per_layer FROM m),
+        t AS (SELECT *, per_layer * n_layers + d_model AS non_embedding, vocab_size * d_model AS embedding FROM l), u AS (SELECT *, non_embedding + embedding + CASE WHEN tied THEN 0 ELSE embedding END AS total FROM t)
+        SELECT name, per_layer::BIGINT AS per_layer, non_embedding::BIGINT AS non_embedding, embedding::BIGINT AS embedding, total::BIGINT AS total, (2 * total)::BIGINT AS bf16_bytes FROM u"""
+
 QUERIES: dict[str, Query] = {
     "scan_parquet": lambda s, d: sc.scan(t(s, d, "clean"), "text", "doc_id"),
     "source_catalogue": lambda s, d: sc.catalogue(s),
     "code_prefilter": lambda s, d: sc.code_prefilter(code(s, d)).select("file_id", "language", "size"),
     "byte_budget_scan": lambda s, d: sc.byte_budget(clean(s, d).withColumn("file", F.concat_ws("/", "subset", "part")), "file", ["pos", "doc_id"], 20_000).select("doc_id", "file"),
     "even_file_pick": lambda s, d: sc.even_file_pick(_files(s, d).where("subset = 'en_web'").select(F.col("part").alias("path")), 4),
-    "yield_probe": lambda s, d: sc.yield_probe(clean(s, d).groupBy("subset", "part").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))),
-    "plan_tasks": lambda s, d: s.createDataFrame(sc.plan_tasks([20, 5, 12], 30), "part int, file int, first_group int, groups int"),
+    "yield_probe": _probe,
+    "plan_tasks": lambda s, d: sc.plan_tasks(_groups(s, d), 30),
+    "plan_byte_tasks": lambda s, d: sc.plan_byte_tasks(_groups(s, d), 1_000_001),
     "target_bytes": lambda s, d: sc.target_bytes(t(s, d, "mix_plan", F.col("source").alias("subset"), "weight"), _rates(s, d), 1_000_000),
-    "resume_skip": lambda s, d: sc.unfinished(_files(s, d), t(s, d, "docs").where("tokens IS NOT NULL AND docs IS NOT NULL"), "subset", "part"),
+    "resume_skip": lambda s, d: sc.unfinished(_files(s, d), _done(s, d), "subset", "part"),
     "sample_to_budget": lambda s, d: sc.sample_to_budget(clean(s, d), "subset", "doc_id", 30_000).select("subset", "doc_id"),
     "lang_cap": lambda s, d: sc.language_cap(code(s, d).groupBy("file_id").agg(F.max("language").alias("language"), F.max("size").alias("size")), 400_000).select("file_id", "language"),
     "holdout_file": lambda s, d: sc.holdout_file(_files(s, d)),
@@ -123,12 +149,20 @@ ORACLE: dict[str, str] = {
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c1) SELECT doc_id, file FROM b WHERE b < 20000""",
     "even_file_pick": """WITH f AS (SELECT DISTINCT part AS path FROM clean WHERE subset = 'en_web'), n AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS i, count(*) OVER () AS n FROM f)
         SELECT path FROM n WHERE i IN (SELECT k * (SELECT max(n) FROM n) // least(4, (SELECT max(n) FROM n)) FROM range(0, 4) r(k))""",
-    "yield_probe": f"""WITH {_ONE}, g AS (SELECT subset, part, coalesce(sum(strlen(text)), 0) AS bytes FROM c1 GROUP BY ALL), n AS (SELECT *, max(part) OVER (PARTITION BY subset) + 1 AS n FROM g)
-        SELECT subset, greatest(1, floor(avg(bytes)))::BIGINT AS bytes_per_group FROM n WHERE part IN (0, n // 2, n - 1) GROUP BY subset""",
-    "plan_tasks": "SELECT * FROM (VALUES (0, 0, 0, 8), (1, 1, 0, 5), (2, 2, 0, 8), (3, 0, 8, 8), (4, 2, 8, 4)) v(part, file, first_group, \"groups\")",
+    "yield_probe": f"""WITH f AS (SELECT DISTINCT subset, part FROM clean), n AS (SELECT *, max(part) OVER (PARTITION BY subset) + 1 AS n FROM f), pr AS (SELECT subset, part FROM n WHERE part IN (0, n // 2, n - 1)),
+        rw AS (SELECT row_number() OVER () AS doc_id, * FROM (SELECT doc_id AS id, subset, part, min(text) AS text FROM clean SEMI JOIN pr USING (subset, part) WHERE text IS NOT NULL GROUP BY ALL)),
+        {fq.BASE_SQL.replace("FROM clean", "FROM rw")}, k AS (SELECT doc_id, {fq.subset_case_sql()} AS reason FROM m),
+        sz AS (SELECT subset, part, sum(strlen(text)) AS b FROM rw JOIN k USING (doc_id) WHERE reason IS NULL GROUP BY ALL)
+        SELECT subset, greatest(1, floor(avg(coalesce(b, 0))))::BIGINT AS bytes_per_group FROM pr LEFT JOIN sz USING (subset, part) GROUP BY subset""",
+    "plan_tasks": """WITH f AS (SELECT subset AS file, ceil(count(*) / 100)::BIGINT AS g FROM clean GROUP BY ALL), u AS (SELECT file, g, unnest(range(0, (g + 7) // 8)) AS turn FROM f),
+        k AS (SELECT file, turn, turn * 8 AS first_group, least(8, g - turn * 8) AS groups FROM u), a AS (SELECT *, coalesce(sum(groups) OVER (ORDER BY turn, file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM k)
+        SELECT row_number() OVER (ORDER BY turn, file) - 1 AS part, file, first_group, groups FROM a WHERE ahead < 30""",
+    "plan_byte_tasks": """SELECT row_number() OVER (ORDER BY file) - 1 AS part, file, ceil(1000001 / count(*) OVER ())::BIGINT AS max_bytes FROM (SELECT DISTINCT subset AS file FROM clean)""",
     "target_bytes": """WITH w AS (SELECT source AS subset, round(weight / sum(weight) OVER () * 1000000)::BIGINT AS target_tokens FROM mix_plan)
         SELECT subset, target_tokens, round(target_tokens * bytes_per_token * 1.1::DOUBLE / 0.9::DOUBLE)::BIGINT AS target_bytes FROM w JOIN tokenizer_eval USING (subset) WHERE tokenizer = 'mt32k'""",
-    "resume_skip": "SELECT DISTINCT subset, part FROM clean EXCEPT SELECT subset, part FROM docs WHERE tokens IS NOT NULL AND docs IS NOT NULL",
+    "resume_skip": """WITH f AS (SELECT DISTINCT subset, part FROM clean), l AS (SELECT subset, part, arg_max(row(tokens, docs), row(written_at, run_id, tokens)) AS r FROM docs GROUP BY ALL),
+        m AS (SELECT subset, max(part) AS last FROM f GROUP BY ALL)
+        SELECT subset, part FROM f EXCEPT SELECT subset, part FROM l JOIN m USING (subset) WHERE r[1] IS NOT NULL AND r[2] IS NOT NULL AND part < last""",
     "sample_to_budget": f"""WITH {_ONE}, b AS (SELECT subset, doc_id, coalesce(sum(coalesce(strlen(text), 0)) OVER (PARTITION BY subset ORDER BY md5('0:' || subset || ':' || doc_id)
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c1) SELECT subset, doc_id FROM b WHERE b < 30000""",
     "lang_cap": f"""WITH {_CODE}, o AS (SELECT file_id, max(language) AS language, max(size) AS size FROM cc GROUP BY file_id), b AS (SELECT file_id, language, coalesce(sum(coalesce(size, 0)) OVER
@@ -156,9 +190,7 @@ ORACLE: dict[str, str] = {
         x AS (SELECT alpha, pow(n, -alpha) AS x, loss FROM g, p), f AS (SELECT alpha, regr_intercept(loss, x) AS floor, regr_slope(loss, x) AS a, regr_syy(loss, x) - regr_sxy(loss, x) * regr_sxy(loss, x) / regr_sxx(loss, x) AS r FROM x GROUP BY alpha)
         SELECT round(alpha, 2) AS alpha, round(floor, 2) AS floor, round(a, 2) AS a FROM f ORDER BY r, alpha LIMIT 1""",
     "mfu": f"SELECT run, round(batch_tokens / step_s::DOUBLE, 6) AS tok_s, round(flops::DOUBLE * (batch_tokens / step_s::DOUBLE) / (peak_flops::DOUBLE * world), 6) AS mfu FROM ({SPEED})",
-    "param_counts": f"""WITH m AS ({MODELS}), l AS (SELECT *, 2 * d_model * d_model + 2 * d_model * n_kv_heads * head_dim + (CASE activation WHEN 'swiglu' THEN 3 ELSE 2 END) * d_model * ffn_hidden + 2 * d_model + CASE WHEN qk_norm THEN 2 * head_dim ELSE 0 END AS per_layer FROM m),
-        t AS (SELECT *, per_layer * n_layers + d_model AS non_embedding, vocab_size * d_model AS embedding FROM l), u AS (SELECT *, non_embedding + embedding + CASE WHEN tied THEN 0 ELSE embedding END AS total FROM t)
-        SELECT name, per_layer::BIGINT AS per_layer, non_embedding::BIGINT AS non_embedding, embedding::BIGINT AS embedding, total::BIGINT AS total, (2 * total)::BIGINT AS bf16_bytes FROM u""",
+    "param_counts": _PARAMS,
     "flops": f"""WITH m AS ({MODELS}), l AS (SELECT *, (2 * d_model * d_model + 2 * d_model * n_kv_heads * head_dim + (CASE activation WHEN 'swiglu' THEN 3 ELSE 2 END) * d_model * ffn_hidden + 2 * d_model + CASE WHEN qk_norm THEN 2 * head_dim ELSE 0 END)::BIGINT * n_layers + d_model AS n FROM m)
         SELECT name, (6 * n + 6 * d_model::BIGINT * vocab_size + 12 * n_layers::BIGINT * seq_len * d_model)::BIGINT AS flops FROM l""",
     "lr_wsd": "SELECT k AS id, round(CASE WHEN k < 50 THEN 3e-4 * (k + 1) / 50 WHEN k < 900 THEN 3e-4 ELSE 3e-4 + (3e-5 - 3e-4) * (k - 900) / 100 END, 9) AS lr FROM range(0, 1000) r(k)",
@@ -169,8 +201,8 @@ ORACLE: dict[str, str] = {
         SELECT name, subset, round(loss - mean, 6) AS delta, abs(loss - mean) > 2 * sigma AS significant FROM x JOIN n USING (subset) WHERE name = 'muon'""",
     "group_mean": f"WITH x AS ({SUBSET_LOSS}) SELECT name, round(avg(loss::DOUBLE) FILTER (subset LIKE 'en%'), 6) AS en, round(avg(loss::DOUBLE) FILTER (subset LIKE 'zh%'), 6) AS zh FROM x GROUP BY name",
     "macro_val": f"WITH x AS ({SUBSET_LOSS}), g AS (SELECT name AS run, subset, avg(loss::DOUBLE) AS l FROM x GROUP BY ALL) SELECT run, round(avg(l), 6) AS val_loss FROM g GROUP BY run",
-    "params_check": f"""SELECT name, t.total, expected::INT AS expected, round(abs(t.total - expected) / expected::DOUBLE, 6) AS off, abs(t.total - expected) / expected::DOUBLE <= 0.01 AS ok
-        FROM (VALUES ('250m', 236491776::BIGINT), ('gelu', 58728960::BIGINT)) t(name, total) JOIN ({EXPECTED}) USING (name)""",
+    "params_check": f"""WITH t AS ({_PARAMS}) SELECT name, t.total, expected::INT AS expected, round(abs(t.total - expected) / expected::DOUBLE, 6) AS off, abs(t.total - expected) / expected::DOUBLE <= 0.01 AS ok
+        FROM t JOIN ({EXPECTED}) USING (name)""",
     "grad_accum": f"SELECT run, CASE WHEN batch_tokens % (micro_batch * seq_len * world) = 0 THEN batch_tokens // (micro_batch * seq_len * world) ELSE 0 END::BIGINT AS steps FROM ({ACCUMULATION})",
     "rms_norm": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x)) / len(v) + 1e-5) AS r FROM e)
         SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x / r))), 4) AS l1 FROM q""",

@@ -64,28 +64,36 @@ def even_file_pick(files: DataFrame, n: int, path: str = "path") -> DataFrame:
     return numbered.where(hit).drop("__i", "__n")
 
 
-def yield_probe(groups: DataFrame, subset: str = "subset", group: str = "part", usable: str = "bytes") -> DataFrame:
-    """Mean usable bytes of the first, middle and last group of each subset, at least 1."""
+def probed_groups(groups: DataFrame, subset: str = "subset", group: str = "part") -> DataFrame:
+    """The first, middle and last group of each subset, of its distinct groups."""
     span = groups.groupBy(subset).agg((F.max(group) + 1).alias("n"))
-    probed = groups.join(span, subset).where((F.col(group) == 0) | (F.col(group) == F.floor(F.col("n") / 2)) | (F.col(group) == F.col("n") - 1))
-    return probed.groupBy(subset).agg(F.greatest(F.lit(1), F.floor(F.avg(usable))).cast("bigint").alias("bytes_per_group"))
-
-
-def plan_tasks(files: list[int], need: int, groups_per_task: int = 8) -> list[tuple[int, int, int, int]]:
-    """``(part, file, first group, groups)`` of each task: files take turns, each task takes what its file still has, up to
-    the limit, until the groups needed are planned. More need only appends tasks."""
-    out: list[tuple[int, int, int, int]] = []
-    taken, planned = [0] * len(files), 0
-    while planned < need and any(t < n for t, n in zip(taken, files)):
-        for k, n in enumerate(files):
-            if planned >= need:
-                break
-            take = min(groups_per_task, n - taken[k])
-            if take > 0:
-                out.append((len(out), k, taken[k], take))
-                taken[k] += take
-                planned += take
-    return out
+    return groups.join(span, subset).where((F.col(group) == 0) | (F.col(group) == F.floor(F.col("n") / 2)) | (F.col(group) == F.col("n") - 1)).select(subset, group).distinct()
+
+
+def yield_probe(rows: DataFrame, groups: DataFrame, usable: Column, subset: str = "subset", group: str = "part", text: str = "text") -> DataFrame:
+    """Mean bytes of usable texts in the probed ``groups`` of each subset, at least 1; only these groups' rows are judged."""
+    sizes = rows.where(usable).groupBy(subset, group).agg(F.sum(F.octet_length(text)).alias("__bytes"))
+    return groups.join(sizes, [subset, group], "left").groupBy(subset).agg(F.greatest(F.lit(1), F.floor(F.avg(F.coalesce("__bytes", F.lit(0))))).cast("bigint").alias("bytes_per_group"))
+
+
+def plan_tasks(files: DataFrame, need: int, per_task: int = 8) -> DataFrame:
+    """``part, file, first_group, groups`` of each task that reads row groups; ``files`` has ``file, groups``.
+
+    The n-th task of a file takes its groups from ``n * per_task`` on, and tasks are ordered by n, then by file. Those are
+    planned before which fewer than ``need`` groups stand, so a greater need only adds tasks. A listing is small.
+    """
+    turns = files.where("groups > 0").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("groups") - 1) / per_task))))
+    tasks = turns.select("file", "turn", (F.col("turn") * per_task).alias("first_group"), F.least(F.lit(per_task), F.col("groups") - F.col("turn") * per_task).cast("bigint").alias("groups"))
+    order = Window.orderBy("turn", "file")
+    ahead = F.coalesce(F.sum("groups").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return tasks.withColumn("ahead", ahead).where(F.col("ahead") < need).select((F.row_number().over(order) - 1).cast("bigint").alias("part"), "file", "first_group", "groups")
+
+
+def plan_byte_tasks(files: DataFrame, target: int) -> DataFrame:
+    """``part, file, max_bytes``: a task for each line file, with its part of the bytes, rounded up."""
+    every = Window.partitionBy()  # a listing is small
+    share = F.ceil(F.lit(target) / F.count("*").over(every)).cast("bigint")
+    return files.select((F.row_number().over(Window.orderBy("file")) - 1).cast("bigint").alias("part"), "file", share.alias("max_bytes"))
 
 
 def target_bytes(weights: DataFrame, rates: DataFrame, total_tokens: int, loss: float = 1.1, keep: float = 0.9) -> DataFrame:
@@ -230,6 +238,13 @@ def read_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{folder}/*.bin").select("path", "content").mapInArrow(decode, "path string, tokens array<int>")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mixing of each value."""
+    z = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return z ^ (z >> np.uint64(31))
+
+
 def markov_corpus(spark: SparkSession, chains: int, length: int, states: int, branch: int, seed: int = 0) -> DataFrame:
     """``chain, pos, state``: chains that begin with state 0 and step to one of each state's ``branch`` distinct
     successors, drawn by a seeded hash. The entropy of a step is the logarithm of ``branch``."""
@@ -240,7 +255,7 @@ def markov_corpus(spark: SparkSession, chains: int, length: int, states: int, br
             state = np.zeros(len(ids), dtype=np.int64)
             path = [state]
             for step in range(1, length):
-                draw = np.array([hash((seed, int(i), step)) % branch for i in ids])
+                draw = (_mixed(ids + np.int64(step) * 1_000_003 + np.int64(seed) * 998_244_353) % np.uint64(branch)).astype(np.int64)
                 state = 1 + (state * branch + draw + seed) % (states - 1)
                 path.append(state)
             flat = np.stack(path, axis=1)

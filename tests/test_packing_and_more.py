@@ -36,12 +36,21 @@ def test_running_totals_against_a_plain_sum(spark):
 
 def test_mix_keeps_its_shares_in_every_prefix(spark):
     weights = spark.createDataFrame([("a", 70.0), ("b", 30.0)], "subset string, weight double")
-    rows = sorted(pk.mix_order(lengths(spark, 2000), weights).collect(), key=lambda r: r["at"])
+    rows = pk.cut_shards(pk.mix_order(lengths(spark, 2000), weights, 40_000), 1_000).orderBy("start").collect()
     a = b = 0
-    for k, r in enumerate(rows[:1200]):
+    for k, r in enumerate(rows):
+        assert r["start"] == a + b and r["shard"] == (a + b) // 1_000
         a, b = (a + r["n_tokens"], b) if r["subset"] == "a" else (a, b + r["n_tokens"])
         if k > 200:
             assert abs(a / (a + b) - 0.7) < 0.02
+    assert 40_000 <= a + b < 40_040
+    # what is drawn again is drawn in whole epochs first, and no document twice in one
+    for s in "ab":
+        uses = [(r["epoch"], r["doc_id"]) for r in rows if r["subset"] == s]
+        assert len(set(uses)) == len(uses)
+        last = max(e for e, _ in uses)
+        assert all(sum(e == k for e, _ in uses) == 1000 for k in range(last))
+    assert max(r["epoch"] for r in rows if r["subset"] == "a") == 2
 
 
 def test_batch_plan_equals_the_loop(spark):
@@ -76,9 +85,21 @@ def test_jsonl_zst_round_trip(spark, tmp_path):
 
 
 def test_plans_are_prefixes(spark):
-    small, large = sc.plan_tasks([20, 5, 12], 10), sc.plan_tasks([20, 5, 12], 30)
-    assert large[: len(small)] == small
-    assert sum(t[3] for t in sc.plan_tasks([3, 2], 99)) == 5
+    plan = lambda groups, need: [tuple(r) for r in sc.plan_tasks(spark.createDataFrame(list(enumerate(groups)), "file int, groups bigint"), need).orderBy("part").collect()]
+    small, large = plan([20, 5, 12], 10), plan([20, 5, 12], 30)
+    assert large == [(0, 0, 0, 8), (1, 1, 0, 5), (2, 2, 0, 8), (3, 0, 8, 8), (4, 2, 8, 4)] and large[: len(small)] == small
+    assert sum(t[3] for t in plan([3, 2, 0], 99)) == 5
+
+
+def test_stream_goes_on_through_shards_and_epochs(spark):
+    shards = spark.createDataFrame([("a", 0, 100), ("a", 1, 150), ("b", 0, 9), ("b", 1, 120)], "subset string, part bigint, n_tokens bigint")
+    rows = pk.loader_stream(shards, 2, 2, 5).orderBy("step").collect()
+    assert [r["step"] for r in rows] == list(range(len(rows))) and len(rows) == 2 * (9 + 14 + 11)
+    assert [r["epoch"] for r in rows] == sorted(r["epoch"] for r in rows)
+    for x, y in zip(rows, rows[1:]):
+        assert y["offset"] == (x["offset"] + 10 if x["turn"] == y["turn"] else 0)
+    with pytest.raises(ValueError):
+        pk.usable_shards(shards, 20, 50)
 
 
 def test_even_pick(spark):
