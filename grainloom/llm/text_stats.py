@@ -1,14 +1,16 @@
 """Per-document text quality statistics, and the rules that tell prose from lists, tables and junk (problem 2).
 
 A document is cut into chunks of `CHUNK` code points. Each chunk gives the counts of the lines that lie wholly inside it
-and a summary of the line pieces at its two ends; summaries merge associatively, a word or a line that a cut went through
-being repaired from what the two pieces keep of it. Documents of one chunk, nearly all, are finished in the narrow stage;
-the chunks of longer ones are merged in two levels (runs of `FANIN` chunks, then the document), so no task ever holds a
-whole huge text. Ratios and rules are derived from the merged counts.
+and a summary of the line pieces at its two ends; summaries merge associatively. What a cut went through (a word, a
+sentence end, a cell, a gap) is repaired in every count from the text that the two pieces keep of either side of the cut:
+the counts of both sides together take the place of the counts of each. Documents of one chunk, nearly all, are finished
+in the narrow stage; longer ones are cut in it, in one pass, and their chunks are merged in a tree of `FANIN` branches, so
+no task ever holds a whole huge text. Ratios and rules are derived from the merged counts.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, fields
@@ -24,8 +26,9 @@ from grainloom.llm.common import small_batches
 #: Code points in a chunk, chunks in a first-level merge, and the greatest number of common words (a bounded parameter).
 CHUNK, FANIN, MOST_COMMON_WORDS = 1 << 16, 64, 100_000
 
-#: Characters kept of a line's two ends, enough for markers, dates and the word that a cut may go through.
-EDGE = 64
+#: Characters kept of a line's two ends, for markers, dates and end marks, and of either side of a cut, for its repair: a
+#: word, a number or a run of blanks that a cut goes through may be that long on each side and still counts as uncut.
+EDGE, CONTEXT = 256, 1024
 
 HAN = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _HAN = re.compile(f"[{HAN}]")
@@ -38,6 +41,7 @@ _LOG = re.compile(r"\s*[\[(]?(?:\d{4}[-/]\d\d[-/]\d\d|\d\d:\d\d:\d\d)\b")
 _LEADER = re.compile(r"(?:\.{4,}|(?:\. ){3,}|\u2026{2,}|_{4,}|\u00b7{4,})\s*\d+\s*$")
 _PAIR = re.compile(r"\s*[^\s:\uff1a](?:[^:\uff1a.!?\u3002]{0,38}[^\s:\uff1a.!?\u3002])?\s*(?:[:\uff1a=]| [-\u2013\u2014] )\s*\S")
 _GAPS = re.compile(r"\S(?:\s{2,}|\t)(?=\S)")
+_TABBED = re.compile(r"\S\s*\t\s*(?=\S)")
 _CHAIN = re.compile(r"\s[>|\u00bb\u203a/\u2192\u00b7\u2022]\s|\s#\w|[,\uff0c\u3001]\s?")
 _CELL = re.compile(r"[,;|\t]")
 _NUMBER_CELL = re.compile(r"(?:^|[,;|\t])\s*(?:-?[\d.]+%?|n/a|-|)\s*(?=[,;|\t]|$)", re.I)
@@ -97,20 +101,22 @@ class Piece:
     cells: int = 0
     numeric_cells: int = 0
     gaps: int = 0
+    tabs: int = 0
     chains: int = 0
     blob: int = 0
     voiced: int = 0
     wordlike: int = 0
     digits: int = 0
     alnum: int = 0
+    #: the two ends without the white space outside them
     head: str = ""
     tail: str = ""
-    #: word pieces at the two ends: they are not yet among the words where a cut touches them
-    first: str = ""
-    last: str = ""
+    #: the two ends as they stand, of pieces that a cut has made
+    left: str = ""
+    right: str = ""
 
     @staticmethod
-    def of(text: str, common: frozenset[str]) -> Piece:
+    def of(text: str, common: frozenset[str], cut: bool = False) -> Piece:
         blanks = text.split()
         ascii_only = text.isascii()
         han = 0 if ascii_only else len(_HAN.findall(text))
@@ -127,39 +133,37 @@ class Piece:
             p.symbols = len(_SYMBOL.findall(text))
             p.ends = len(_SENTENCE_END.findall(text))
             p.cells = len(_CELL.findall(text))
-            p.numeric_cells = len(_NUMBER_CELL.findall(text)) if p.cells > 1 else 0
             p.chains = len(_CHAIN.findall(text))
-        if p.spaces > len(blanks) - 1:
+        if p.spaces > len(blanks) - 1 or "\t" in text:
             p.gaps = len(_GAPS.findall(text))
-            p.cells += "\t" in text and not p.cells and text.count("\t")
-            p.numeric_cells = p.numeric_cells or (len(_NUMBER_CELL.findall(text)) if p.cells > 1 else 0)
+            if "\t" in text:
+                p.tabs = len(_TABBED.findall(text))
+                p.cells = p.cells or text.count("\t")
+        # nobody asks for the numbers among fewer than two cells, but what is cut off may have more
+        if p.cells > 1 or cut:
+            p.numeric_cells = len(_NUMBER_CELL.findall(text))
         p.blob = sum(map(len, _BLOB.findall(text))) if solid > 27 and max(map(len, blanks)) > 27 else 0
-        p.wordlike = int(any(len(t) > 1 and t.isalpha() for t in tokens))
+        p.wordlike = sum(1 for t in tokens if len(t) > 1 and t.isalpha())
         p.voiced = len(_VOICED.findall(text))
         p.digits = sum(map(len, _DIGITS.findall(text)))
-        p.head, p.tail = text[:EDGE], text[-EDGE:]
-        if plain:
-            p.first = "" if text[:1].isspace() or _HAN.match(text[:1]) else plain[0][:EDGE]
-            p.last = "" if text[-1:].isspace() or _HAN.match(text[-1:]) else plain[-1][-EDGE:]
+        p.head, p.tail = text.lstrip()[:EDGE], text.rstrip()[-EDGE:]
+        if cut:
+            p.left, p.right = text[:CONTEXT], text[-CONTEXT:]
         return p
 
     def merge(self, right: Piece, common: frozenset[str]) -> Piece:
-        """The piece that ``right`` follows without a line break; a word through which the cut went is counted once."""
+        """The piece that ``right`` follows without a line break."""
         if not self.chars:
             return right
         if not right.chars:
             return self
-        p = Piece(**{f.name: getattr(self, f.name) + getattr(right, f.name) for f in fields(Piece) if f.type == "int"})
-        if self.last and right.first:
-            known = lambda w: sum(map(common.__contains__, _TOKEN.findall(w.lower())))
-            p.words -= 1
-            p.common += known(self.last + right.first) - known(self.last) - known(right.first)
-        p.head = (self.head + right.head)[:EDGE] if self.chars < EDGE else self.head
-        p.tail = (self.tail + right.tail)[-EDGE:]
-        whole_left = self.first and self.chars == len(self.first)
-        whole_right = right.last and right.chars == len(right.last)
-        p.first = (self.first + right.first)[:EDGE] if whole_left else self.first
-        p.last = (self.last + right.last)[-EDGE:] if whole_right else right.last
+        whole = Piece.of(self.right + right.left, common, cut=True)
+        parts = [Piece.of(x, common, cut=True) for x in (self.right, right.left)]
+        p = Piece(**{n: getattr(self, n) + getattr(right, n) + getattr(whole, n) - sum(getattr(x, n) for x in parts) for n in _ADDED})
+        p.head = (self.head + right.left)[:EDGE] if self.head and len(self.head) < EDGE else self.head or right.head
+        p.tail = (self.right + right.tail)[-EDGE:] if right.tail and len(right.tail) < EDGE else right.tail or self.tail
+        p.left = (self.left + right.left)[:CONTEXT] if self.chars < CONTEXT else self.left
+        p.right = (self.right + right.right)[-CONTEXT:] if right.chars < CONTEXT else right.right
         return p
 
     def counts(self) -> Counts:
@@ -197,7 +201,7 @@ class Piece:
             return "table" if self.head.lstrip().startswith("|") else "junk"
         if self.head.lstrip().startswith("|") or self.tail.rstrip().endswith("|") and self.cells > 1:
             return "table"
-        if self.cells >= 2 and self.numeric_cells > 0.4 * (self.cells + 1) or "\t" in self.head.strip() and share < least:
+        if self.cells >= 2 and self.numeric_cells > 0.4 * (self.cells + 1) or self.tabs and share < least:
             return "table"
         if self.gaps >= 2 and share < least and (self.digits > 0.1 * body or self.gaps > 0.5 * self.words):
             return "table"
@@ -220,6 +224,10 @@ class Piece:
         return "long"
 
 
+#: Counts of a piece; its other fields are text.
+_ADDED = tuple(f.name for f in fields(Piece) if f.type == "int")
+
+
 @lru_cache(maxsize=4)
 def _single(common: frozenset[str]) -> list[str]:
     return [w for w in common if len(w) == 1 and _HAN.match(w)]
@@ -237,9 +245,9 @@ class Chunk:
     @staticmethod
     def of(text: str, common: frozenset[str]) -> Chunk:
         lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-        c = Chunk(before=Piece.of(lines[0], common))
+        c = Chunk(before=Piece.of(lines[0], common, cut=True))
         if len(lines) > 1:
-            c.broken, c.after = True, Piece.of(lines[-1], common)
+            c.broken, c.after = True, Piece.of(lines[-1], common, cut=True)
             for line in lines[1:-1]:
                 if line and not line.isspace():
                     c.counts.add(Piece.of(line, common).counts())
@@ -277,9 +285,8 @@ _STATS = ", ".join(f"`{n}` bigint" for n in _NAMES)
 def text_counts(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row of `Counts` for each row of ``df``, keyed ``doc_id``; a null text counts as an empty one.
 
-    Rows with a null id are kept only while their text fits one chunk and left out beyond (they cannot be put together
-    again); repeated ids of texts beyond one chunk give one row. Line ends of any kind count as breaks. Extra columns are
-    not read.
+    Every row gives a row, also one with a null or a repeated id, whatever its length. Line ends of any kind count as
+    breaks. Extra columns are not read.
     """
     small_batches(df.sparkSession)
     words = [r[0] for r in common_words.where(F.col("word").isNotNull()).select("word").distinct().limit(MOST_COMMON_WORDS + 1).collect()]
@@ -293,11 +300,20 @@ def text_counts(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id",
             rows = [Chunk.of(t, common).total() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([getattr(r, n) for r in rows], pa.int64()) for n in _NAMES]], ["doc_id", *_NAMES])
 
-    import pickle
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, i, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                # a cut between the two halves of a CR LF would make two breaks of one, so it is normalised first
+                text = text.replace("\r\n", "\n").replace("\r", "\n")
+                parts = range(0, len(text), chunk)
+                for k in range(0, len(parts), 256):
+                    some = parts[k : k + 256]
+                    columns = [[row] * len(some), [i] * len(some), list(range(k, k + len(some))), [text[at : at + chunk] for at in some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["row", "doc_id", "n", "text"])
 
     def pieces(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": pdf["n"], "state": [pickle.dumps(Chunk.of(t, common)) for t in pdf["text"]]})
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "n": pdf["n"], "state": [pickle.dumps(Chunk.of(t, common)) for t in pdf["text"]]})
 
     def fold(states: Iterable[bytes]) -> Chunk:
         out: Chunk | None = None
@@ -306,24 +322,24 @@ def text_counts(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id",
             out = part if out is None else out.merge(part, common)
         return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("n").sort_values("n")
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "n": [pdf["n"].iloc[0] // FANIN], "state": [pickle.dumps(fold(pdf["state"]))]})
+    def branch(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "doc_id": pdf["doc_id"].iloc[:1].astype("Int64"), "n": pdf["n"].iloc[:1] // FANIN, "state": [pickle.dumps(fold(pdf["state"]))]})
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = fold(pdf.sort_values("n")["state"]).total()
-        return pd.DataFrame([[pdf["doc_id"].iloc[0], *[getattr(c, n) for n in _NAMES]]], columns=["doc_id", *_NAMES])
+    def finish(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [pickle.loads(x).total() for x in pdf["state"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **{n: [getattr(r, n) for r in rows] for n in _NAMES}})
 
     fits = F.length("text") <= chunk
     short = plain.where(fits).mapInArrow(whole, f"doc_id bigint, {_STATS}")
-    count = F.ceil(F.length("text") / chunk).cast("int")
-    # a cut between the two halves of a CR LF would make two breaks of one, so it is normalised first
-    cut = plain.where(~fits & F.col("doc_id").isNotNull()).withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
-    cut = cut.select("doc_id", F.explode(F.sequence(F.lit(0), count - 1)).alias("n"), "text").select("doc_id", "n", F.expr(f"substring(text, n * {chunk} + 1, {chunk})").alias("text")).where("text <> ''")
-    states = cut.mapInPandas(pieces, "doc_id bigint, n int, state binary")
-    level = states.groupBy("doc_id", F.expr(f"n div {FANIN}").alias("run")).applyInPandas(run, "doc_id bigint, n int, state binary")
-    long = level.groupBy("doc_id").applyInPandas(finish, f"doc_id bigint, {_STATS}")
-    return short.unionByName(long)
+    # a row's number among the input's rows keeps the chunks of a text together, whatever its id
+    long = plain.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(~fits).mapInArrow(cut, "row bigint, doc_id bigint, n int, text string")
+    states = long.repartition("row", "n").mapInPandas(pieces, "row bigint, doc_id bigint, n int, state binary")
+    # three levels of 64 branches hold more chunks than the longest string of a table has
+    for _ in range(3):
+        states = states.groupBy("row", F.expr(f"n div {FANIN}").alias("run")).applyInPandas(branch, "row bigint, doc_id bigint, n int, state binary")
+    return short.unionByName(states.mapInPandas(finish, f"doc_id bigint, {_STATS}"))
 
 
 def _share(part: Column | str, whole: Column | str) -> Column:
@@ -332,7 +348,8 @@ def _share(part: Column | str, whole: Column | str) -> Column:
 
 
 def text_statistics(counts: DataFrame) -> DataFrame:
-    """Ratios and verdict of each row of `text_counts`; documents are told apart by id, deliveries of one id count once.
+    """Ratios and verdict of each row of `text_counts`; documents are told apart by id, of the deliveries of one id the
+    longest counts. Rows without an id stay apart.
 
     ``kind`` is ``blank``, ``prose``, ``list``, ``table`` or ``junk``: what fills more than half of the body. Plain lines
     without an end mark are prose when they are long, or when the document ends sentences often enough for its short
@@ -361,7 +378,9 @@ def text_statistics(counts: DataFrame) -> DataFrame:
         F.round(_share("junk", body), 6).alias("junk_share"),
         kind.alias("kind"),
     )
-    return out.dropDuplicates(["doc_id"])
+    values = [c for c in out.columns if c != "doc_id"]
+    known = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct(*values)).alias("s")).select("doc_id", "s.*")
+    return known.unionByName(out.where("doc_id IS NULL"))
 
 
 def not_prose(stats: DataFrame) -> DataFrame:

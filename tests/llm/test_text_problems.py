@@ -244,30 +244,50 @@ def test_kinds(spark, text, kind):
     assert [r["kind"] for r in rows] == [kind]
 
 
-def test_chunks_merge_to_the_whole(spark):
+def test_chunks_merge_to_the_whole():
+    from dataclasses import asdict
+
     rng = random.Random(7)
     common = frozenset(w for (w,) in COMMON if w)
-    pool = ["the", "of", "house", "汉", "的", " ", "  ", "\n", "\r\n", "- x", ".", "1,2,3", "|", "\t", "longerword"]
-    for _ in range(150):
-        text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 60))).replace("\r\n", "\n")
+    pool = ["the", "of", "house", "汉", "的", " ", "  ", "\n", "- x", ".", "1,2,3", "|", "\t", "longerword", "It ends. ", "why?” ", "a1b2c3d4", "....... 12", " > ", "2026-01-01 10:00:00", "n/a", "名字：值", "。", "_"]
+    for k in range(400):
+        # half of the texts are one line, which every cut goes through
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 80)))
+        text = text.replace("\n", " ") if k % 2 else text
         whole = text_stats.Chunk.of(text, common).total()
-        size = rng.randint(5, 20)
+        size = rng.choice([17, 23, 31, rng.randint(1, 9)])
         parts = [text_stats.Chunk.of(text[i : i + size], common) for i in range(0, len(text), size)]
         while len(parts) > 1:
-            k = rng.randrange(len(parts) - 1)
-            parts[k : k + 2] = [parts[k].merge(parts[k + 1], common)]
-        got = parts[0].total()
-        for name in ("chars", "words", "word_chars", "spaces", "han", "symbols", "lines"):
-            assert getattr(got, name) == getattr(whole, name), (name, text, size)
+            at = rng.randrange(len(parts) - 1)
+            parts[at : at + 2] = [parts[at].merge(parts[at + 1], common)]
+        assert asdict(parts[0].total()) == asdict(whole), (text, size)
 
 
 def test_long_documents_take_the_chunked_way(spark):
-    df = spark.createDataFrame([(1, PROSE * 30), (2, PROSE), (None, PROSE)], "doc_id bigint, text string")
+    rows = [(1, PROSE * 30), (2, PROSE), (None, PROSE), (None, PROSE * 31), (3, (PROSE * 200).replace("\n", " ")), (3, PROSE), (4, "a,1,2\r\n" * 300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
     words = spark.createDataFrame(COMMON, "word string")
-    one = {r["doc_id"]: r.asDict() for r in text_stats.text_counts(df, words).collect()}
-    cut = {r["doc_id"]: r.asDict() for r in text_stats.text_counts(df, words, chunk=200).collect()}
-    for name in ("chars", "words", "word_chars", "common", "lines", "punct_lines"):
-        assert one[1][name] == cut[1][name] and one[2][name] == cut[2][name]
+    one = sorted(map(tuple, text_stats.text_counts(df, words).collect()), key=str)
+    cut = sorted(map(tuple, text_stats.text_counts(df, words, chunk=200).collect()), key=str)
+    assert len(one) == len(rows)
+    # the two line signs of a break count as one where a text is cut
+    assert [r for r in one if r[0] != 4] == [r for r in cut if r[0] != 4]
+    shown = text_stats.text_statistics(text_stats.text_counts(df, words, chunk=200)).collect()
+    assert sorted((r["doc_id"] or 0, r["chars"]) for r in shown) == sorted([(1, len(PROSE) * 30), (2, len(PROSE)), (0, len(PROSE)), (0, len(PROSE) * 31), (3, len(PROSE) * 200), (4, 1800)])
+
+
+def test_a_huge_line_is_counted_in_linear_time():
+    common = frozenset(w for (w,) in COMMON if w)
+
+    def seconds(n):
+        text = (PROSE.replace("\n", " ") + " ") * n
+        began = time.process_time()
+        parts = [text_stats.Chunk.of(text[i : i + 4096], common) for i in range(0, len(text), 4096)]
+        while len(parts) > 1:
+            parts = [parts[i].merge(parts[i + 1], common) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return time.process_time() - began
+
+    assert seconds(8000) < 16 * max(seconds(1000), 0.05)
 
 
 # -- code -------------------------------------------------------------------------------------------------------------
