@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from grainloom.llm import ORACLE, QUERIES, bm25_packing, curriculum_mix
 
 IDX = "subset string, doc_id bigint, start_off bigint, end_off bigint, tokens bigint, terms string"
@@ -41,6 +43,39 @@ def test_neighbours_share_containers(spark):
     assert pure >= 0.7 * sum(len(b) > 1 for b in boxes.values())
 
 
+def test_documents_are_dealt_by_content_to_bounded_shards(spark):
+    rows = [(i, 1 if i < 400 else 2 + i % 50, (7 if i < 200 else i % 9) if i < 400 else -1) for i in range(1000)] + [(2000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, first int, second int")
+    shards = {}
+    for r in bm25_packing.dealt_to_shards(docs, shard=60).collect():
+        shards.setdefault(r["shard"], []).append(r["doc_id"])
+    assert sorted(i for s in shards.values() for i in s) == sorted(r[0] for r in rows)
+    assert max(map(len, shards.values())) <= 125
+    together = {i: s for s, ids in shards.items() for i in ids}
+    assert all(len({together[i] for i in range(400 + k, 1000, 50)}) == 1 for k in range(50))
+
+
+def test_the_index_finds_neighbours_of_the_same_topic(spark):
+    rng = random.Random(12)
+    topics = [["".join(rng.choices("abcdefgh", k=8)) for _ in range(120)] for _ in range(12)]
+    texts = [(i, " ".join(rng.choices(topics[i % 12], k=150) + rng.choices(topics[rng.randrange(12)], k=30))) for i in range(240)]
+    vectors = bm25_packing.term_vectors(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    rows = bm25_packing.indexed_vectors(vectors).orderBy("doc_id").collect()
+    index = bm25_packing.ShardIndex([np.array(r["terms"], np.int32) for r in rows], [np.array(r["impacts"], np.float32) for r in rows])
+    near = 0
+    for k in range(240):
+        unused = np.ones(240, bool)
+        unused[k] = False
+        near += sum(j % 12 == k % 12 for j in index.neighbours(k, unused)[:10])
+    assert near >= 0.9 * 2400
+
+
+def test_lengths_that_nobody_recorded_are_measured(spark):
+    idx = spark.createDataFrame([("s", 1, 0, 9, None), ("s", 2, None, None, None), ("s", 3, None, None, None), ("s", 4, None, None, -5)], "subset string, doc_id bigint, start_off bigint, end_off bigint, tokens bigint")
+    clean = spark.createDataFrame([(1, "x"), (2, "one two three"), (2, "one two three")], "doc_id bigint, text string")
+    assert dict(bm25_packing.document_lengths(idx, clean).collect()) == {1: 9, 2: 4, 3: 0, 4: 0}
+
+
 def test_nothing_to_pack(spark):
     assert packed(spark, []).collect() == []
 
@@ -83,6 +118,25 @@ def test_positions_invert_the_integrated_schedule(spark):
             assert abs((x + tilt * (x - x * x)) - (k + 0.5) / len(u)) < 1e-6
 
 
+def test_every_prefix_has_the_shares_of_given_schedules(spark):
+    rng = random.Random(3)
+    docs = sized(spark, {s: [rng.randint(1, 20) for _ in range(3000)] for s in "abc"})
+    p = plan(spark, [("a", 50.0, 1, 1, 0.4), ("b", 30.0, 1, 2, 0.4), ("c", 20.0, 1, 3, 0.4)])
+    knots = spark.createDataFrame([("a", 0.0, 4.0), ("a", 0.5, 1.0), ("a", 1.0, 1.0), (" B", 0.0, 0.0), ("b", 1.0, 2.0), ("c", None, 1.0)], "source string, time double, factor double")
+    rows = curriculum_mix.draw_mixture(docs, p, schedules=knots).collect()
+    total = sum(r["n_tokens"] for r in rows)
+    used, by = 0, {"a": 0, "b": 0, "c": 0}
+    for r in rows:
+        used += r["n_tokens"]
+        by[r["source"]] += r["n_tokens"]
+        # the position is the share of all tokens consumed
+        assert abs(used / total - r["position"]) < 0.01
+    assert all(abs(by[s] / total - w) < 0.005 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    early = [r for r in rows if r["position"] < 0.1]
+    assert sum(r["n_tokens"] for r in early if r["source"] == "a") > 0.6 * sum(r["n_tokens"] for r in early)
+    assert sum(r["n_tokens"] for r in early if r["source"] == "b") < 0.1 * sum(r["n_tokens"] for r in early)
+
+
 def test_empty_documents_and_plan(spark):
     docs = sized(spark, {}), sized(spark, {"a": [1]})
     assert curriculum_mix.draw_mixture(docs[0], plan(spark, [("a", 1.0, 1, 1, 1.0)])).collect() == []
