@@ -1,9 +1,10 @@
 """Mixing sources to target weights with a time-varying curriculum (problem 7).
 
-Over the training time u from 0 to 1 a source's rate is its planned rate times a linear tilt, ``1 + a (1 - 2u)``; the
-tilt's integral is 1, so every source gets its planned total whatever its tilt. The integrated demand
-``D(u) = target (u + a (u - u^2))`` is inverted for each drawn document: its training position is the time at which its
-source's demand reaches the middle of the document. The draw is range-sorted by position.
+Over the training time u from 0 to 1 every source has a schedule, a piecewise linear factor of its weight. At each u the
+weighted factors of all sources are normalised to add up to 1, so u is the share of all tokens consumed; the weights are
+fitted such that each source's rate, integrated over the time, is its planned total. The integrated demand of a source is
+inverted for each drawn document: its training position is the time at which the demand reaches the middle of the
+document. The draw is range-sorted by position.
 
 Prefix sums of document sizes are two-level: sums of hash buckets, running totals of these few rows, and a window inside
 each bucket. No window ever holds a whole source, so a source with a third of all documents costs no more than another.
@@ -11,14 +12,18 @@ each bucket. No window ever holds a whole source, so a source with a third of al
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from grainloom.llm.common import shared_checkpoint
 from grainloom.llm.token_budget import count_tokens
 
-#: Documents in a hash bucket, on average over the corpus; steepest tilt of a source's schedule.
-BUCKET_DOCS, STEEPEST = 5_000, 0.8
+#: Documents in a hash bucket, on average over the corpus; steepest tilt of a schedule that is made from the priority;
+#: sources of a plan at most (it is collected and broadcast); steps in which schedules are integrated.
+BUCKET_DOCS, STEEPEST, MOST_SOURCES, STEPS = 5_000, 0.8, 10_000, 512
 
 
 def source_name(source: Column) -> Column:
@@ -59,23 +64,73 @@ def sized_documents(documents: DataFrame, ranks_path: str | None = None) -> Data
     return shared_checkpoint(once.where("n_tokens > 0").select("doc_id", "source", "n_tokens"))
 
 
-def _position(y: Column, tilt: Column) -> Column:
-    """The time at which the integrated, tilted schedule reaches the share ``y`` of its total."""
-    b = 1 + tilt
-    root = F.sqrt(F.greatest(b * b - 4 * tilt * y, F.lit(0.0)))
-    return F.when(F.abs(tilt) < 1e-9, y).otherwise(2 * y / (b + root))
+def demand_curves(totals: dict[str, float], factors: dict[str, list[tuple[float, float]]]) -> dict[str, np.ndarray]:
+    """The share of each source's total that is due at each of `STEPS` + 1 equally spaced times.
 
-
-def draw_mixture(sized: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
+    ``factors`` has the knots ``(time, factor)`` of each source's schedule; a source without knots is level. At every time
+    the sources' rates add up to 1. The weights before the factors are fitted until each source's rates add up to its
+    part of all totals; a source whose factor is 0 all the time keeps a level rate, as it must be drawn all the same.
+    """
+    names = [s for s, t in totals.items() if t > 0]
+    if not names:
+        return {}
+    part = np.array([totals[s] for s in names])
+    part /= part.sum()
+    middle = (np.arange(STEPS) + 0.5) / STEPS
+    shape = np.ones((len(names), STEPS))
+    for k, s in enumerate(names):
+        knots = sorted(factors.get(s) or [])
+        if knots and max(y for _, y in knots) > 0:
+            shape[k] = np.interp(middle, [x for x, _ in knots], [max(0.0, y) for _, y in knots])
+            if not shape[k].any():
+                shape[k] = 1.0
+    # a time at which no schedule wants anything is filled by all of them
+    shape[:, ~shape.any(axis=0)] = 1.0
+    rate = shape * part[:, None]
+    for _ in range(2_000):
+        rate *= (part / np.maximum(rate.mean(axis=1), 1e-300))[:, None]
+        rate /= rate.sum(axis=0)
+        if np.abs(rate.mean(axis=1) - part).max() < 1e-9:
+            break
+    curves = np.concatenate([np.zeros((len(names), 1)), np.cumsum(rate, axis=1)], axis=1)
+    return {s: curve / curve[-1] for s, curve in zip(names, curves)}
+
+
+def draw_mixture(sized: DataFrame, plan: DataFrame, seed: int = 0, schedules: DataFrame | None = None) -> DataFrame:
     """The drawn documents ``(doc_id, source, epoch, n_tokens, position)``, range-sorted by training position.
 
-    Each epoch has its own seeded order; whole epochs first, the last one up to the document in whose middle the target
-    falls. Sources that the plan does not name are not drawn; planned ones without documents give nothing.
+    ``schedules`` has knots ``source, time, factor``; without it every source has the linear schedule that `plan_targets`
+    makes from the priority. Each epoch has its own seeded order; whole epochs first, the last one up to the document in
+    whose middle the target falls. Sources that the plan does not name are not drawn; planned ones without documents give
+    nothing.
     """
+    spark = sized.sparkSession
     sizes = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    targets = plan_targets(plan, sizes).where("draw > 0").select("source", "draw", "tilt", F.col("n_tokens").alias("size"))
+    rows = plan_targets(plan, sizes).where("draw > 0").select("source", "draw", "tilt", F.col("n_tokens").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    factors: dict[str, list[tuple[float, float]]] = {r["source"]: [(0.0, 1 + r["tilt"]), (1.0, 1 - r["tilt"])] for r in rows}
+    if schedules is not None:
+        named = schedules.select(source_name(F.col("source")).alias("source"), F.col("time").cast("double"), F.col("factor").cast("double")).na.drop().limit(64 * MOST_SOURCES + 1).collect()
+        if len(named) > 64 * MOST_SOURCES:
+            raise ValueError("too many knots")
+        factors = {}
+        for r in named:
+            factors.setdefault(r["source"], []).append((r["time"], r["factor"]))
+    curves = spark.sparkContext.broadcast(demand_curves({r["source"]: float(r["draw"]) for r in rows}, factors))
+
+    @F.pandas_udf(DoubleType())
+    def position(source: pd.Series, share: pd.Series) -> pd.Series:
+        out = np.zeros(len(source))
+        names = source.to_numpy()
+        for s in set(names):
+            here = names == s
+            out[here] = np.interp(share.to_numpy()[here], curves.value[s], np.linspace(0.0, 1.0, STEPS + 1))
+        return pd.Series(out)
+
+    targets = spark.createDataFrame([(r["source"], float(r["draw"]), int(r["size"])) for r in rows], "source string, draw double, size bigint")
     buckets = 1 + sized.count() // BUCKET_DOCS
-    copies = sized.join(F.broadcast(targets), "source")  # the plan has a few rows
+    copies = sized.join(F.broadcast(targets), "source")  # `MOST_SOURCES` rows at most
     copies = copies.withColumn("epoch", F.explode(F.expr("sequence(0L, greatest(cast(ceil(draw / size) as bigint) - 1, 0L))")))
     copies = copies.withColumn("h", F.xxhash64(F.lit(seed), "epoch", "doc_id")).withColumn("bucket", F.expr(f"pmod(shiftrightunsigned(h, 24), {buckets}L)"))
     ahead = Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +140,7 @@ def draw_mixture(sized: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     placed = copies.join(sums, ["source", "epoch", "bucket"]).withColumn("start", F.col("epoch") * F.col("size") + F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     middle = F.col("start") + F.col("n_tokens") / 2
     drawn = placed.where(middle <= F.col("draw"))
-    return drawn.select("doc_id", "source", "epoch", "n_tokens", _position(F.least(middle / F.col("draw"), F.lit(1.0)), F.col("tilt")).alias("position")).orderBy("position", "source", "epoch", "doc_id")
+    return drawn.select("doc_id", "source", "epoch", "n_tokens", position("source", F.least(middle / F.col("draw"), F.lit(1.0))).alias("position")).orderBy("position", "source", "epoch", "doc_id")
 
 
 def mixture_shares(sized: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
