@@ -168,8 +168,9 @@ class TrieEncoder:
                     return token
         raise ValueError("the vocabulary lacks a byte")
 
-    def walk(self, words: Iterable[bytes], visit: Callable[[bytes, list[int]], None]) -> None:
-        """Depth-first over the trie of ``words``; ``visit`` gets each word with the last token of each of its prefixes."""
+    def walk(self, words: Iterable[bytes], visit: Callable[[bytes, list[int], int], None]) -> None:
+        """Depth-first over the trie of ``words``; ``visit`` gets each word with the last token of each of its prefixes,
+        and the length of the prefix that it shares with the word before."""
         last: list[int] = [-1]
         before = b""
         for word in sorted(words):
@@ -180,14 +181,14 @@ class TrieEncoder:
             for end in range(shared + 1, len(word) + 1):
                 last.append(self._last_token(word, end, last))
             before = word
-            visit(word, last)
+            visit(word, last, shared)
 
     def encode(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
         """The ids of each word."""
         out: dict[bytes, tuple[int, ...]] = {}
         size = self._size
 
-        def visit(word: bytes, last: list[int]) -> None:
+        def visit(word: bytes, last: list[int], shared: int) -> None:
             ids, end = [], len(word)
             while end:
                 ids.append(last[end])
@@ -202,12 +203,13 @@ class TrieEncoder:
         out: dict[bytes, int] = {}
         size = self._size
 
-        def visit(word: bytes, last: list[int]) -> None:
-            n, end = 0, len(word)
-            while end:
-                end -= size[last[end]]
-                n += 1
-            out[word] = n
+        so_far = [0]
+
+        def visit(word: bytes, last: list[int], shared: int) -> None:
+            del so_far[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                so_far.append(so_far[end - size[last[end]]] + 1)
+            out[word] = so_far[len(word)]
 
         self.walk(words, visit)
         return out

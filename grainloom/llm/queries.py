@@ -60,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": lambda s, d: p5.wrong_totals(_p5_audit(s, d)),
     "p5_part_audit": _p5_audit,
     "p5_slice_totals": _p5_slices,
+    "p5_odd_lengths": lambda s, d: p5.odd_lengths(t(s, d, "clean", "doc_id", "text"), t(s, d, "docs_idx", "subset", "part", "doc_id", "start_off", "end_off", "tokens")),
     "p6_ids": lambda s, d: p6.encode_corpus(t(s, d, "documents", "doc_id", "text")),
     "p7_draw": lambda s, d: p7.draw_mixture(_p7_sized(s, d), t(s, d, "mix_plan")),
     "p7_shares": lambda s, d: p7.mixture_shares(_p7_sized(s, d), t(s, d, "mix_plan")),

@@ -44,8 +44,13 @@ def language_code(lang: Column) -> Column:
 
 
 def once_per_document(counted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per document id. Deliveries of an id are alike but for missing fields, so each field is its greatest value."""
-    return counted.groupBy(key).agg(*[F.max(c).alias(c) for c in counted.columns if c != key])
+    """One whole row for each document id: of its deliveries the one with the longest text, then the most fields filled,
+    then the greatest values. Rows without an id stay apart."""
+    rest = [c for c in counted.columns if c != key]
+    filled = sum((F.col(c).isNotNull().cast("int") for c in rest), F.lit(0))
+    order = F.struct(F.col("n_bytes"), filled, *rest)
+    known = counted.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
+    return known.unionByName(counted.where(F.col(key).isNull()).select(known.columns))
 
 
 def slice_totals(clean: DataFrame, documents: DataFrame, docs_idx: DataFrame, tokenizer_eval: DataFrame, tokenizer: str = "mt32k", ranks_path: str | None = None) -> DataFrame:
@@ -82,22 +87,42 @@ def latest_records(docs: DataFrame) -> DataFrame:
 def audit_parts(clean: DataFrame, docs_idx: DataFrame, docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """Each part's recorded total against its documents.
 
-    ``indexed`` adds up ``docs_idx``, each document once; a document with neither length nor offsets there counts with
-    the tokens measured in ``clean``, plus the leading end-of-text token. ``measured`` are the tokens of the part's
-    documents under the public tokenizer, their end-of-text tokens included. ``status`` is ``missing`` (no total
-    recorded), ``differs`` or ``ok``. A part without indexed documents adds up to 0; null subsets or parts are parts of
+    ``indexed`` adds up ``docs_idx``, each document once; those with neither length nor offsets are counted in
+    ``unindexed`` and add nothing. ``measured`` are the tokens of the part's documents under the public tokenizer, their
+    end-of-text tokens included: another tokenizer's, so it is never added to ``indexed``. ``rate`` is the indexed over
+    the measured tokens of the documents that have both. ``status`` is ``missing`` (no total recorded), ``differs`` or
+    ``ok``. A part without indexed documents adds up to 0; null subsets or parts are parts of
     their own; repeated rows count once; empty tables give no rows.
     """
     measured = once_per_document(count_tokens(clean, ["doc_id"], ranks_path=ranks_path)).select("doc_id", (F.col("n_tokens") + 1).alias("measured"))
     per_doc = indexed_documents(docs_idx).join(measured, "doc_id", "left")
-    sums = per_doc.groupBy("subset", "part").agg(F.count("*").alias("indexed_docs"), F.sum(F.coalesce("indexed", "measured")).alias("indexed"), F.sum("measured").alias("measured"))
+    sums = per_doc.groupBy("subset", "part").agg(F.count("*").alias("indexed_docs"), F.count_if(F.col("indexed").isNull()).alias("unindexed"), F.sum("indexed").alias("indexed"), F.sum("measured").alias("measured"), F.round(F.sum(F.when(F.col("measured").isNotNull(), F.col("indexed"))) / F.sum(F.when(F.col("indexed").isNotNull(), F.col("measured"))), 6).alias("rate"))
     records, sums = latest_records(docs).alias("r"), sums.alias("s")
     joined = records.join(sums, F.col("r.subset").eqNullSafe(F.col("s.subset")) & F.col("r.part").eqNullSafe(F.col("s.part")), "left")
     total = F.coalesce("s.indexed", F.lit(0))
     status = F.when(F.col("r.recorded").isNull(), "missing").when(F.col("r.recorded") != total, "differs").otherwise("ok")
-    return joined.select("r.subset", "r.part", "r.run_id", "r.recorded_docs", F.coalesce("s.indexed_docs", F.lit(0)).alias("indexed_docs"), "r.recorded", total.alias("indexed"), F.coalesce("s.measured", F.lit(0)).alias("measured"), status.alias("status"))
+    return joined.select("r.subset", "r.part", "r.run_id", "r.recorded_docs", F.coalesce("s.indexed_docs", F.lit(0)).alias("indexed_docs"), "r.recorded", total.alias("indexed"), F.coalesce("s.unindexed", F.lit(0)).alias("unindexed"), F.coalesce("s.measured", F.lit(0)).alias("measured"), "s.rate", status.alias("status"))
 
 
 def wrong_totals(audit: DataFrame) -> DataFrame:
     """Parts of `audit_parts` whose recorded total is missing or wrong."""
     return audit.where(F.col("status") != "ok").select("subset", "part")
+
+
+#: How many times greater or smaller than its subset's a document's rate of recorded to measured tokens must be to be odd.
+ODD = 3.0
+
+
+def odd_lengths(clean: DataFrame, docs_idx: DataFrame, ranks_path: str | None = None) -> DataFrame:
+    """``subset, part, doc_id, indexed, measured, rate``: documents whose indexed length does not fit their text.
+
+    A document's rate is its indexed length over its measured tokens, both with the end-of-text token; it is odd when it
+    is `ODD` times the rate of its whole subset, or less than one part in `ODD` of it. Documents without a length or text
+    are left out, each document counts once a part, empty tables give no rows.
+    """
+    measured = once_per_document(count_tokens(clean, ["doc_id"], ranks_path=ranks_path)).where("n_tokens > 0").select("doc_id", (F.col("n_tokens") + 1).alias("measured"))
+    both = indexed_documents(docs_idx).where("indexed IS NOT NULL").join(measured, "doc_id")
+    usual = both.groupBy("subset").agg((F.sum("indexed") / F.sum("measured")).alias("usual")).alias("u")
+    rate = F.col("indexed") / F.col("measured")
+    joined = both.alias("b").join(usual, F.col("b.subset").eqNullSafe(F.col("u.subset")))
+    return joined.where((rate > ODD * F.col("usual")) | (rate * ODD < F.col("usual"))).select("b.subset", "part", "doc_id", "indexed", "measured", F.round(rate, 6).alias("rate"))

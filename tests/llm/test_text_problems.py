@@ -47,8 +47,23 @@ def test_audit_of_recorded_totals(spark):
     docs_idx = spark.createDataFrame(idx, "subset string, part bigint, doc_id bigint, start_off bigint, end_off bigint, tokens bigint")
     recs = [("r1", "s", 0, 2, 99, 1), ("r2", "s", 0, 2, 5, 2), ("r1", "s", 1, 1, 1, 1), ("r1", "s", 2, 1, None, 1), ("r1", "s", 9, 0, 4, 1), ("r1", "s", 9, 0, 4, 1)]
     docs = spark.createDataFrame(recs, "run_id string, subset string, part bigint, docs bigint, tokens bigint, written_at bigint")
-    got = {r["part"]: r["status"] for r in token_budget.audit_parts(clean, docs_idx, docs).collect()}
-    assert got == {0: "ok", 1: "ok", 2: "missing", 9: "differs"}
+    got = {r["part"]: (r["status"], r["unindexed"]) for r in token_budget.audit_parts(clean, docs_idx, docs).collect()}
+    # a document without a recorded length adds nothing: its tokens under another tokenizer are no part of the total
+    assert got == {0: ("ok", 0), 1: ("differs", 1), 2: ("missing", 0), 9: ("differs", 0)}
+
+
+def test_lengths_that_do_not_fit_their_text(spark):
+    clean = spark.createDataFrame([(i, "one two three four five six " * 10) for i in range(20)] + [(None, "x"), (99, None)], "doc_id bigint, text string")
+    idx = [("s", 0, i, 0, 60, 400 if i == 7 else 9 if i == 8 else None if i == 9 else 60) for i in range(20)] + [("s", 0, 99, None, None, None), ("s", 0, None, 0, 3, 3)]
+    docs_idx = spark.createDataFrame(idx, "subset string, part bigint, doc_id bigint, start_off bigint, end_off bigint, tokens bigint")
+    assert sorted(r["doc_id"] for r in token_budget.odd_lengths(clean, docs_idx).collect()) == [7, 8]
+    assert token_budget.odd_lengths(clean.limit(0), docs_idx).collect() == []
+
+
+def test_deliveries_of_an_id_give_one_whole_row(spark):
+    df = spark.createDataFrame([(1, None, "d1", "one two"), (1, "en", "d2", "one two"), (1, "de", None, "one"), (None, "a", "b", "x"), (None, "a", "b", "x")], "doc_id bigint, lang string, domain string, text string")
+    rows = token_budget.once_per_document(token_budget.count_tokens(df, ["doc_id", "lang", "domain"])).collect()
+    assert sorted(((r["doc_id"] or 0), r["lang"], r["domain"]) for r in rows) == [(0, "a", "b"), (0, "a", "b"), (1, "en", "d2")]
 
 
 # -- leaks ------------------------------------------------------------------------------------------------------------
