@@ -29,25 +29,28 @@ def fetch_stage(docs: DataFrame, grams: bool = True) -> DataFrame:
     return filters.apply_filters(docs, grams=grams).where("reason IS NULL AND text IS NOT NULL").drop("reason")
 
 
-def clean_status(docs: DataFrame, index: DataFrame, compatibility: bool = True) -> DataFrame:
+def clean_status(docs: DataFrame, index: DataFrame, compatibility: bool = True, kind: str = "crc32") -> DataFrame:
     """``doc_rank, subset, text, removed, status`` of filtered documents.
 
     In this order: near duplicate of a better ranked document, contaminated, too short once repeated paragraphs are gone,
     kept. Paragraphs are common by the documents before deduplication; first occurrences are taken among those that are
     neither duplicates nor contaminated, also when they are then too short. Code keeps its paragraphs.
+
+    Ids, flags and paragraph keys are what the steps exchange; the texts are met once more, at the end.
     """
     docs = shared_checkpoint(docs.select("doc_rank", "subset", "text"))
-    reps = dedup.near_duplicates(docs, compatibility=compatibility, subset="subset")
+    reps = dedup.near_duplicates(docs, compatibility=compatibility, kind=kind, subset="subset")
     bad = decontam.contaminated(docs, index, key="doc_rank", compatibility=compatibility)
-    flagged = shared_checkpoint(docs.join(reps, "doc_rank").join(bad, "doc_rank", "left").withColumn("status", F.when(F.col("rep") != F.col("doc_rank"), "near_dup").when(F.col("bench").isNotNull(), F.concat(F.lit("contam:"), "bench"))).drop("rep", "bench"))
-    common = paragraphs.common_paragraphs(paragraphs.paragraphs(docs.where("subset <> 'code'"), compatibility=compatibility))
-    eligible = flagged.where("status IS NULL AND subset <> 'code'").select("doc_rank", "text")
-    stripped = paragraphs.strip_paragraphs(paragraphs.paragraphs(eligible, compatibility=compatibility), common).select("doc_rank", F.col("text").alias("left"), "removed")
-    joined = flagged.join(stripped, "doc_rank", "left")
-    text = F.coalesce("left", "text")
+    verdict = F.when(F.col("rep") != F.col("doc_rank"), "near_dup").when(F.col("bench").isNotNull(), F.concat(F.lit("contam:"), "bench"))
+    flags = shared_checkpoint(reps.join(bad, "doc_rank", "left").select("doc_rank", verdict.alias("verdict")))
+    keys = shared_checkpoint(paragraphs.paragraph_keys(docs.where("subset <> 'code'"), compatibility=compatibility))
+    eligible = keys.join(flags.where("verdict IS NULL"), "doc_rank", "left_semi")
+    gone = paragraphs.later_occurrences(eligible, paragraphs.common_paragraphs(keys))
+    joined = docs.join(flags.join(gone, "doc_rank", "left"), "doc_rank")
+    stripped = F.when(F.col("verdict").isNull() & (F.col("subset") != "code"), paragraphs.without_places(F.col("text"), F.col("gone")))
+    out = joined.select("doc_rank", "subset", "text", stripped.alias("left"), F.coalesce("removed", F.lit(0)).alias("removed"), "verdict")
     short = F.col("left").isNotNull() & (F.length(T.strip("left")) < paragraphs.LEAST_KEPT)
-    status = F.coalesce("status", F.when(short, "too_short").otherwise("kept"))
-    return joined.select("doc_rank", "subset", text.alias("text"), F.coalesce("removed", F.lit(0)).alias("removed"), status.alias("status"))
+    return out.select("doc_rank", "subset", F.coalesce("left", "text").alias("text"), "removed", F.coalesce("verdict", F.when(short, "too_short").otherwise("kept")).alias("status"))
 
 
 def clean_stats(status: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ def _paras(s: SparkSession, d: str) -> DataFrame:
 
 
 def _stripped(s: SparkSession, d: str) -> DataFrame:
-    paras = _paras(s, d)
-    return pg.strip_paragraphs(paras, pg.common_paragraphs(paras)).select(F.col("doc_rank").alias("doc_id"), "text", "removed")
+    docs = clean_docs(s, d).where("subset <> 'code'").withColumn("doc_rank", F.col("doc_id"))
+    return pg.strip_paragraphs(docs, compatibility=False).select(F.col("doc_rank").alias("doc_id"), "text", "removed")
 
 
 def windows_sql(source: str, name: str) -> str:
@@ -72,7 +72,7 @@ def strip_sql(x: str) -> str:
 
 PARAS_SQL = f"""pd AS (SELECT doc_id AS doc_rank, string_split_regex(text, '\\n{{2,}}') AS p, regexp_extract_all(text, '\\n{{2,}}') AS s FROM cd WHERE subset <> 'code' AND text IS NOT NULL),
     pr AS (SELECT doc_rank, generate_subscripts(p, 1) - 1 AS idx, unnest(p) AS para, coalesce(s[generate_subscripts(p, 1)], '') AS sep FROM pd),
-    paras AS (SELECT *, CASE WHEN length({strip_sql("para")}) >= 30 THEN {NORM_SQL.format("para")} END AS key FROM pr),
+    paras AS (SELECT *, CASE WHEN length({strip_sql("para")}) >= 30 THEN md5({NORM_SQL.format("para")}) END AS key FROM pr),
     common AS (SELECT key, count(DISTINCT doc_rank) AS docs FROM paras WHERE key IS NOT NULL GROUP BY key HAVING count(DISTINCT doc_rank) >= 3)"""
 STRIPPED_SQL = f"""{PARAS_SQL}, mark AS (SELECT p.*, c.key IS NOT NULL AND row_number() OVER (PARTITION BY p.key ORDER BY doc_rank, idx) > 1 AS gone FROM paras p LEFT JOIN common c USING (key)),
     stripped AS (SELECT doc_rank AS doc_id, regexp_replace(coalesce(string_agg(para || sep, '' ORDER BY idx) FILTER (NOT gone), ''), '^\\n+|\\n+\\z', '', 'g') AS text,

@@ -28,10 +28,9 @@ def planted(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     way, size = F.substring(F.md5(F.col(key).cast("string")), 1, 1), F.length(text)
     changed = F.col(text)
     for kind, shares in SPOTS.items():
-        made = F.col(text)
-        for share in shares:
-            at = F.floor(size * F.lit(share)).cast("int")
-            made = F.concat(F.substring(made, F.lit(1), at - 1), F.lit("x"), F.substring(made, at + 1, size))
+        at = [F.floor(size * F.lit(x)).cast("int") for x in shares]
+        parts = [F.substring(text, F.lit(1), at[0] - 1), *(F.substring(text, x + 1, y - x - 1) for x, y in zip(at, at[1:])), F.substring(text, at[-1] + 1, size)]
+        made = F.concat(*[p for part in parts[:-1] for p in (part, F.lit("x"))], parts[-1])
         changed = F.when(way == kind, made).otherwise(changed)
     return rows.where(way.isin(*SPOTS) & (size > 400)).withColumn(text, changed)
 

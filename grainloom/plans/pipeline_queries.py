@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 from grainloom.operators import packing as pk
 from grainloom.operators import pipeline as pl
 from grainloom.plans import decontam_queries as dq
+from grainloom.plans import dedup_queries as ddq
 from grainloom.plans import filter_queries as fq
 from grainloom.sources.tables import read_table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Added to a planted copy's place in its part.
+LATER = 1 << 30
+
 VAL_TOKENS, SHARD_TOKENS, BATCH, LENGTH, WORLD = 2_000, 20_000, 4, 128, 2
 
 
 def documents(s: SparkSession, d: str) -> DataFrame:
-    """Each document of the cleaned corpus once, with its rank."""
+    """Each document of the cleaned corpus once, and the planted near copies, with their ranks."""
     df = t(s, d, "clean", "doc_id", "subset", "part", "pos", "text").groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ("subset", "part", "pos", "text")])
-    return df.withColumn("doc_rank", pl.document_rank(F.col("subset"), F.col("part"), F.col("pos")))
+    copies = ddq.planted(df, "doc_id").withColumn("doc_id", F.col("doc_id") + ddq.PLANTED).withColumn("pos", F.coalesce("pos", F.lit(0)) + LATER)
+    return df.unionByName(copies).withColumn("doc_rank", pl.document_rank(F.col("subset"), F.col("part"), F.col("pos")))
 
 
 def _fetched(s: SparkSession, d: str, grams: bool = True) -> DataFrame:
@@ -29,7 +34,7 @@ def _fetched(s: SparkSession, d: str, grams: bool = True) -> DataFrame:
 
 
 def _status(s: SparkSession, d: str, grams: bool = True) -> DataFrame:
-    return pl.clean_status(_fetched(s, d, grams), dq.index(s, d), compatibility=False)
+    return pl.clean_status(_fetched(s, d, grams), dq.index(s, d), compatibility=False, kind="md5")
 
 
 def _funnel(s: SparkSession, d: str, grams: bool = True) -> DataFrame:
@@ -106,12 +111,15 @@ _STREAM = f"""{_SHARDS}, o AS (SELECT epoch::INT AS epoch, subset, part, n_token
     stream AS (SELECT epoch, turn, subset, part, first + k AS step, k * {_STRIDE} AS "offset" FROM (SELECT *, unnest(range(0, steps)) AS k FROM n))"""
 
 _RANK = "CASE subset " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(pl.PRIORITY)) + f" ELSE {len(pl.PRIORITY)} END * 72057594037927936 + coalesce(part, 0) * 4294967296 + coalesce(pos, 0)"
-_FETCH = f"""raw AS (SELECT doc_id, min(subset) AS subset, min(part) AS part, min(pos) AS pos, min(text) AS text FROM clean GROUP BY doc_id),
+_COPIED, _COPY = ddq.planted_sql("doc_id")
+_FETCH = f"""raw2 AS (SELECT doc_id, min(subset) AS subset, min(part) AS part, min(pos) AS pos, min(text) AS text FROM clean GROUP BY doc_id),
+    raw AS (SELECT * FROM raw2 UNION ALL SELECT doc_id + {ddq.PLANTED}, subset, part, coalesce(pos, 0) + {LATER}, {_COPY} FROM raw2 WHERE {_COPIED}),
     {fq.BASE_SQL.replace("FROM clean", "FROM raw")}, fs AS (SELECT doc_id, {fq.subset_case_sql()} AS reason FROM m),
     fetched AS (SELECT ({_RANK})::BIGINT AS doc_rank, raw.* FROM raw JOIN fs USING (doc_id) WHERE reason IS NULL AND text IS NOT NULL)"""
 _STATUS_CORE = f"""{_FETCH}, {dq._ITEMS}, ct AS (SELECT doc_rank AS key, text AS t FROM fetched), {dq.windows_sql("ct", "cw")},
     contam AS (SELECT key AS doc_rank, arg_min(bench, i) AS bench FROM cw JOIN idx USING (gram) GROUP BY key),
-    reps AS (SELECT doc_rank, min(doc_rank) OVER (PARTITION BY {dq.NORM_SQL.format("text")}) AS rep FROM fetched),
+    fd AS (SELECT doc_rank AS doc_id, coalesce(starts_with(subset, 'zh'), false) AS zh, {dq.NORM_SQL.format("text")} AS n FROM fetched), {ddq.classes_sql("fd")},
+    reps AS (SELECT fd.doc_id AS doc_rank, coalesce(c.root, once.doc_rank) AS rep FROM fd JOIN once USING (n) LEFT JOIN c ON c.node = once.doc_rank),
     cd AS (SELECT doc_rank AS doc_id, subset, text FROM fetched),
     {dq.PARAS_SQL},
     flag AS (SELECT f.doc_rank, subset, text, CASE WHEN rep <> f.doc_rank THEN 'near_dup' WHEN bench IS NOT NULL THEN 'contam:' || bench END AS status
@@ -152,11 +160,11 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "stage_fetch_plain": f"WITH {_FETCH} SELECT doc_rank, doc_id, subset FROM fetched",
-    "clean_status_plain": f"WITH {_STATUS_CORE} SELECT doc_rank, subset, md5(text) AS text_md5, removed, status FROM status",
-    "clean_stats_plain": f"WITH {_STATUS_CORE} SELECT subset, status, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes, sum(removed)::BIGINT AS removed FROM status GROUP BY ALL",
-    "funnel_plain": f"""WITH {_STATUS_CORE}, a AS (SELECT subset, count(*) AS read FROM raw GROUP BY ROLLUP (subset)), b AS (SELECT subset, count(*) AS filtered FROM fetched GROUP BY ROLLUP (subset)),
-        c AS (SELECT subset, count(*) AS cleaned FROM status WHERE status = 'kept' GROUP BY ROLLUP (subset)),
-        j AS (SELECT a.subset, read, coalesce(filtered, 0) AS filtered, coalesce(cleaned, 0) AS cleaned FROM a LEFT JOIN b ON a.subset IS NOT DISTINCT FROM b.subset LEFT JOIN c ON a.subset IS NOT DISTINCT FROM c.subset)
+    "clean_status_plain": f"WITH RECURSIVE {_STATUS_CORE} SELECT doc_rank, subset, md5(text) AS text_md5, removed, status FROM status",
+    "clean_stats_plain": f"WITH RECURSIVE {_STATUS_CORE} SELECT subset, status, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes, sum(removed)::BIGINT AS removed FROM status GROUP BY ALL",
+    "funnel_plain": f"""WITH RECURSIVE {_STATUS_CORE}, a AS (SELECT subset, count(*) AS read FROM raw GROUP BY ROLLUP (subset)), b AS (SELECT subset, count(*) AS filtered FROM fetched GROUP BY ROLLUP (subset)),
+        c3 AS (SELECT subset, count(*) AS cleaned FROM status WHERE status = 'kept' GROUP BY ROLLUP (subset)),
+        j AS (SELECT a.subset, read, coalesce(filtered, 0) AS filtered, coalesce(cleaned, 0) AS cleaned FROM a LEFT JOIN b ON a.subset IS NOT DISTINCT FROM b.subset LEFT JOIN c3 ON a.subset IS NOT DISTINCT FROM c3.subset)
         SELECT *, round(filtered / greatest(read, 1)::DOUBLE, 6) AS filter_rate, round(cleaned / greatest(filtered, 1)::DOUBLE, 6) AS clean_rate FROM j""",
     "doc_offsets": f"""WITH {_LEN} SELECT *, (sum(n_tokens) OVER w)::BIGINT AS end_off, (sum(n_tokens) OVER w)::BIGINT - n_tokens AS start_off FROM len
         WINDOW w AS (PARTITION BY subset, part ORDER BY ord, doc_id)""",

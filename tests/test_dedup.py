@@ -164,8 +164,17 @@ def test_contamination_names_the_first_bench(spark):
 def test_common_paragraphs_keep_their_first_occurrence(spark):
     notice = "this notice stands in each of the documents"
     texts = [f"one\n\n{notice}\n\nend", f"{notice}\n\n\ntwo\n\n{notice}", f"three\n\n{notice}", "four alone", None]
-    paras = pg.paragraphs(docs_frame(spark, texts))
-    got = {r["doc_rank"]: (r["text"], r["removed"]) for r in pg.strip_paragraphs(paras, pg.common_paragraphs(paras)).collect()}
+    got = {r["doc_rank"]: (r["text"], r["removed"]) for r in pg.strip_paragraphs(docs_frame(spark, texts)).collect()}
     assert got == {0: (f"one\n\n{notice}\n\nend", 0), 1: ("two", 2), 2: ("three", 1), 3: ("four alone", 0)}
-    two = pg.paragraphs(docs_frame(spark, texts[:2]))
-    assert pg.common_paragraphs(two).count() == 0
+    assert pg.common_paragraphs(pg.paragraph_keys(docs_frame(spark, texts[:2]))).count() == 0
+
+
+def test_window_values_are_those_of_the_windows():
+    rng = random.Random(5)
+    made = dc.WindowValues()
+    for _ in range(100):
+        units = [rng.choice(["汉", "字", "word", "other", "third"]) for _ in range(rng.randint(0, 70))]
+        got, ends, values = made.windows(" ".join(units))
+        grams = [" ".join(got[i:e]) for i, e in enumerate(ends.tolist())]
+        assert got == units and grams == T.windows_of(units)
+        assert values.tolist() == [made.of_gram(g) for g in grams]
