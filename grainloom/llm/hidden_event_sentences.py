@@ -5,10 +5,15 @@ closing mark, a line break, in scripts written without blanks also a blank. At t
 
     P(end | last two tokens) P(next token | end)   against   P(on | last two tokens) P(next token | last token, on)
 
-over token classes, and over the word itself where it ends in a dot, with back-off to coarser contexts. A forward and a
+over token classes, and over the word itself where it ends in a dot, with back-off to coarser contexts. In stretches of
+scripts without blanks that have neither marks nor blanks an event is open between any two characters, and the same odds
+are taken of characters: P(end | last two characters) with back-off, P(next | end), P(next | last). A forward and a
 backward pass along the gaps of a stretch adds what the neighbouring events say (sentences of one short token are rare),
-and a boundary is set where the posterior exceeds one half. The counts are trained here, without labels: events that
-are plain (paragraph ends, a dot before a small letter) start the expectation maximisation, the rest follow.
+and a boundary is set where the posterior exceeds one half.
+
+The counts are trained here, without labels, over all documents: a narrow stage counts the kinds of gaps of every whole
+text (words in hash slots, so the table has a fixed size), events that are plain (line ends, a dot before a small letter)
+start the expectation maximisation over these counts, the rest follow.
 
 Layout comes first: lines are stretches of their own unless a document's lines are merely wrapped to a width.
 """
@@ -18,22 +23,28 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainloom.llm.common import map_batches, small_batches
 
-#: Documents that the model is trained on at most (drawn by hash of their id), code points of each, rounds of training.
-TRAINED_DOCS, TRAINED_CHARS, ROUNDS = 2000, 4000, 4
+#: Rounds of training; hash slots of words before a dot, and of characters and pairs of characters.
+ROUNDS, WORD_SLOTS, CHAR_SLOTS = 4, 1 << 15, 1 << 16
+
+#: Characters of an unpunctuated stretch from which its gaps are open, and those in a short sentence.
+UNPUNCTUATED, SHORT = 40, 6
 
 #: Widest line of a wrapped paragraph.
 WIDEST = 132
 
-_HAN = "㐀-䶿一-鿿豈-﫿"
+_HAN = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _KANA = "぀-ヿ"
 _THAI = "฀-๿"
 _NOBLANK = f"{_HAN}{_KANA}{_THAI}຀-໿ក-៿"
@@ -45,7 +56,6 @@ _GAP = re.compile(
     f"[{_MARKS}]+(?:[   ](?=[»]))?[{_CLOSE}]*"
     f"|(?<=[{_NOBLANK}”」』）》])[ \t　 ]+(?=[{_NOBLANK}“「『（《])"
 )
-_LAST = re.compile(r"(\S*?)(\s*)$")
 _WORD = re.compile(r"\S+")
 _NUMBER = re.compile(r"[$€£¥]?\d[\d.,:/]*%?$")
 _INITIAL = re.compile(r"(?:[^\W\d_]\.)*[^\W\d_]$")
@@ -63,29 +73,31 @@ ENDING = frozenset("etc inc ltd corp co jr sr p.m a.m pm am u.s u.k ph.d b.a m.a
 ORDINAL = frozenset("am im der den dem des das die zum beim vom bis ab seit zur in ins und".split())
 
 
+@lru_cache(maxsize=1 << 16)
+def _word_class(token: str, upper: bool) -> str:
+    """Class of a word before a single dot; ``upper`` tells whether its last letter is a capital."""
+    if _NUMBER.match(token):
+        return "number"
+    for name, words in (("title", TITLES), ("reference", REFERENCES), ("inner", INNER), ("ending", ENDING)):
+        if token in words:
+            return name
+    if _INITIAL.match(token):
+        if len(token) < 8 and upper:
+            return "initial"
+        if "." in token:
+            return "ending"
+    return "word"
+
+
 def _left(text: str, start: int, mark_at: int, mark: str) -> tuple[str, str]:
     """Class of the token before the mark, and the token itself, without opening signs, in lower case."""
-    word = _LAST.search(text, max(start, mark_at - 40), mark_at)
-    token = word.group(1).lstrip("(（[\"'“„‘«「『¿¡—–-").lower() if word else ""
+    words = text[max(start, mark_at - 40) : mark_at].rsplit(None, 1)
+    token = words[-1].lstrip("(（[\"'“„‘«「『¿¡—–-").lower() if words else ""
     if not token:
         return "none", ""
     if mark[0] not in ".．｡" or len(mark.rstrip(_CLOSE)) > 1:
         return "other", token
-    if _NUMBER.match(token):
-        return "number", token
-    if token in TITLES:
-        return "title", token
-    if token in REFERENCES:
-        return "reference", token
-    if token in INNER:
-        return "inner", token
-    if token in ENDING:
-        return "ending", token
-    if _INITIAL.match(token) and len(token) < 8 and text[mark_at - 1].isupper():
-        return "initial", token
-    if _INITIAL.match(token) and "." in token:
-        return "ending", token
-    return "word", token
+    return _word_class(token, text[mark_at - 1].isupper()), token
 
 
 def _right(text: str, at: int, end: int) -> str:
@@ -131,6 +143,7 @@ class Gap:
     key: tuple = ()
 
 
+@lru_cache(maxsize=4096)
 def _mark_class(mark: str) -> str:
     core = mark.rstrip(_CLOSE + "   ")
     closed = "q" if core != mark else ""
@@ -153,30 +166,37 @@ def _spans(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
     """Matched outermost quotations and brackets of a stretch."""
     out: list[tuple[int, int, str]] = []
     stack: list[tuple[str, int]] = []
+    inner: list[tuple[int, int, str]] = []
+    waiting: Counter = Counter()  # closing signs that something open waits for
     for m in _SIGNS.finditer(text, start, end):
         c, at = m.group(), m.start()
-        if c == '"':
-            if stack and any(s == '"' for s, _ in stack):
-                while stack[-1][0] != '"':
-                    stack.pop()
-                _, a = stack.pop()
-                if not stack:
-                    out.append((a, at + 1, '"'))
-            else:
-                stack.append((c, at))
-        elif stack and any(c in _PAIRS.get(s, "") for s, _ in stack):
-            while c not in _PAIRS.get(stack[-1][0], ""):
-                stack.pop()
-            s, a = stack.pop()
+        closed = None
+        if waiting[c] > 0:
+            while True:
+                s, a = stack.pop()
+                wanted = '"' if s == '"' else _PAIRS[s]
+                for x in wanted:
+                    waiting[x] -= 1
+                if c in wanted:
+                    break
+            closed = (a, at + 1, s)
             if not stack:
-                out.append((a, at + 1, s))
-        elif c in _PAIRS:
+                out.append(closed)
+        elif c == '"' or c in _PAIRS:
             stack.append((c, at))
-            if len(stack) > 50:
-                stack = stack[-1:]
-    if stack and len(stack) < 8 and stack[0][1] - start >= 0:
-        # an opening sign without a closing one hides the pairs behind it: look at those alone
-        out += [s for s in _spans(text, stack[0][1] + 1, end)]
+            for x in '"' if c == '"' else _PAIRS[c]:
+                waiting[x] += 1
+        if closed is not None and stack:
+            inner.append(closed)
+    if not stack:
+        return out
+    # the signs still open are without a partner: of the pairs behind them the outermost count
+    last = stack[0][1]
+    reach = -1
+    for pair in sorted(x for x in inner if x[0] > last):
+        if pair[0] >= reach:
+            out.append(pair)
+            reach = pair[1]
     return out
 
 
@@ -217,7 +237,6 @@ def find_gaps(text: str, start: int, end: int, layout: bool = False) -> list[Gap
             continue  # inside an address or a piece of code
         left, token = _left(text, start, a, mark)
         right = _right(text, b, end)
-        earlier = _LAST.search(text, max(start, a - len(token) - 24), max(start, a - len(token)))
         previous = text[max(start, a - len(token) - 20) : a - len(token)].split()
         g = Gap(b, b, mark, left, token, previous[-1].lower() if previous else "", right)
         # closing signs that open the next quotation belong to it
@@ -283,6 +302,19 @@ def _certain(g: Gap) -> int:
     return 0
 
 
+def word_slot(token: str) -> int:
+    return xxhash.xxh32_intdigest(token) % WORD_SLOTS
+
+
+def _char_slots(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """Hash slots of characters, or of pairs of them."""
+    mixed = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    if second is not None:
+        mixed = (mixed ^ (mixed >> np.uint64(31))) + second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(48)).astype(np.int64)
+
+
 @dataclass
 class Model:
     """Event counts by context, from the most special to the most general; all are log odds when read."""
@@ -291,6 +323,8 @@ class Model:
     context: dict = field(default_factory=dict)
     mark: dict = field(default_factory=dict)
     short: float = -2.0  # log odds that a sentence has a single short token
+    #: of characters without blanks, by slot: met, ended a sentence, began one (the last two rows are of pairs)
+    chars: np.ndarray = field(default_factory=lambda: np.zeros((len(CHAR_TABLES), CHAR_SLOTS)))
 
     def odds(self, g: Gap) -> float:
         """Log odds of an end at the gap, by its own context."""
@@ -299,19 +333,37 @@ class Model:
         ends, n = self.context.get(g.key, (0.0, 0.0))
         p = (ends + 4.0 * p) / (n + 4.0)
         if g.key[0][0] == "." and g.token:
-            ends, n = self.lexical.get((g.token, g.right), (0.0, 0.0))
+            ends, n = self.lexical.get((word_slot(g.token), g.right), (0.0, 0.0))
             p = (ends + 6.0 * p) / (n + 6.0)
         p = min(max(p, 1e-6), 1 - 1e-6)
         return math.log(p / (1 - p))
 
-
-def posteriors(gaps: list[Gap], model: Model) -> list[float]:
+    def char_odds(self, points: np.ndarray) -> np.ndarray:
+        """Log odds of an end between each two neighbours of an unpunctuated stretch, by its characters."""
+        met, ended, began, pair_met, pair_ended = self.chars
+        n_met, n_ended = met.sum() + 1.0, began.sum()
+        if n_ended < 1 or len(points) < 3:
+            return np.full(max(0, len(points) - 1), -20.0)
+        last, following = _char_slots(points[:-1]), _char_slots(points[1:])
+        before = np.concatenate([points[:1], points[:-2]])
+        two = _char_slots(before, points[:-1])
+        p = (ended[last] + 8.0 * n_ended / n_met) / (met[last] + 8.0)
+        p = (pair_ended[two] + 4.0 * p) / (pair_met[two] + 4.0)
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        after = (began[following] + 8.0 * met[following] / n_met) / (n_ended + 8.0)
+        # a pair met across the gap speaks for going on
+        across = _char_slots(points[:-1], points[1:])
+        on = (pair_met[across] + 4.0 * met[following] / n_met) / (met[last] + 4.0)
+        return np.log(p / (1 - p)) + np.log(np.maximum(after, 1e-9)) - np.log(np.maximum(on, 1e-9))
+
+
+def posteriors(gaps: list[Gap], model: Model, odds: list[float] | None = None) -> list[float]:
     """P(end) at each gap, by a forward and a backward pass over the chain of events.
 
     Two ends with at most one short token between them are tied by the model's odds of such a sentence.
     """
     n = len(gaps)
-    own = [(1e-9, 1.0) if g.forced < 0 else (1.0, 1e-9) if g.forced > 0 else _pair(model.odds(g)) for g in gaps]
+    own = [(1e-9, 1.0) if g.forced < 0 else (1.0, 1e-9) if g.forced > 0 else _pair(odds[i] if odds else model.odds(g)) for i, g in enumerate(gaps)]
     tie = [math.exp(model.short) if i and gaps[i].words <= 1 and gaps[i].key[0] != "blank" and not gaps[i].forced else 1.0 for i in range(n)]
     ahead: list[tuple[float, float]] = []
     e, o = 1.0, 1.0
@@ -338,60 +390,176 @@ def _pair(odds: float) -> tuple[float, float]:
     return p, 1.0 - p
 
 
-def train(texts: list[str], rounds: int = ROUNDS) -> Model:
-    """Expectation maximisation from plain events: stretch ends are ends, what `_certain` decides is decided."""
-    chains: list[list[Gap]] = []
+CHAR_TABLES = ("met", "ended", "began", "pair met", "pair ended")
+
+_IN_NOBLANK = re.compile(f"[{_NOBLANK}]")
+_MARKED = re.compile(f"[{_MARKS}]+(?:[   ](?=[»]))?[{_CLOSE}]*")
+_AHEAD = re.compile(r"\s*")
+
+
+def event_counts(text: str) -> tuple[Counter, Counter]:
+    """The kinds of gaps at the marks of a text, ``(mark, left, right, slot)``, but for certain ones; and the slots of the
+    words behind which a line ends with a mark."""
+    kinds: Counter = Counter()
     ended: Counter = Counter()
-    for text in texts:
-        for start, end in stretches(text):
-            gaps = find_gaps(text, start, end)
-            if gaps:
-                chains.append(gaps)
-            tail = re.search(f"[{_MARKS}]+[{_CLOSE}]*\\s*$", text[max(start, end - 12) : end])
-            if tail:
-                at = max(start, end - 12) + tail.start()
-                ended[_left(text, start, at, tail.group().strip())[1]] += 1
-    model = Model()
+    for m in _MARKED.finditer(text):
+        a, b = m.span()
+        mark, gap = m.group(), _AHEAD.match(text, b)
+        rest = gap.group()
+        if mark in ".．" and not rest and gap.end() < len(text):
+            continue
+        left, token = _left(text, max(0, a - 40), a, mark)
+        kind = _mark_class(mark)
+        slot = word_slot(token) if kind[0] == "." and token else -1
+        if gap.end() == len(text) or "\n" in rest or "\r" in rest:
+            ended[slot] += 1
+            continue
+        previous = text[max(0, a - len(token) - 20) : a - len(token)].split()
+        g = Gap(b, b, mark, left, token, previous[-1].lower() if previous else "", _right(text, b, len(text)))
+        if not _certain(g):
+            kinds[(kind, left, g.right, slot)] += 1
+    return kinds, ended
+
+
+def char_counts(text: str, tables: np.ndarray) -> None:
+    """Add the characters of scripts without blanks, and where sentences end among them, to the tables of slots."""
+    if text.isascii() or not _IN_NOBLANK.search(text):
+        return
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(points) + 1, dtype=bool)
+    for low, high in _NOBLANK_RANGES:
+        inside[:-1] |= (points >= low) & (points <= high)
+    here = np.flatnonzero(inside[:-1])
+    breaks = np.zeros(len(points) + 1, dtype=bool)
+    breaks[:-1] = np.isin(points, _ENDING_POINTS)
+    # a sentence ends before a mark, a line's end or, where there are no marks, a blank; the next begins behind it
+    last = here[~inside[here + 1] & breaks[np.minimum(here + 1, len(points))]]
+    first = here[(here > 0) & ~inside[here - 1] & breaks[here - 1]]
+    pairs = here[inside[here + 1]]
+    two = last[(last > 0)]
+    two = two[inside[two - 1]]
+    for k, slots in enumerate((_char_slots(points[here]), _char_slots(points[last]), _char_slots(points[first]), _char_slots(points[pairs], points[pairs + 1]), _char_slots(points[two - 1], points[two]))):
+        np.add.at(tables[k], slots, 1)
+
+
+_NOBLANK_RANGES = [(ord(x[0]), ord(x[2])) for x in re.findall(r".-.", _NOBLANK)]
+_ENDING_POINTS = np.array(sorted({ord(c) for c in _MARKS + "\n\r"} | {0x20, 0x3000}), dtype=np.uint32)
+
+
+def fit(kinds: dict[tuple, int], ended: dict[int, int], chars: np.ndarray | None = None, rounds: int = ROUNDS) -> Model:
+    """Expectation maximisation over counts of kinds of gaps: what closes a line is an end, what `_certain` decides is
+    decided, and the posterior of every other kind is the sum of what its counts say at each level of back-off."""
+    model = Model() if chars is None else Model(chars=chars)
     # before any round: closing marks end more often than not, dots after abbreviations seldom
     prior = {"title": 0.02, "reference": 0.05, "inner": 0.03, "initial": 0.08, "ending": 0.45, "number": 0.75, "word": 0.95, "other": 0.9, "none": 0.5, "uncased": 0.85}
-    seen: dict = {}
-    for chain in chains:
-        for g in chain:
-            seen.setdefault(g.key, 0)
     strength = 6.0
-    for key in seen:
-        kind, left, right = key
+    for kind, left, right in {k[:3] for k in kinds}:
         p = prior.get(left, 0.5)
         if kind.startswith("dots"):
             p = 0.85 if "upper" in right else 0.1
         if right == "digit" and left in ("word", "number"):
             p = min(p, 0.6)
-        if kind == "blank":
-            p = 0.9
-        model.context[key] = (strength * p, strength)
+        model.context[(kind, left, right)] = (strength * p, strength)
+    model.context[("blank", "uncased", "uncased")] = (strength * 0.9, strength)
     base = dict(model.context)
     for _ in range(rounds):
         context: dict = {}
         lexical: dict = {}
         mark: dict = {}
-        for chain in chains:
-            for g, p in zip(chain, posteriors(chain, model)):
-                if g.forced:
-                    continue
-                for table, key in ((context, g.key), (mark, g.key[0]), (lexical, (g.token, g.right) if g.key[0][0] == "." else None)):
-                    if key is not None:
-                        e, n = table.get(key, (0.0, 0.0))
-                        table[key] = (e + p, n + 1.0)
-        model.context = {k: (e + base.get(k, (0, 0))[0], n + base.get(k, (0, 0))[1]) for k, (e, n) in context.items()}
+        for (kind, left, right, slot), n in kinds.items():
+            key = (kind, left, right)
+            p = _probability(model, key, slot)
+            for table, at in ((context, key), (mark, kind), (lexical, (slot, right) if slot >= 0 else None)):
+                if at is not None:
+                    e, m = table.get(at, (0.0, 0.0))
+                    table[at] = (e + n * p, m + n)
+        model.context = {k: (e + base.get(k, (0, 0))[0], n + base.get(k, (0, 0))[1]) for k, (e, n) in (base | context).items()}
         model.mark = mark
-        # a word that is often met before a dot but never closes a stretch is an abbreviation, and the other way round
+        # a word that is often met before a dot but never closes a line is an abbreviation, and the other way round
         model.lexical = {}
-        for (token, right), (e, n) in lexical.items():
+        for (slot, right), (e, n) in lexical.items():
             if n >= 3:
-                model.lexical[(token, right)] = (e + min(ended[token], n), n + min(ended[token], n))
+                closing = min(ended.get(slot, 0), n)
+                model.lexical[(slot, right)] = (e + closing, n + closing)
     return model
 
 
+def _probability(model: Model, key: tuple, slot: int) -> float:
+    ends, n = model.mark.get(key[0], (0.5, 1.0))
+    p = (ends + 0.5) / (n + 1.0)
+    ends, n = model.context.get(key, (0.0, 0.0))
+    p = (ends + 4.0 * p) / (n + 4.0)
+    if slot >= 0:
+        ends, n = model.lexical.get((slot, key[2]), (0.0, 0.0))
+        p = (ends + 6.0 * p) / (n + 6.0)
+    return min(max(p, 1e-6), 1 - 1e-6)
+
+
+def train(texts: list[str], rounds: int = ROUNDS) -> Model:
+    """The model of a few texts; `trained_model` counts those of a table."""
+    kinds: Counter = Counter()
+    ended: Counter = Counter()
+    chars = np.zeros((len(CHAR_TABLES), CHAR_SLOTS))
+    for text in texts:
+        k, e = event_counts(text)
+        kinds.update(k)
+        ended.update(e)
+        char_counts(text, chars)
+    return fit(kinds, ended, chars, rounds)
+
+
+def trained_model(plain: DataFrame) -> Model:
+    """The model of all texts of ``plain``: counts of every whole text, added up in each partition before they are moved.
+
+    What reaches the driver is bounded by the slots: `WORD_SLOTS` times the few classes of neighbours, and five tables of
+    `CHAR_SLOTS` numbers.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: Counter = Counter()
+        ended: Counter = Counter()
+        chars = np.zeros((len(CHAR_TABLES), CHAR_SLOTS), dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                k, e = event_counts(text)
+                kinds.update(k)
+                ended.update(e)
+                char_counts(text, chars)
+        rows = [("gap", *k, n) for k, n in kinds.items()] + [("ended", "", "", "", k, n) for k, n in ended.items()]
+        table, slot = np.nonzero(chars)
+        rows += [("char", CHAR_TABLES[t], "", "", k, n) for t, k, n in zip(table.tolist(), slot.tolist(), chars[table, slot].tolist())]
+        columns = list(zip(*rows)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 4 + [pa.int64()] * 2)], ["what", "mark", "before", "after", "slot", "n"])
+
+    schema = "what string, mark string, before string, after string, slot bigint, n bigint"
+    rows = plain.mapInArrow(count, schema).groupBy("what", "mark", "before", "after", "slot").agg(F.sum("n").alias("n")).toPandas()
+    gaps, ended, chars = (rows[rows["what"] == w] for w in ("gap", "ended", "char"))
+    tables = np.zeros((len(CHAR_TABLES), CHAR_SLOTS))
+    tables[chars["mark"].map(CHAR_TABLES.index).to_numpy(dtype=np.int64), chars["slot"].to_numpy(dtype=np.int64)] = chars["n"].to_numpy(dtype=np.float64)
+    kinds = dict(sorted(zip(zip(gaps["mark"], gaps["before"], gaps["after"], gaps["slot"]), gaps["n"])))
+    return fit(kinds, dict(zip(ended["slot"], ended["n"])), tables)
+
+
+def unpunctuated_ends(text: str, start: int, end: int, model: Model) -> list[int]:
+    """Where sentences end in a stretch of a script without blanks that has no marks and no blanks either."""
+    if end - start < UNPUNCTUATED or text.isascii() or not _IN_NOBLANK.search(text, start, end):
+        return []
+    for run in _BARE_RUN.finditer(text, start, end):
+        if run.end() - run.start() == end - start:
+            odds = model.char_odds(np.frombuffer(text[start:end].encode("utf-32-le", "surrogatepass"), np.uint32))
+            open_ = np.flatnonzero(odds > -4.0)
+            gaps = [Gap(start + k + 1, start + k + 1, "", "uncased", "", "", "uncased", key=("bare", "uncased", "uncased")) for k in open_.tolist()]
+            at = start
+            for g in gaps:
+                g.words = 2 if g.end - at > SHORT else 1
+                at = g.end
+            return [g.end for g, p in zip(gaps, posteriors(gaps, model, odds[open_].tolist())) if p > 0.5 and min(g.end - start, end - g.end) > SHORT]
+    return []
+
+
+_BARE_RUN = re.compile(f"[{_NOBLANK}]+")
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
     """Parts of a text between which sentences surely end: lines, or paragraphs where lines are wrapped to a width."""
     lines: list[tuple[int, int]] = []
@@ -463,6 +631,10 @@ def split_sentences(text: str | None, model: Model) -> list[tuple[int, int]]:
                 if p > 0.5 and g.end > at:
                     _add(text, at, g.end, out)
                     at = g.end
+        else:
+            for stop in unpunctuated_ends(text, start, end, model):
+                _add(text, at, stop, out)
+                at = stop
         _add(text, at, end, out)
     return out
 
@@ -480,18 +652,14 @@ def sentence_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     """One row ``(doc_id, sent_start, sent_end)`` for each sentence.
 
     Documents whose source is code, however it is spelled, and null, empty or blank texts have none. Null ids stay null
-    and repeated rows stay repeated. The model is trained on at most `TRAINED_DOCS` of the documents; every document is
-    split whole. Extra columns are not read.
+    and repeated rows stay repeated. The model is trained on all of the documents; every document is split whole. Extra
+    columns are not read.
     """
     spark = documents.sparkSession
     small_batches(spark)
     plain = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), (F.col(source) if source else F.lit("")).alias("source"))
     plain = plain.where("text IS NOT NULL AND lower(trim(coalesce(source, ''))) <> 'code'").select("doc_id", "text")
-    # about twice the bound passes the hash test, so that no partition sends the driver more than its part
-    share = min(1.0, 2 * TRAINED_DOCS / max(1, plain.count()))
-    drawn = plain.where(F.expr(f"pmod(xxhash64(doc_id), 1000000) < {math.ceil(share * 1_000_000)}"))
-    sample = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text")).limit(TRAINED_DOCS).select(F.substring("text", 1, TRAINED_CHARS)).collect()
-    model = spark.sparkContext.broadcast(train([r[0] for r in sample]))
+    model = spark.sparkContext.broadcast(trained_model(plain))
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = [split_sentences(t, model.value) for t in batch.column(1).to_pylist()]

@@ -409,6 +409,30 @@ def test_layout_and_unpunctuated_scripts(spark):
     assert hidden_event_sentences.sentence_units(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("words, mark", [(("我们 他们 这个老人 村里的孩子 那位老师", "喜欢 看见了 带来了 忘记了 找到了", "苹果 一条大河 新的书本 古老的故事 白色的马"), "。"), (("ช่างไม้ ครู เด็กชาย แม่ค้า", "กลับบ้าน ขายดอกไม้ อ่านหนังสือ ทำอาหาร", "เมื่อวาน ทุกเช้า ตอนเย็น"), " ")])
+def test_scripts_without_marks_and_blanks_are_split(words, mark):
+    rng = random.Random(1)
+    lists = [w.split() for w in words]
+    sentence = lambda: "".join(rng.choice(x) for x in lists)
+    model = hidden_event_sentences.train([mark.join(sentence() for _ in range(20)) + mark.strip() for _ in range(200)])
+    right = found = true = 0
+    for _ in range(40):
+        parts = [sentence() for _ in range(8)]
+        text = "".join(parts)
+        got = {b for _, b in hidden_event_sentences.split_sentences(text, model)}
+        ideal = {sum(map(len, parts[: k + 1])) for k in range(8)}
+        right, found, true = right + len(got & ideal), found + len(got), true + len(ideal)
+    assert right >= 0.95 * found and right >= 0.9 * true
+
+
+def test_open_quotations_hide_nothing_and_cost_no_time():
+    assert hidden_event_sentences._spans("(" * 300 + "“x”", 0, 303) == [(300, 303, "“")]
+    assert hidden_event_sentences._spans('“a” (b "c" d)', 0, 13) == [(0, 3, "“"), (4, 13, "(")]
+    began = time.time()
+    hidden_event_sentences._spans('("' * 200_000, 0, 400_000)
+    assert time.time() - began < 20
+
+
 def test_every_character_is_in_one_sentence():
     rng = random.Random(3)
     pool = ["Dr.", "word", "Word", "。", "汉字", "“", "”", '"', "(", ")", "!", "?", "...", "\n", "\r\n", "\n\n", " ", "  ", "1.", "- ", "3.5", "»", "«", " ", "ก"]
