@@ -379,8 +379,9 @@ def text_statistics(counts: DataFrame) -> DataFrame:
         kind.alias("kind"),
     )
     values = [c for c in out.columns if c != "doc_id"]
-    known = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct(*values)).alias("s")).select("doc_id", "s.*")
-    return known.unionByName(out.where("doc_id IS NULL"))
+    # a row without an id is a group of its own, in the same pass as the others
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return out.withColumn("own", own).groupBy("doc_id", "own").agg(F.max(F.struct(*values)).alias("s")).select("doc_id", "s.*")
 
 
 def not_prose(stats: DataFrame) -> DataFrame:
