@@ -49,8 +49,9 @@ def once_per_document(counted: DataFrame, key: str = "doc_id") -> DataFrame:
     rest = [c for c in counted.columns if c != key]
     filled = sum((F.col(c).isNotNull().cast("int") for c in rest), F.lit(0))
     order = F.struct(F.col("n_bytes"), filled, *rest)
-    known = counted.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
-    return known.unionByName(counted.where(F.col(key).isNull()).select(known.columns))
+    # a row without an id is a group of its own, in the same pass as the others
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return counted.withColumn("__own", own).groupBy(key, "__own").agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
 
 
 def slice_totals(clean: DataFrame, documents: DataFrame, docs_idx: DataFrame, tokenizer_eval: DataFrame, tokenizer: str = "mt32k", ranks_path: str | None = None) -> DataFrame:
