@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; where it is unset, in a local one."""
+    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names. Where it is unset a local master gets a
+    temporary one; a cluster, whose executors could not share it, is an error."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ckpt-')}")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='ckpt-')}")
     return df.checkpoint()
