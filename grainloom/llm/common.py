@@ -29,13 +29,16 @@ def small_batches(spark: SparkSession) -> None:
 def shared_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster names.
 
-    ``spark.checkpoint.dir`` of the session wins; only where neither it nor the context has a folder (local tests) is
-    one made.
+    ``spark.checkpoint.dir`` of the session wins; only where neither it nor the context has a folder is one made, on a
+    local master (tests); on a cluster that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ckpt-')}")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='ckpt-')}")
     return df.checkpoint(eager)
 
 
