@@ -15,7 +15,7 @@ from functools import lru_cache
 import ahocorasick
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainloom.llm.common import map_batches, shared_checkpoint, small_batches
@@ -205,19 +205,56 @@ def _by_telling_lines(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     return shared.join(sizes, "file_id").where((F.col("hits") >= TELLING_LINES) & (F.col("hits") >= COPIED * (F.col("n") - F.col("common")))).select("file_id")
 
 
+def _agree(pairs: DataFrame, held: DataFrame, models: DataFrame) -> DataFrame:
+    """``file_id`` of the ``pairs`` of a file and a model that have half the lines, of both, in common; ``held`` is
+    ``file_id, a`` and ``models`` is ``model, b``."""
+    common = F.size(F.array_intersect("a", "b"))
+    both = pairs.join(held, "file_id").join(models, "model")
+    return both.where((common >= TELLING_LINES) & (common >= COPIED * F.greatest(F.size("a"), F.size("b")))).select("file_id").distinct()
+
+
+def _rare_lines(sets: DataFrame, key: str, df: DataFrame) -> DataFrame:
+    """``key, line, size, at``: of each set of lines the rarest, by ``df``, among which one is shared with every set that
+    has half the lines in common; ``at`` is a line's place in the order from rare to frequent."""
+    order = Window.partitionBy(key).orderBy("df", "line")
+    placed = sets.select(key, F.size("set").alias("size"), F.explode("set").alias("line")).join(df, "line").withColumn("at", F.row_number().over(order))
+    return placed.where(F.col("at") <= F.col("size") - F.ceil(F.lit(COPIED) * F.col("size")) + 1).drop("df")
+
+
 def _whole_copies(lines: DataFrame, candidates: DataFrame) -> DataFrame:
     """``file_id`` of the candidates that share half the lines, of both, with one marked file, however many copies there are.
 
     A line leads to the first marked file that has it, so copies are never paired with each other; lines of one library
-    mostly lead to one file.
+    mostly lead to one file. What that leaves is compared with all marked files: files of the same lines count once, only
+    files of which half the lines are of marked ones at all can agree, and two sets that do share one of the rarest lines of
+    each (prefix filtering), at places that leave enough lines behind them.
     """
-    first = lines.where("marked").groupBy("line").agg(F.min("file_id").alias("model"))
-    pairs = candidates.join(first, "line").select("file_id", "model").distinct()
-    models = lines.where("marked").join(pairs.select(F.col("model").alias("file_id")).distinct(), "file_id").groupBy("file_id").agg(F.collect_set("line").alias("b"))
-    held = candidates.groupBy("file_id").agg(F.collect_set("line").alias("a"))
-    both = pairs.join(held, "file_id").join(models.withColumnRenamed("file_id", "model"), "model")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where((common >= TELLING_LINES) & (common >= COPIED * F.greatest(F.size("a"), F.size("b")))).select("file_id").distinct()
+    marked = lines.where("marked").select("file_id", "line")
+    first = marked.groupBy("line").agg(F.min("file_id").alias("model"))
+    led = shared_checkpoint(candidates.select("file_id", "line").join(first, "line").select("file_id", "model"))
+    pairs = led.distinct()
+    held = candidates.groupBy("file_id").agg(F.array_sort(F.collect_set("line")).alias("a"))
+    models = marked.join(pairs.select(F.col("model").alias("file_id")).distinct(), "file_id").groupBy("file_id").agg(F.collect_set("line").alias("b"))
+    found = shared_checkpoint(_agree(pairs, held, models.withColumnRenamed("file_id", "model")))
+
+    known = led.groupBy("file_id").agg(F.count("*").alias("known"))
+    open_ = held.join(found, "file_id", "left_anti").join(known, "file_id").where((F.col("known") >= TELLING_LINES) & (F.col("known") >= COPIED * F.size("a")))
+    open_ = shared_checkpoint(open_.select("file_id", "a"))
+    if open_.isEmpty():
+        return found
+    mine = shared_checkpoint(open_.groupBy(F.col("a").alias("set")).agg(F.min("file_id").alias("one")))
+    theirs = marked.groupBy("file_id").agg(F.array_sort(F.collect_set("line")).alias("set")).where(F.size("set") >= TELLING_LINES)
+    theirs = shared_checkpoint(theirs.groupBy("set").agg(F.min("file_id").alias("model")))
+    df = mine.select("set").unionByName(theirs.select("set")).select(F.explode("set").alias("line")).groupBy("line").agg(F.count("*").alias("df"))
+    x, y = _rare_lines(mine, "one", df).alias("x"), _rare_lines(theirs, "model", df).alias("y")
+    most = F.greatest("x.size", "y.size")
+    # shared at most: all before this line in the shorter stretch, the line, and all behind it in the shorter rest
+    reach = F.least("x.at", "y.at") + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    fits = (F.least("x.size", "y.size") >= F.lit(COPIED) * most) & (reach >= F.lit(COPIED) * most)
+    met = x.join(y, (F.col("x.line") == F.col("y.line")) & fits).select(F.col("x.one").alias("file_id"), F.col("y.model").alias("model")).distinct()
+    agreed = _agree(met, mine.select(F.col("one").alias("file_id"), F.col("set").alias("a")), theirs.select("model", F.col("set").alias("b")))
+    sets = mine.join(agreed.withColumnRenamed("file_id", "one"), "one").select(F.col("set").alias("a"))
+    return found.unionByName(open_.join(sets, "a").select("file_id"))
 
 
 def not_hand_written(code: DataFrame, file_id: str = "file_id", path: str = "path", text: str = "code") -> DataFrame:

@@ -376,6 +376,23 @@ SENTENCES = [
 ]
 
 
+def test_copies_of_a_library_that_an_earlier_file_bundles_are_found(spark):
+    rng = random.Random(21)
+    line = lambda: f"value_{rng.randrange(10**9)} = call_{rng.randrange(10**9)}(argument)"
+    library, other = [line() for _ in range(20)], [line() for _ in range(90)]
+    # all lines of the small library lead to the bundle, of which they are less than half
+    rows = [(1, "vendor/bundle.py", "\n".join(other + library)), (2, "vendor/small.py", "\n".join(library))]
+    rows += [(10 + k, f"src/a{k}.py", "\n".join([*library[:18], line(), line()])) for k in range(15)]
+    rows += [(50 + k, f"src/b{k}.py", "\n".join([*library[:6], *(line() for _ in range(14))])) for k in range(15)]
+    lines = spark.createDataFrame([(i, i < 10, x) for i, _, text in rows for x in generated_code.line_prints(text)], "file_id bigint, marked boolean, line bigint")
+    whole = generated_code._whole_copies(lines, lines.where("NOT marked")).collect()
+    prints = {i: set(generated_code.line_prints(text)) for i, _, text in rows}
+    agree = {i for i in prints if i > 9 and any(2 * len(prints[i] & prints[m]) >= max(len(prints[i]), len(prints[m])) for m in (1, 2))}
+    assert sorted(r["file_id"] for r in whole) == sorted(agree) == list(range(10, 25))
+    found = generated_code.not_hand_written(spark.createDataFrame(rows, "file_id bigint, path string, code string")).collect()
+    assert {r["file_id"] for r in found} == {1, 2, *range(10, 25)}
+
+
 @pytest.mark.parametrize("parts", SENTENCES)
 def test_sentences_of_a_line(parts):
     model = hidden_event_sentences.train([" ".join(p) for p in SENTENCES])
