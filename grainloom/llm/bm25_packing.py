@@ -20,14 +20,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainloom.llm.common import map_batches, shared_checkpoint, small_batches
 from grainloom.llm.token_budget import count_tokens
 
-#: Hash slots of terms, documents in a shard, strongest terms of a document that the index holds.
-TERMS, SHARD, INDEXED = 1 << 18, 1500, 40
+#: Hash slots of terms, documents in a shard.
+TERMS, SHARD = 1 << 18, 1500
 
 #: Documents that must share a term for it to decide on their shard.
 SHARED = 4
@@ -41,26 +42,41 @@ K1, B, WELL_FILLED = 1.2, 0.75, 0.9
 _TERM = re.compile(r"[㐀-鿿]{2}|[^\W\d_㐀-鿿]{3,}")
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def packed_vector(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    """A document's rising terms and their counts: the steps between the terms, then the counts, by planes of their bytes."""
+    values = np.concatenate([np.diff(terms, prepend=0), counts]).astype(np.uint32)
+    return _ZSTD.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T), asbytes=True)
+
+
+def unpacked_vector(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The terms and counts of a `packed_vector` of ``n`` terms."""
+    planes = np.frombuffer(_ZSTD.decompress(packed, 8 * n, asbytes=True), np.uint8).reshape(4, -1)
+    values = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+    return np.cumsum(values[:n]).astype(np.int32), values[n:].astype(np.int64)
+
+
 def term_vectors(clean: DataFrame) -> DataFrame:
-    """``doc_id, terms, counts``: the distinct hashed terms of each document's text, deliveries of one id once."""
+    """``doc_id, n, vector``: the ``n`` distinct hashed terms of each document's text with their counts, as a
+    `packed_vector`, deliveries of one id once."""
     small_batches(clean.sparkSession)
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
         memo: dict[str, int] = {}
-        terms, counts = [], []
+        sizes, packed = [], []
         for text in batch.column(1).to_pylist():
             words = _TERM.findall(text.lower())
             for w in set(words) - memo.keys():
                 memo[w] = xxhash.xxh32_intdigest(w) % TERMS
             ids, n = np.unique(np.fromiter(map(memo.__getitem__, words), dtype=np.int32, count=len(words)), return_counts=True)
-            terms.append(ids)
-            counts.append(np.minimum(n, 32_000).astype(np.int16))
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in terms])]).astype(np.int32))
-        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat(terms, np.int32))), pa.ListArray.from_arrays(offsets, pa.array(flat(counts, np.int16)))], ["doc_id", "terms", "counts"])
+            sizes.append(len(ids))
+            packed.append(packed_vector(ids, n))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "n", "vector"])
 
     plain = clean.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_batches(plain, vectors, "doc_id bigint, terms array<int>, counts array<smallint>").dropDuplicates(["doc_id"])
+    return map_batches(plain, vectors, "doc_id bigint, n int, vector binary").dropDuplicates(["doc_id"])
 
 
 def document_lengths(docs_idx: DataFrame, clean: DataFrame | None = None, ranks_path: str | None = None) -> DataFrame:
@@ -78,34 +94,62 @@ def document_lengths(docs_idx: DataFrame, clean: DataFrame | None = None, ranks_
     return known.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
 
 
-def indexed_vectors(vectors: DataFrame, indexed: int = INDEXED) -> DataFrame:
-    """``doc_id, terms, impacts, first, second``: each document's strongest terms by BM25, statistics over all documents,
-    and the two strongest that `SHARED` documents have (-1 where there is none)."""
-    spark = vectors.sparkSession
-    stats = vectors.agg(F.count("*"), F.avg(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()
-    n, mean = stats[0], float(stats[1] or 1.0) or 1.0
+def corpus_weights(vectors: DataFrame) -> Broadcast:
+    """Of all hash slots the inverse document frequency and whether `SHARED` documents have it, and the mean length."""
+
+    def sums(batch: pa.RecordBatch) -> pa.RecordBatch:
+        each = [unpacked_vector(v, n) for n, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        terms, docs = np.unique(np.concatenate([t for t, _ in each]) if each else np.zeros(0, np.int32), return_counts=True)
+        # at -1 and -2 the documents and their words
+        terms, docs = np.append(terms, [-1, -2]), np.append(docs, [len(each), sum(int(c.sum()) for _, c in each)])
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(docs, pa.int64())], ["t", "n"])
+
     df = np.zeros(TERMS, dtype=np.int64)
-    rows = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().toPandas()  # at most TERMS rows
-    df[rows["t"].to_numpy(dtype=np.int64)] = rows["count"].to_numpy(dtype=np.int64)
-    tables = spark.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), df >= SHARED))
+    rows = map_batches(vectors.select("doc_id", "n", "vector"), sums, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toPandas()  # at most TERMS rows and two
+    told = rows["t"].to_numpy(dtype=np.int64) >= 0
+    df[rows["t"].to_numpy(dtype=np.int64)[told]] = rows["n"].to_numpy(dtype=np.int64)[told]
+    totals = dict(zip(rows["t"].tolist(), rows["n"].tolist()))
+    n = totals.get(-1, 0)
+    mean = totals.get(-2, 0) / max(1, n) or 1.0
+    return vectors.sparkSession.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), df >= SHARED, mean))
+
+
+def bm25_impacts(vector: bytes, n: int, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of a document, rising, and what each adds to the score of a document that shares it."""
+    t, c = unpacked_vector(vector, n)
+    c = c.astype(np.float32)
+    return t, idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * c.sum() / mean))
+
+
+def with_homes(vectors: DataFrame, weights: Broadcast) -> DataFrame:
+    """``doc_id, n, vector, first, second``: with the two strongest terms that `SHARED` documents have (-1 where there is
+    none)."""
+
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        idf, shared, mean = weights.value
+        homes = []
+        for n, vector in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            t, score = bm25_impacts(vector, n, idf, mean)
+            t = t[np.argsort(-score, kind="stable")]
+            homes.append([*t[shared[t]][:2].tolist(), -1, -1][:2])
+        first, second = zip(*homes) if homes else ((), ())
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())], ["doc_id", "n", "vector", "first", "second"])
+
+    return map_batches(vectors.select("doc_id", "n", "vector"), look, "doc_id bigint, n int, vector binary, first int, second int")
+
+
+def indexed_vectors(vectors: DataFrame) -> DataFrame:
+    """``doc_id, terms, impacts, first, second``: all terms of each document with their BM25 impacts, statistics over all
+    documents, and its two strongest terms that `SHARED` documents have (-1 where there is none)."""
+    weights = corpus_weights(vectors)
 
     def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
-        idf, shared = tables.value
-        terms, impacts, homes = [], [], []
-        for t, c in zip(batch.column(1), batch.column(2)):
-            t, c = t.values.to_numpy(), c.values.to_numpy().astype(np.float32)
-            score = idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * c.sum() / mean))
-            order = np.argsort(-score, kind="stable")
-            homes.append([*t[order][shared[t[order]]][:2].tolist(), -1, -1][:2])
-            terms.append(t[order[:indexed]])
-            impacts.append(score[order[:indexed]])
-        first, second = zip(*homes) if homes else ((), ())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(impacts, pa.list_(pa.float32())), pa.array(first, pa.int32()), pa.array(second, pa.int32())],
-            ["doc_id", "terms", "impacts", "first", "second"],
-        )
+        idf, _, mean = weights.value
+        made = [bm25_impacts(v, n, idf, mean) for n, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        columns = [pa.array([t for t, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float32()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(3), batch.column(4)], ["doc_id", "terms", "impacts", "first", "second"])
 
-    return map_batches(vectors, weigh, "doc_id bigint, terms array<int>, impacts array<float>, first int, second int")
+    return map_batches(with_homes(vectors, weights), weigh, "doc_id bigint, terms array<int>, impacts array<float>, first int, second int")
 
 
 def dealt_to_shards(docs: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -216,7 +260,8 @@ def pack_documents(docs_idx: DataFrame, clean: DataFrame, specs: DataFrame, rank
     if len(few) > MOST_SPECS:
         raise ValueError(f"more than {MOST_SPECS} specs")
     sizes = sorted((str(r["spec"]), int(r["capacity"])) for r in few)
-    docs = shared_checkpoint(document_lengths(docs_idx, clean, ranks_path).join(indexed_vectors(vectors), "doc_id", "left"))
+    weights = corpus_weights(vectors)
+    docs = shared_checkpoint(document_lengths(docs_idx, clean, ranks_path).join(with_homes(vectors, weights), "doc_id", "left"))
 
     def pieces(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Full pieces of each document, and the place and length of those with a rest, or that are empty."""
@@ -225,8 +270,10 @@ def pack_documents(docs_idx: DataFrame, clean: DataFrame, specs: DataFrame, rank
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "doc_id"], kind="stable").reset_index(drop=True)
-        arrays = lambda name, kind: [np.asarray(x, dtype=kind) if x is not None else np.zeros(0, kind) for x in pdf[name]]
-        terms, impacts, ids, length = arrays("terms", np.int32), arrays("impacts", np.float32), pdf["doc_id"].to_numpy(), pdf["tokens"].to_numpy()
+        idf, _, mean = weights.value
+        none = np.zeros(0, np.int32), np.zeros(0, np.float32)
+        terms, impacts = zip(*(none if v is None else bm25_impacts(v, int(n), idf, mean) for v, n in zip(pdf["vector"], pdf["n"])))
+        ids, length = pdf["doc_id"].to_numpy(), pdf["tokens"].to_numpy()
         name, out = str(pdf["shard"].iloc[0]), []
         for spec, capacity in sizes:
             full, left, rest = pieces(length, capacity)
@@ -240,7 +287,7 @@ def pack_documents(docs_idx: DataFrame, clean: DataFrame, specs: DataFrame, rank
         return pd.DataFrame(out, columns=_NAMES)
 
     # all container sizes are packed where a shard's terms are, so these are moved once
-    first = shared_checkpoint(dealt_to_shards(docs).select("shard", "doc_id", "tokens", "terms", "impacts").groupBy("shard").applyInPandas(pack, _OUT))
+    first = shared_checkpoint(dealt_to_shards(docs).select("shard", "doc_id", "tokens", "n", "vector").groupBy("shard").applyInPandas(pack, _OUT))
     loose = first.where("container IS NULL")
     counts = {r["spec"]: r["count"] for r in loose.groupBy("spec").count().collect()}
     dealt = F.lit(1)

@@ -70,6 +70,22 @@ def test_the_index_finds_neighbours_of_the_same_topic(spark):
     assert near >= 0.9 * 2400
 
 
+def test_the_index_holds_weak_terms_and_large_counts_too(spark):
+    words = ["".join(random.Random(i).choices("abcdefghij", k=9)) for i in range(400)]
+    # the rare words of both come first by impact; what they share are 60 words that other documents have too
+    texts = [(0, " ".join(words[:60] + words[100:200])), (1, " ".join(words[:60] + words[200:300])), (2, " ".join(["word"] * 40_000 + words[300:]))]
+    texts += [(10 + k, " ".join(words[k : 60 : 6])) for k in range(6)]
+    vectors = bm25_packing.term_vectors(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    rows = bm25_packing.indexed_vectors(vectors).orderBy("doc_id").collect()
+    assert [len(r["terms"]) for r in rows[:3]] == [160, 160, 101]
+    index = bm25_packing.ShardIndex([np.array(r["terms"], np.int32) for r in rows], [np.array(r["impacts"], np.float32) for r in rows])
+    unused = np.ones(len(rows), bool)
+    unused[0] = False
+    assert sorted(index.neighbours(0, unused)) == [1, *range(3, 9)]
+    n, vector = vectors.where("doc_id = 2").select("n", "vector").first()
+    assert bm25_packing.unpacked_vector(vector, n)[1].max() == 40_000
+
+
 def test_lengths_that_nobody_recorded_are_measured(spark):
     idx = spark.createDataFrame([("s", 1, 0, 9, None), ("s", 2, None, None, None), ("s", 3, None, None, None), ("s", 4, None, None, -5)], "subset string, doc_id bigint, start_off bigint, end_off bigint, tokens bigint")
     clean = spark.createDataFrame([(1, "x"), (2, "one two three"), (2, "one two three")], "doc_id bigint, text string")
