@@ -119,7 +119,7 @@ QUERIES: dict[str, Query] = {
     "pretokenize": lambda s, d: t(s, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", F.size(tk.pretokenize("text")).cast("bigint").alias("pieces")),
     "piece_counts": lambda s, d: tk.piece_counts(t(s, d, "documents", "text")),
     "roundtrip": lambda s, d: tk.decode(tk.encode(t(s, d, "documents", "doc_id", "text"))),
-    "fertility": lambda s, d: tk.fertility(clean(s, d), tk.encode(clean(s, d))),
+    "fertility": lambda s, d: tk.fertility(clean(s, d)),
     "fertility_bytes_words": lambda s, d: clean(s, d).where("text IS NOT NULL").groupBy("subset").agg(F.sum(F.octet_length("text")).alias("n_bytes"), F.sum(F.size(T.words("text"))).alias("n_words"), F.sum(F.length(T.without_space("text"))).alias("n_chars")),
     "run_summary": lambda s, d: rounded(an.run_summary(_sql(s, METRICS))),
     "seed_noise": lambda s, d: rounded(an.seed_noise(_sql(s, SEEDS))),

@@ -146,6 +146,18 @@ def test_encode_decode_round_trip(spark):
     assert back == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_texts_are_encoded_a_bounded_stretch_at_a_time(spark):
+    texts = ["ab" * 50, "", "x" * 300_000, "one", "two", "y" * (1 << 18)] + ["some words"] * 60_000
+    cuts = list(tk._slices(texts))
+    assert [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and cuts[-1][1] == len(texts)
+    assert all(b - a == 1 or sum(map(len, texts[a:b])) <= tk.AT_ONCE for a, b in cuts) and list(tk._slices([])) == []
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["some words", None, "", "汉字 text", "x y z"] * 9)], "doc_id bigint, text string")
+    whole = sorted(map(tuple, tk.encode(df).select("doc_id", F.array_join("ids", " ")).collect()))
+    assert len(whole) == 45 and whole[1][1] == whole[2][1] == "" and whole[0][1] == whole[5][1] != ""
+    named = df.withColumn("subset", F.when(F.col("doc_id") % 3 > 0, "s"))
+    assert sorted(tk.fertility(named).collect(), key=str) == sorted(tk.fertility(named, tk.encode(df)).collect(), key=str)
+
+
 def test_stream_ingest_takes_each_file_once(spark, tmp_path):
     schema = "doc_id bigint, subset string, text string"
     src, sink, ckpt = (str(tmp_path / x) for x in ("src", "sink", "ckpt"))
