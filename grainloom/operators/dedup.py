@@ -63,8 +63,8 @@ def base_hash(shingle: Column, kind: str = "crc32") -> Column:
 _VALUES: dict[str, Callable[[bytes], int]] = {"crc32": zlib.crc32, "md5": lambda x: int.from_bytes(hashlib.md5(x).digest()[:4], "big"), "exact": xxhash.xxh64_intdigest}
 
 
-def shingle_values(normalized: str, by_char: bool, kind: str, n: int = 5) -> np.ndarray:
-    """The values of the runs that `with_shingles` makes, repeats included. A run is a stretch of the text's bytes."""
+def _runs(normalized: str, by_char: bool, n: int = 5) -> tuple[bytes, list[int], list[int]]:
+    """The bytes of a text, and where in these the runs that `with_shingles` makes begin and end, repeats included."""
     data = (normalized.replace(" ", "") if by_char else normalized).encode()
     raw = np.frombuffer(data, np.uint8)
     if by_char:
@@ -77,8 +77,43 @@ def shingle_values(normalized: str, by_char: bool, kind: str, n: int = 5) -> np.
         starts, ends = starts[: len(starts) - n + 1], ends[n - 1 :]
     else:
         starts, ends = np.zeros(1, np.int64), np.array([len(raw)])
+    return data, starts.tolist(), ends.tolist()
+
+
+def shingle_values(normalized: str, by_char: bool, kind: str, n: int = 5) -> np.ndarray:
+    """The values of the runs that `with_shingles` makes, repeats included. A run is a stretch of the text's bytes."""
+    data, starts, ends = _runs(normalized, by_char, n)
     value = _VALUES[kind]
-    return np.fromiter((value(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), dtype=np.uint64, count=len(starts))
+    return np.fromiter((value(data[a:b]) for a, b in zip(starts, ends)), dtype=np.uint64, count=len(starts))
+
+
+#: Rows of shingles in a batch, but for those of one text.
+_SHINGLE_ROWS = 1 << 16
+
+
+def shingle_rows(normalized: DataFrame, n: int = 5) -> DataFrame:
+    """``doc_rank, shingle``: a row for each distinct shingle (`with_shingles`) of ``doc_rank, n, zh``, those of zh by
+    characters. A narrow stage that holds a text's shingles at a time, and a batch of rows."""
+
+    def made(ranks: list[int], counts: list[int], flat: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ranks, np.int64), counts)), pa.array(flat, pa.binary()).view(pa.string())], ["doc_rank", "shingle"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranks, counts, flat = [], [], []
+            for rank, text, zh in zip(*(c.to_pylist() for c in batch.columns)):
+                data, starts, ends = _runs(text, zh, n)
+                own = dict.fromkeys(data[a:b] for a, b in zip(starts, ends))
+                ranks.append(rank)
+                counts.append(len(own))
+                flat += own
+                if len(flat) >= _SHINGLE_ROWS:
+                    yield made(ranks, counts, flat)
+                    ranks, counts, flat = [], [], []
+            if flat:
+                yield made(ranks, counts, flat)
+
+    return normalized.select(F.col("doc_rank").cast("bigint"), "n", "zh").mapInArrow(rows, "doc_rank bigint, shingle string")
 
 
 #: Shingles hashed at a time; with all permutations their values fit a core's cache.

@@ -169,7 +169,7 @@ def classes_sql(docs: str) -> str:
 QUERIES: dict[str, Query] = {
     "normalize_text": lambda s, d: documents(s, d).select("doc_id", T.normalize("text").alias("normalized")),
     "normalize_text_plain": lambda s, d: documents(s, d).select("doc_id", T.normalize("text", False).alias("normalized")),
-    "shingles": lambda s, d: dd.with_shingles(distinct_texts(s, d), "n", "s", by_char=F.col("zh")).select("doc_rank", F.explode("s").alias("shingle")),
+    "shingles": lambda s, d: dd.shingle_rows(distinct_texts(s, d)),
     "shingles_by_char": lambda s, d: dd.with_shingles(distinct_texts(s, d), "n", "s", by_char=True).select("doc_rank", F.size("s").cast("bigint").alias("shingles")),
     "minhash_sig": lambda s, d: signed(s, d).select("doc_rank", F.array_join(dd.signature_values("sig").cast("array<string>"), ",").alias("sig")),
     "jaccard": _jaccard,

@@ -47,6 +47,16 @@ def test_shingle_values_are_those_of_the_shingles(spark):
         assert set(dd.shingle_values(r["n"], r["zh"], "md5").tolist()) == set(r["m"])
 
 
+def test_rows_of_shingles_are_the_shingles(spark, monkeypatch):
+    texts = ["", "one", "a b c d", "a b c d e", "a b c d e f g é 漢", "漢字 混ぜ text 12 𠀀 x y", "x" * 30, "a a a a a a a a a", " ".join(map(str, range(300)))]
+    df = spark.createDataFrame([(2 * i + z, t, bool(z)) for i, t in enumerate(texts) for z in (0, 1)], "doc_rank bigint, n string, zh boolean")
+    ideal = dd.with_shingles(df, "n", "s", by_char=F.col("zh")).select("doc_rank", F.explode("s").alias("shingle"))
+    assert dd.shingle_rows(df).schema.simpleString() == ideal.schema.simpleString()
+    for most in (1 << 16, 7):
+        monkeypatch.setattr(dd, "_SHINGLE_ROWS", most)
+        assert sorted(map(tuple, dd.shingle_rows(df).collect())) == sorted(map(tuple, ideal.collect()))
+
+
 def test_large_bucket_is_a_star(spark):
     banded = spark.createDataFrame([(0, 7, r) for r in range(40)], "band int, key bigint, doc_rank bigint")
     pairs = dd.candidate_pairs(banded).collect()
