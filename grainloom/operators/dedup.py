@@ -11,9 +11,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType
 
 from grainloom.functions import text as T
 from grainloom.operators.lineage import shared_checkpoint
@@ -63,7 +64,7 @@ def base_hash(shingle: Column, kind: str = "crc32") -> Column:
 _VALUES: dict[str, Callable[[bytes], int]] = {"crc32": zlib.crc32, "md5": lambda x: int.from_bytes(hashlib.md5(x).digest()[:4], "big"), "exact": xxhash.xxh64_intdigest}
 
 
-def _runs(normalized: str, by_char: bool, n: int = 5) -> tuple[bytes, list[int], list[int]]:
+def _places(normalized: str, by_char: bool, n: int = 5) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The bytes of a text, and where in these the runs that `with_shingles` makes begin and end, repeats included."""
     data = (normalized.replace(" ", "") if by_char else normalized).encode()
     raw = np.frombuffer(data, np.uint8)
@@ -77,6 +78,12 @@ def _runs(normalized: str, by_char: bool, n: int = 5) -> tuple[bytes, list[int],
         starts, ends = starts[: len(starts) - n + 1], ends[n - 1 :]
     else:
         starts, ends = np.zeros(1, np.int64), np.array([len(raw)])
+    return data, starts, ends
+
+
+def _runs(normalized: str, by_char: bool, n: int = 5) -> tuple[bytes, list[int], list[int]]:
+    """`_places` as lists."""
+    data, starts, ends = _places(normalized, by_char, n)
     return data, starts.tolist(), ends.tolist()
 
 
@@ -294,48 +301,291 @@ def near_duplicates(docs: DataFrame, text: str = "text", rank: str = "doc_rank",
     return same.join(roots, same["first"] == roots["node"], "left").select("doc_rank", F.coalesce("root", "first").alias("rep"))
 
 
-def _shingle_sets(normalized: DataFrame) -> DataFrame:
-    """``doc_rank, s``: the distinct 64-bit values of the shingles of ``doc_rank, n, zh``."""
+#: Bits of a bitmap, 8 MB.
+_SLOT_BITS = 26
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_values(t, z, "exact")).view(np.int64) for t, z in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_rank", "s"])
 
-    return normalized.select(F.col("doc_rank").cast("bigint"), "n", "zh").mapInArrow(hashed, "doc_rank bigint, s array<bigint>")
+def _bitmap(slots: DataFrame) -> Broadcast:
+    """A broadcast bitmap of the values of ``slot``; its bits reach the driver as words."""
+    words = slots.distinct().groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas()
+    packed = np.zeros(1 << (_SLOT_BITS - 6), dtype=np.int64)
+    packed[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    return slots.sparkSession.sparkContext.broadcast(packed.view(np.uint8))
+
+
+def _in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return ((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def least_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each ``key``, with the least value of each other column, as by grouping.
+
+    Only rows whose key may stand elsewhere too, by a bitmap of the repeated keys, are shuffled; the others stay where they
+    are, so tables with few repeated keys move next to nothing.
+    """
+    slot = F.shiftrightunsigned(F.xxhash64(key), 64 - _SLOT_BITS)
+    repeated = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(slot.alias("slot"))
+    bitmap = _bitmap(repeated)
+
+    @F.pandas_udf(BooleanType())
+    def may_repeat(slots: pd.Series) -> pd.Series:
+        return pd.Series(_in_bitmap(bitmap.value, slots.to_numpy(np.int64)))
+
+    others = [c for c in rows.columns if c != key]
+    grouped = rows.where(may_repeat(slot)).groupBy(key).agg(*(F.min(c).alias(c) for c in others))
+    return rows.where(~may_repeat(slot)).select(key, *others).unionByName(grouped)
+
 
+#: Of the running sums of `shingle_set`: a value for each byte, a step and its inverse modulo 2^64, and their powers so far.
+_SIGNS = np.random.default_rng(2).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = 0x9E3779B97F4A7C15
+_POWERS = {x: np.ones(1, np.uint64) for x in (_STEP, pow(_STEP, -1, 1 << 64))}
 
-#: Documents that share a shingle of their prefixes beyond which the shingle's pairs are dealt to several tasks.
+
+def _powers(x: int, n: int) -> np.ndarray:
+    """The powers of ``x`` up to the ``n``-th at least."""
+    if len(_POWERS[x]) <= n:
+        _POWERS[x] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, x, np.uint64)]), dtype=np.uint64)
+    return _POWERS[x]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values spread over all bits, one to one."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(normalized: str, by_char: bool, n: int = 5) -> np.ndarray:
+    """The distinct 64-bit values of the shingles that `with_shingles` makes, ascending. A run's value comes from two
+    running sums over the text's bytes, so that equal runs have equal values wherever they stand."""
+    data, starts, ends = _places(normalized, by_char, n)
+    step, back = _POWERS
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_SIGNS[np.frombuffer(data, np.uint8)] * _powers(step, len(data))[: len(data)], dtype=np.uint64, out=sums[1:])
+    return np.unique(_mixed((sums[ends] - sums[starts]) * _powers(back, len(data))[starts]))
+
+
+#: Shingles counted at a time, times that one stands among these from which it is reported, and the most frequent ones that
+#: are broadcast (8 bytes and one each).
+_COUNTED, _OFTEN, _MOST_FREQUENT = 1 << 21, 4, 1 << 20
+
+
+def frequent_shingles(normalized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Values of frequent shingles, ascending, and the logarithm of how often each was counted.
+
+    Any order of the shingles serves `exact_near_duplicates`, if it is the same for all documents; this one only keeps the
+    frequent ones, which would give many pairs, behind the others.
+    """
+
+    def often(values: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(values), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[times >= _OFTEN].view(np.int64)), pa.array(times[times >= _OFTEN])], ["g", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for text, zh in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append(shingle_set(text, zh))
+                size += len(held[-1])
+                if size >= _COUNTED:
+                    yield often(held)
+                    held, size = [], 0
+        if held:
+            yield often(held)
+
+    times = normalized.select("n", "zh").mapInArrow(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    top = times.orderBy(F.desc("n"), "g").limit(_MOST_FREQUENT).toPandas()
+    values, order = np.unique(top["g"].to_numpy(np.int64).view(np.uint64), return_index=True)
+    return values, np.log2(np.maximum(top["n"].to_numpy(np.float64), 1))[order].astype(np.uint8)
+
+
+#: Parts in which documents meet that share a shingle; documents' sizes are told in steps of this ratio; size beyond which
+#: documents must share one more shingle of their prefixes; postings made at a time, and pairs.
+_PARTS, _RATIO, _ONE_MORE, _POSTINGS, _PAIRS = 1024, 1.05, 64, 1 << 20, 1 << 20
+_POSTING = 9
+
+#: Postings of a shingle from which the documents that share it are joined by several tasks.
 HOT = 256
 
 
+def _size_class(size: int) -> int:
+    """The step of a size; the last one has all greater ones."""
+    c = min(255, int(math.log(size) / math.log(_RATIO)))
+    return c - (_least_size(c) > size)
+
+
+def _least_size(size_class: int) -> int:
+    return math.ceil(_RATIO**size_class - 1e-9)
+
+
+def _shared_at_least(size_class: int) -> int:
+    """How many shingles of its prefix a document of this size shares with an alike one that is not smaller."""
+    return 1 + _least_size(size_class) // _ONE_MORE
+
+
+def text_id(text: str) -> int:
+    """32 bits of a normalised text's hash. Other texts may have the same; it names candidates only."""
+    return xxhash.xxh64_intdigest(text) >> 32
+
+
+def _postings(normalized: DataFrame, alike: float) -> DataFrame:
+    """``part, postings``: what documents show of the shingles of their prefixes, packed: 32 bits of the value, the text's
+    id and its size's step."""
+    frequent = normalized.sparkSession.sparkContext.broadcast(frequent_shingles(normalized))
+
+    def packed(made: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        values, counts = np.concatenate([x for x, _, _ in made]), [len(x) for x, _, _ in made]
+        parts = (values % np.uint64(_PARTS)).astype(np.int32)
+        order = np.argsort(parts, kind="stable")
+        shown = ((values // np.uint64(_PARTS)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
+        ids = np.repeat(np.array([x for _, x, _ in made], np.uint32), counts)[order]
+        steps = np.repeat(np.array([x for _, _, x in made], np.uint8), counts)[order]
+        found, starts = np.unique(parts[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+        blobs = [shown[a:b].tobytes() + ids[a:b].tobytes() + steps[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "postings"])
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times = frequent.value
+        made, size = [], 0
+        for batch in batches:
+            for text, zh in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = shingle_set(text, zh)
+                step = _size_class(len(values))
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, values), len(often) - 1)
+                    values = values[np.argsort(np.where(often[at] == values, times[at], 0), kind="stable")]
+                prefix = values[: len(values) - math.ceil(alike * len(values) - 1e-9) + _shared_at_least(step)]
+                made.append((prefix, text_id(text), step))
+                size += len(prefix)
+                if size >= _POSTINGS:
+                    yield packed(made)
+                    made, size = [], 0
+        if made:
+            yield packed(made)
+
+    return normalized.select("n", "zh").mapInArrow(show, "part int, postings binary")
+
+
+def _meeting(shown: np.ndarray, ids: np.ndarray, steps: np.ndarray, alike: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``a, b, step`` of the pairs of postings of one value whose sizes allow that they are alike, with the lesser step.
+
+    A text's postings are taken once; had it several, copies or another text of its id, it is a pair with itself too.
+    """
+    apart = 1 + int(-math.log(alike) / math.log(_RATIO))
+    order = np.lexsort((ids, steps, shown))
+    shown, ids, steps = shown[order], ids[order], steps[order].astype(np.int64)
+    first = np.append(True, (shown[1:] != shown[:-1]) | (ids[1:] != ids[:-1]) | (steps[1:] != steps[:-1])) if len(ids) else np.zeros(0, bool)
+    again = np.unique(np.flatnonzero(~first))
+    if len(again):
+        yield ids[again], ids[again], steps[again]
+    shown, ids, steps = shown[first], ids[first], steps[first]
+    at, ahead = np.arange(len(ids)), 0
+    while len(at):
+        ahead += 1
+        at = at[at + ahead < len(ids)]
+        at = at[(shown[at] == shown[at + ahead]) & (steps[at + ahead] - steps[at] <= apart)]
+        if len(at):
+            yield np.minimum(ids[at], ids[at + ahead]), np.maximum(ids[at], ids[at + ahead]), steps[at]
+
+
+def candidate_texts(normalized: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """``x, y``, ids of texts (`text_id`): all pairs of alike texts are among these; x <= y.
+
+    Prefix filtering: two alike documents share ``k`` of the first ``size - ceil(alike * size) + k`` shingles of each, in
+    any order of all shingles. What they show of these meets in parts by value, 9 bytes each, and is counted by pair.
+    """
+
+    def pairs(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        counts = [len(b) // _POSTING for b in blobs]
+        shown, ids, steps = (np.concatenate([np.frombuffer(b, kind, n, at * n) for b, n in zip(blobs, counts)]) for kind, at in ((np.uint32, 0), (np.uint32, 4), (np.uint8, 8)))
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            x, y, step = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((step, y, x))
+            x, y, step = x[order], y[order], step[order]
+            starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            needed = pa.array([_shared_at_least(c) for c in step[starts].tolist()], pa.int32())
+            return pa.RecordBatch.from_arrays([*(pa.array(c[starts].astype(np.int64)) for c in (x, y)), pa.array(np.diff(np.append(starts, len(x))), pa.int32()), needed], ["x", "y", "shared", "needed"])
+
+        for found in _meeting(shown, ids, steps, alike):
+            held.append(found)
+            size += len(found[0])
+            if size >= _PAIRS:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blobs = None, []
+        for batch in batches:
+            for here, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if here != part and blobs:
+                    yield from pairs(blobs)
+                    blobs = []
+                part = here
+                blobs.append(blob)
+        if blobs:
+            yield from pairs(blobs)
+
+    parts = _postings(normalized, alike).repartition("part").sortWithinPartitions("part")
+    met = parts.mapInArrow(meet, "x bigint, y bigint, shared int, needed int")
+    return met.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed").select("x", "y")
+
+
+def texts_of(normalized: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, doc_rank, zh, z``: of the texts with ids among ``x, y`` the first document and the compressed text.
+
+    A bitmap of the ids keeps all other texts in their narrow stage; those that only share its slots meet no pair.
+    """
+    bitmap = _bitmap(pairs.select(F.explode(F.array("x", "y")).alias("id")).select(F.shiftright("id", 32 - _SLOT_BITS).alias("slot")))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bitmap.value
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            ids = np.fromiter(map(text_id, texts), np.int64, len(texts))
+            rows = np.flatnonzero(_in_bitmap(held, ids >> (32 - _SLOT_BITS)))
+            own = [texts[k].encode() for k in rows.tolist()]
+            taken = [batch.column(k).take(pa.array(rows)) for k in (0, 1)]
+            columns = [pa.array(ids[rows]), *taken, pa.array([hashlib.md5(x).digest() for x in own], pa.binary()), pa.array([zlib.compress(x, 6) for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "doc_rank", "zh", "k", "z"])
+
+    packed = normalized.select(F.col("doc_rank").cast("bigint"), "zh", "n").mapInArrow(pack, "id bigint, doc_rank bigint, zh boolean, k binary, z binary")
+    first = packed.repartition("id").groupBy("id", "k").agg(F.min("doc_rank").alias("doc_rank"), F.min_by(F.struct("zh", "z"), "doc_rank").alias("t"))
+    return first.select("id", "doc_rank", "t.zh", "t.z")
+
+
 def exact_near_duplicates(docs: DataFrame, text: str = "text", rank: str = "doc_rank", compatibility: bool = True, alike: float = ALIKE, subset: str | None = None) -> DataFrame:
     """``a, b, similarity`` of all pairs of distinct texts with Jaccard similarity from ``alike`` on.
 
-    Exact but for chance collisions of 64-bit values. Prefix filtering: the shingles of a document are ordered from rare
-    to frequent, and two alike documents must share one among the first ``size - ceil(alike * size) + 1`` of each; what
-    stands behind a shared shingle, and the sizes, bound what they can share. The pairs of a frequent shingle are dealt to
-    tasks by salt. Of a ``subset`` that begins with zh the shingles are of characters.
+    Exact but for chance collisions of 64-bit values: `candidate_texts` misses no alike pair, and the shingles of each
+    candidate pair are compared in whole. Only prefixes and the candidates' texts, compressed, are shuffled; equal texts
+    are joined when these meet. Of a ``subset`` that begins with zh the shingles are of characters.
     """
     norm = normalized_documents(docs, text, rank, compatibility, subset)
-    once = norm.withColumn("k", F.md5("n")).groupBy("k").agg(F.min("doc_rank").alias("doc_rank"), F.min_by(F.struct("n", "zh"), "doc_rank").alias("t")).select("doc_rank", "t.n", "t.zh")
-    sets = shared_checkpoint(_shingle_sets(once))
-    long = sets.select("doc_rank", F.size("s").alias("size"), F.explode("s").alias("g"))
-    rare = long.groupBy("g").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("doc_rank").orderBy("df", "g")
-    prefix = long.join(rare, "g").withColumn("at", F.row_number().over(order)).where((F.col("at") <= F.col("size") - F.ceil(F.lit(alike) * F.col("size")) + 1) & (F.col("df") > 1))
-    prefix = shared_checkpoint(prefix.withColumn("salts", (1 + F.col("df") / HOT).cast("int")))
-    x = prefix.withColumn("salt", F.expr("pmod(xxhash64(doc_rank), salts)").cast("int")).alias("x")
-    y = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    fits = F.least("x.size", "y.size") >= F.lit(alike) * F.greatest("x.size", "y.size")
-    # shared at most: this shingle and what is left behind it in the shorter rest
-    reach = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
-    # of the first shared shingle only; at later ones the bound is too low by the shared ones before
-    fits &= reach + F.least("x.at", "y.at") - 1 >= F.lit(alike / (1 + alike)) * (F.col("x.size") + F.col("y.size")) - 1e-9
-    met = (F.col("x.g") == F.col("y.g")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.doc_rank") < F.col("y.doc_rank"))
-    pairs = x.join(y, met & fits).select(F.col("x.doc_rank").alias("a"), F.col("y.doc_rank").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("doc_rank").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_rank").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= alike)
+    pairs = shared_checkpoint(candidate_texts(norm, alike))
+    texts = texts_of(norm, pairs)
+    a, b = (texts.select(*(F.col(c).alias(c + side) for c in texts.columns)) for side in ("_a", "_b"))
+    both = pairs.join(a, F.col("x") == F.col("id_a")).join(b, F.col("y") == F.col("id_b")).where("x < y or doc_rank_a < doc_rank_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank_a, zh_a, z_a, rank_b, zh_b, z_b = (c.to_pylist() for c in batch.columns)
+            rows, last = [], None
+            for k, (a, b) in enumerate(zip(rank_a, rank_b)):
+                if a != last:
+                    last, mine = a, shingle_set(zlib.decompress(z_a[k]).decode(), zh_a[k])
+                other = shingle_set(zlib.decompress(z_b[k]).decode(), zh_b[k])
+                shared = len(np.intersect1d(mine, other, assume_unique=True))
+                rows.append((min(a, b), max(a, b), shared / (len(mine) + len(other) - shared)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"]) if rows else pa.RecordBatch.from_pylist([], pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())]))
+
+    wanted = both.select("doc_rank_a", "zh_a", "z_a", "doc_rank_b", "zh_b", "z_b")
+    return wanted.mapInArrow(compare, "a bigint, b bigint, similarity double").where(F.col("similarity") >= alike)
 
 
 def precision_recall(got: DataFrame, ideal: DataFrame, key: str = "doc_rank") -> DataFrame:
