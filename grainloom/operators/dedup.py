@@ -356,19 +356,77 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(normalized: str, by_char: bool, n: int = 5) -> np.ndarray:
-    """The distinct 64-bit values of the shingles that `with_shingles` makes, ascending. A run's value comes from two
-    running sums over the text's bytes, so that equal runs have equal values wherever they stand."""
-    data, starts, ends = _places(normalized, by_char, n)
+#: Bytes of text whose shingles are made at a time, but for longer texts.
+_BYTES = 1 << 18
+
+
+def _run_values(texts: list[str], by_char: bool, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A value for each run that `with_shingles` makes of the texts, repeats included, and the place of each run's text.
+
+    A run's value comes from two running sums over all bytes, so that equal runs have equal values wherever they stand.
+    """
+    joined = "\n".join(texts)
+    raw = np.frombuffer((joined.replace(" ", "") if by_char else joined).encode(), np.uint8)
+    lines = np.flatnonzero(raw == 10)
+    first, last = np.concatenate([[0], lines + 1]), np.append(lines, len(raw))
+    if by_char:
+        starts = np.flatnonzero(((raw & 0xC0) != 0x80) & (raw != 10))
+        ends = np.append(starts[1:], len(raw))
+        ends = np.where(raw[ends - 1] == 10, ends - 1, ends) if len(raw) else ends
+    else:
+        ends = np.append(np.flatnonzero((raw == 32) | (raw == 10)), len(raw))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+    at = np.searchsorted(starts, np.append(first, len(raw) + 1))
+    sizes = np.diff(at)
+    whole = np.flatnonzero(sizes <= n)
+    heads = np.arange(max(0, len(starts) - n + 1))
+    of = np.repeat(np.arange(len(texts)), sizes)
+    heads = heads[(of[heads] == of[heads + n - 1]) & (sizes[of[heads]] > n)]
+    starts, ends, of = np.concatenate([starts[heads], first[whole]]), np.concatenate([ends[heads + n - 1], last[whole]]), np.concatenate([of[heads], whole])
     step, back = _POWERS
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_SIGNS[np.frombuffer(data, np.uint8)] * _powers(step, len(data))[: len(data)], dtype=np.uint64, out=sums[1:])
-    return np.unique(_mixed((sums[ends] - sums[starts]) * _powers(back, len(data))[starts]))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_SIGNS[raw] * _powers(step, len(raw))[: len(raw)], dtype=np.uint64, out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * _powers(back, len(raw))[starts]), of
+
+
+def shingle_sets(texts: list[str], by_char: list[bool], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit values of the shingles that `with_shingles` makes of texts without line ends, ascending in each
+    text, and where each text's begin, with the end of all."""
+    made, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for kind in (False, True):
+        own = [k for k, c in enumerate(by_char) if bool(c) == kind]
+        if own:
+            values, places = _run_values([texts[k] for k in own], kind, n)
+            made.append(values)
+            of.append(np.array(own)[places])
+    values, of = np.concatenate(made), np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    values, of = values[order], of[order]
+    bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        values[a:b].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+    return values[new], np.concatenate([[0], np.cumsum(new)])[bounds]
+
+
+def shingled(batches: Iterator[pa.RecordBatch], text: int = 0, zh: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, np.ndarray]]:
+    """Slices of the batches of about `_BYTES` of text, with their texts and `shingle_sets`."""
+    for batch in (b for b in batches if b.num_rows):
+        lengths = np.cumsum(np.array([len(x) for x in batch.column(text).to_pylist()], np.int64))
+        cuts = np.flatnonzero(np.diff(lengths // _BYTES)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lengths)]):
+            part = batch.slice(a, b - a)
+            texts = part.column(text).to_pylist()
+            yield part, texts, *shingle_sets(texts, part.column(zh).to_pylist())
 
 
 #: Shingles counted at a time, times that one stands among these from which it is reported, and the most frequent ones that
 #: are broadcast (8 bytes and one each).
-_COUNTED, _OFTEN, _MOST_FREQUENT = 1 << 21, 4, 1 << 20
+_COUNTED, _OFTEN, _MOST_FREQUENT = 1 << 22, 3, 1 << 21
+
+#: Times that a shingle is counted from which it counts as frequent.
+HOT = 4
 
 
 def frequent_shingles(normalized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -379,22 +437,23 @@ def frequent_shingles(normalized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def often(values: list[np.ndarray]) -> pa.RecordBatch:
-        found, times = np.unique(np.concatenate(values), return_counts=True)
+        found = np.sort(np.concatenate(values))
+        starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        found, times = found[starts], np.diff(np.append(starts, len(found)))
         return pa.RecordBatch.from_arrays([pa.array(found[times >= _OFTEN].view(np.int64)), pa.array(times[times >= _OFTEN])], ["g", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            for text, zh in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append(shingle_set(text, zh))
-                size += len(held[-1])
-                if size >= _COUNTED:
-                    yield often(held)
-                    held, size = [], 0
+        for _, _, values, _ in shingled(batches):
+            held.append(values)
+            size += len(values)
+            if size >= _COUNTED:
+                yield often(held)
+                held, size = [], 0
         if held:
             yield often(held)
 
-    times = normalized.select("n", "zh").mapInArrow(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    times = normalized.select("n", "zh").mapInArrow(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
     top = times.orderBy(F.desc("n"), "g").limit(_MOST_FREQUENT).toPandas()
     values, order = np.unique(top["g"].to_numpy(np.int64).view(np.uint64), return_index=True)
     return values, np.log2(np.maximum(top["n"].to_numpy(np.float64), 1))[order].astype(np.uint8)
@@ -405,10 +464,6 @@ def frequent_shingles(normalized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 _PARTS, _RATIO, _ONE_MORE, _POSTINGS, _PAIRS = 1024, 1.05, 64, 1 << 20, 1 << 20
 _POSTING = 9
 
-#: Postings of a shingle from which the documents that share it are joined by several tasks.
-HOT = 256
-
-
 def _size_class(size: int) -> int:
     """The step of a size; the last one has all greater ones."""
     c = min(255, int(math.log(size) / math.log(_RATIO)))
@@ -448,20 +503,24 @@ def _postings(normalized: DataFrame, alike: float) -> DataFrame:
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = frequent.value
+        rare = np.ones(1 << 23, bool)
+        rare[(often >> np.uint64(41)).astype(np.int64)] = False
         made, size = [], 0
-        for batch in batches:
-            for text, zh in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = shingle_set(text, zh)
-                step = _size_class(len(values))
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, values), len(often) - 1)
-                    values = values[np.argsort(np.where(often[at] == values, times[at], 0), kind="stable")]
-                prefix = values[: len(values) - math.ceil(alike * len(values) - 1e-9) + _shared_at_least(step)]
+        for _, texts, values, bounds in shingled(batches):
+            order = np.zeros(len(values), np.uint8)
+            maybe = np.flatnonzero(~rare[(values >> np.uint64(41)).astype(np.int64)])
+            if len(maybe):
+                at = np.minimum(np.searchsorted(often, values[maybe]), len(often) - 1)
+                order[maybe] = np.where(often[at] == values[maybe], times[at], 0)
+            for text, a, b, mixed in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), np.maximum.reduceat(order, bounds[:-1]).tolist()):
+                step = _size_class(b - a)
+                own = values[a:b][np.argsort(order[a:b], kind="stable")] if mixed else values[a:b]
+                prefix = own[: b - a - math.ceil(alike * (b - a) - 1e-9) + _shared_at_least(step)]
                 made.append((prefix, text_id(text), step))
                 size += len(prefix)
-                if size >= _POSTINGS:
-                    yield packed(made)
-                    made, size = [], 0
+            if size >= _POSTINGS:
+                yield packed(made)
+                made, size = [], 0
         if made:
             yield packed(made)
 
@@ -508,7 +567,8 @@ def candidate_texts(normalized: DataFrame, alike: float = ALIKE) -> DataFrame:
             x, y, step = x[order], y[order], step[order]
             starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
             needed = pa.array([_shared_at_least(c) for c in step[starts].tolist()], pa.int32())
-            return pa.RecordBatch.from_arrays([*(pa.array(c[starts].astype(np.int64)) for c in (x, y)), pa.array(np.diff(np.append(starts, len(x))), pa.int32()), needed], ["x", "y", "shared", "needed"])
+            both = x[starts].astype(np.uint64) << np.uint64(32) | y[starts]
+            return pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(np.diff(np.append(starts, len(x))), pa.int32()), needed], ["both", "shared", "needed"])
 
         for found in _meeting(shown, ids, steps, alike):
             held.append(found)
@@ -532,8 +592,9 @@ def candidate_texts(normalized: DataFrame, alike: float = ALIKE) -> DataFrame:
             yield from pairs(blobs)
 
     parts = _postings(normalized, alike).repartition("part").sortWithinPartitions("part")
-    met = parts.mapInArrow(meet, "x bigint, y bigint, shared int, needed int")
-    return met.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed").select("x", "y")
+    met = parts.mapInArrow(meet, "both bigint, shared int, needed int")
+    alike_enough = met.groupBy("both").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed")
+    return alike_enough.select(F.shiftrightunsigned("both", 32).alias("x"), F.col("both").bitwiseAND(0xFFFFFFFF).alias("y"))
 
 
 def texts_of(normalized: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -551,7 +612,7 @@ def texts_of(normalized: DataFrame, pairs: DataFrame) -> DataFrame:
             rows = np.flatnonzero(_in_bitmap(held, ids >> (32 - _SLOT_BITS)))
             own = [texts[k].encode() for k in rows.tolist()]
             taken = [batch.column(k).take(pa.array(rows)) for k in (0, 1)]
-            columns = [pa.array(ids[rows]), *taken, pa.array([hashlib.md5(x).digest() for x in own], pa.binary()), pa.array([zlib.compress(x, 6) for x in own], pa.binary())]
+            columns = [pa.array(ids[rows]), *taken, pa.array([hashlib.md5(x).digest() for x in own], pa.binary()), pa.array([zlib.compress(x, 4) for x in own], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "doc_rank", "zh", "k", "z"])
 
     packed = normalized.select(F.col("doc_rank").cast("bigint"), "zh", "n").mapInArrow(pack, "id bigint, doc_rank bigint, zh boolean, k binary, z binary")
@@ -559,6 +620,17 @@ def texts_of(normalized: DataFrame, pairs: DataFrame) -> DataFrame:
     return first.select("id", "doc_rank", "t.zh", "t.z")
 
 
+#: Pairs whose texts are compared at a time.
+_COMPARED = 512
+
+
+def _in_both(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sets share."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def exact_near_duplicates(docs: DataFrame, text: str = "text", rank: str = "doc_rank", compatibility: bool = True, alike: float = ALIKE, subset: str | None = None) -> DataFrame:
     """``a, b, similarity`` of all pairs of distinct texts with Jaccard similarity from ``alike`` on.
 
@@ -572,17 +644,22 @@ def exact_near_duplicates(docs: DataFrame, text: str = "text", rank: str = "doc_
     a, b = (texts.select(*(F.col(c).alias(c + side) for c in texts.columns)) for side in ("_a", "_b"))
     both = pairs.join(a, F.col("x") == F.col("id_a")).join(b, F.col("y") == F.col("id_b")).where("x < y or doc_rank_a < doc_rank_b")
 
+    def texts_in(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Both texts of each row, one after the other."""
+        texts = [zlib.decompress(z).decode() for row in zip(*(batch.column(k).to_pylist() for k in (2, 5))) for z in row]
+        return pa.RecordBatch.from_arrays([pa.array(texts), pa.array([c for row in zip(*(batch.column(k).to_pylist() for k in (1, 4))) for c in row])], ["n", "zh"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank_a, zh_a, z_a, rank_b, zh_b, z_b = (c.to_pylist() for c in batch.columns)
-            rows, last = [], None
-            for k, (a, b) in enumerate(zip(rank_a, rank_b)):
-                if a != last:
-                    last, mine = a, shingle_set(zlib.decompress(z_a[k]).decode(), zh_a[k])
-                other = shingle_set(zlib.decompress(z_b[k]).decode(), zh_b[k])
-                shared = len(np.intersect1d(mine, other, assume_unique=True))
-                rows.append((min(a, b), max(a, b), shared / (len(mine) + len(other) - shared)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"]) if rows else pa.RecordBatch.from_pylist([], pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())]))
+            for at in range(0, batch.num_rows, _COMPARED):
+                rows = batch.slice(at, _COMPARED)
+                pieces = [np.split(values, bounds[1:-1]) for _, _, values, bounds in shingled(iter([texts_in(rows)]))]
+                sets = [x for piece in pieces for x in piece]
+                ranks = [rows.column(k).to_numpy() for k in (0, 3)]
+                shared = np.array([_in_both(x, y) for x, y in zip(sets[::2], sets[1::2])], np.int64)
+                sizes = np.array([len(x) for x in sets], np.int64)
+                columns = [np.minimum(*ranks), np.maximum(*ranks), shared / (sizes[::2] + sizes[1::2] - shared)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "similarity"])
 
     wanted = both.select("doc_rank_a", "zh_a", "z_a", "doc_rank_b", "zh_b", "z_b")
     return wanted.mapInArrow(compare, "a bigint, b bigint, similarity double").where(F.col("similarity") >= alike)

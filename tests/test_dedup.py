@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -123,6 +124,35 @@ def test_frequent_shingles_lose_no_pair(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in dd.exact_near_duplicates(docs_frame(spark, texts)).collect()} == ideal and len(ideal) > 30
 
 
+def test_sets_of_shingle_values_are_those_of_the_shingles(spark):
+    texts = ["", "one", "a b c d", "a b c d e", "a b c d e f", "a b c d e f g é 漢", "漢字 混ぜ text 12 𠀀 x y", "x" * 30, "a a a a a a a a a", "漢", "b c d e f"]
+    rows = [(2 * i + z, t, bool(z)) for i, t in enumerate(texts) for z in (0, 1)]
+    ideal = dict(dd.with_shingles(spark.createDataFrame(rows, "k bigint, n string, zh boolean"), "n", "s", by_char=F.col("zh")).select("k", "s").collect())
+    values, bounds = dd.shingle_sets([t for _, t, _ in rows], [z for _, _, z in rows])
+    made = {k: set(values[bounds[k] : bounds[k + 1]].tolist()) for k, _, _ in rows}
+    assert all(len(made[k]) == bounds[k + 1] - bounds[k] == len(ideal[k]) for k in made)
+    assert all(len(made[i] & made[j]) == len(set(ideal[i]) & set(ideal[j])) for i in made for j in made)
+
+
+def test_exact_pairs_write_less_than_their_shingles(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randint(0, 10**6)}" for _ in range(2000)] for _ in range(40)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-9], "end"]) for b in base[:4]] + [" ".join(base[5])]
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")) if dd.shared_checkpoint(spark.range(1)) else None
+    held = sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    assert sorted((r["a"], r["b"]) for r in dd.exact_near_duplicates(docs_frame(spark, texts)).collect()) == [(k, 40 + k) for k in range(4)]
+    assert sum(p.stat().st_size for p in folder.rglob("*") if p.is_file()) - held < 2000 * len(texts)
+    packed = dd._postings(dd.normalized_documents(docs_frame(spark, texts)), dd.ALIKE).select(F.sum(F.length("postings"))).first()[0]
+    assert packed < 9 * 0.22 * 2000 * len(texts)
+
+
+def test_least_of_each_key(spark):
+    rows = [(k % 50 if k > 40 else None if k < 3 else 1000 + k, f"t{k % 7}", f"s{k % 5}" if k % 3 else None) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, subset string")
+    ideal = df.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("subset").alias("subset"))
+    assert sorted(map(repr, dd.least_of_each(df, "doc_id").collect())) == sorted(map(repr, ideal.collect()))
+
+
 def test_edited_chinese_reposts_are_near_duplicates(spark):
     rng = random.Random(4)
     clauses = ["".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(20)) for _ in range(8)]
