@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType
 
 from grainloom.functions import text as T
-from grainloom.operators.lineage import shared_checkpoint
+from grainloom.operators.lineage import shared_checkpoint, shuffles_dropped
 
 #: Permutations, bands, and the similarity from which two documents count as alike. Buckets larger than `STAR` are
 #: joined to their first member only; links that this star misses are found by `links_across`.
@@ -211,8 +211,8 @@ def candidate_pairs(banded: DataFrame) -> DataFrame:
 
     A bucket of copies, however large, gives one pair a member, so no bucket is ever squared.
     """
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_rank").alias("first")).where("n >= 2")
-    members = banded.join(buckets, ["band", "key"])
+    bucket = Window.partitionBy("band", "key")
+    members = banded.select("*", F.count("*").over(bucket).alias("n"), F.min("doc_rank").over(bucket).alias("first")).where("n >= 2")
     small = members.where(F.col("n") <= STAR).select("band", "key", "doc_rank")
     pairs = small.alias("x").join(small.alias("y"), ["band", "key"]).where("x.doc_rank < y.doc_rank").select(F.col("x.doc_rank").alias("a"), F.col("y.doc_rank").alias("b"))
     star = members.where((F.col("n") > STAR) & (F.col("doc_rank") != F.col("first"))).select(F.col("first").alias("a"), F.col("doc_rank").alias("b"))
@@ -220,8 +220,11 @@ def candidate_pairs(banded: DataFrame) -> DataFrame:
 
 
 def verified_edges(pairs: DataFrame, signed: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """``a, b, similarity`` of the pairs whose signatures agree well enough."""
-    sigs = signed.select("doc_rank", "sig")
+    """``a, b, similarity`` of the pairs whose signatures agree well enough. Only these documents' signatures are shuffled."""
+    pairs = shared_checkpoint(pairs)
+    slot = F.shiftrightunsigned(F.xxhash64("doc_rank"), 64 - _SLOT_BITS)
+    met = _bitmap(pairs.select(F.explode(F.array(F.col("a").cast("bigint"), F.col("b").cast("bigint"))).alias("doc_rank")).select(slot.alias("slot")))
+    sigs = signed.withColumn("doc_rank", F.col("doc_rank").cast("bigint")).where(_marked(slot, met)).select("doc_rank", "sig")
     joined = pairs.join(sigs.select(F.col("doc_rank").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_rank").alias("b"), F.col("sig").alias("sb")), "b")
     return joined.select("a", "b", _agreement("sa", "sb").alias("similarity")).where(F.col("similarity") >= alike)
 
@@ -307,7 +310,8 @@ _SLOT_BITS = 26
 
 def _bitmap(slots: DataFrame) -> Broadcast:
     """A broadcast bitmap of the values of ``slot``; its bits reach the driver as words."""
-    words = slots.distinct().groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas()
+    with shuffles_dropped(slots.sparkSession):
+        words = slots.distinct().groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas()
     packed = np.zeros(1 << (_SLOT_BITS - 6), dtype=np.int64)
     packed[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
     return slots.sparkSession.sparkContext.broadcast(packed.view(np.uint8))
@@ -317,6 +321,16 @@ def _in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return ((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
 
 
+def _marked(slot: Column, bitmap: Broadcast) -> Column:
+    """Whether the bitmap has a slot."""
+
+    @F.pandas_udf(BooleanType())
+    def marked(slots: pd.Series) -> pd.Series:
+        return pd.Series(_in_bitmap(bitmap.value, slots.to_numpy(np.int64)))
+
+    return marked(slot)
+
+
 def least_of_each(rows: DataFrame, key: str) -> DataFrame:
     """One row for each ``key``, with the least value of each other column, as by grouping.
 
@@ -327,13 +341,10 @@ def least_of_each(rows: DataFrame, key: str) -> DataFrame:
     repeated = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(slot.alias("slot"))
     bitmap = _bitmap(repeated)
 
-    @F.pandas_udf(BooleanType())
-    def may_repeat(slots: pd.Series) -> pd.Series:
-        return pd.Series(_in_bitmap(bitmap.value, slots.to_numpy(np.int64)))
-
+    may_repeat = _marked(slot, bitmap)
     others = [c for c in rows.columns if c != key]
-    grouped = rows.where(may_repeat(slot)).groupBy(key).agg(*(F.min(c).alias(c) for c in others))
-    return rows.where(~may_repeat(slot)).select(key, *others).unionByName(grouped)
+    grouped = rows.where(may_repeat).groupBy(key).agg(*(F.min(c).alias(c) for c in others))
+    return rows.where(~may_repeat).select(key, *others).unionByName(grouped)
 
 
 #: Of the running sums of `shingle_set`: a value for each byte, a step and its inverse modulo 2^64, and their powers so far.
@@ -454,7 +465,8 @@ def frequent_shingles(normalized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield often(held)
 
     times = normalized.select("n", "zh").mapInArrow(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
-    top = times.orderBy(F.desc("n"), "g").limit(_MOST_FREQUENT).toPandas()
+    with shuffles_dropped(normalized.sparkSession):
+        top = times.orderBy(F.desc("n"), "g").limit(_MOST_FREQUENT).toPandas()
     values, order = np.unique(top["g"].to_numpy(np.int64).view(np.uint64), return_index=True)
     return values, np.log2(np.maximum(top["n"].to_numpy(np.float64), 1))[order].astype(np.uint8)
 

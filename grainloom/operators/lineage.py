@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run inside leaves no shuffle files behind (from Spark 4.1 on; else they wait for the driver's
+    garbage collection). Only for results that are kept elsewhere."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names. Where it is unset a local master gets a
-    temporary one; a cluster, whose executors could not share it, is an error."""
+    temporary one; a cluster, whose executors could not share it, is an error. The shuffle files that led to it are dropped."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -17,4 +34,5 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='ckpt-')}")
-    return df.checkpoint()
+    with shuffles_dropped(spark):
+        return df.select("*").checkpoint()

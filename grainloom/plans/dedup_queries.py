@@ -59,7 +59,7 @@ def distinct_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signed(spark: SparkSession, d: str) -> DataFrame:
-    return dd.shared_checkpoint(dd.sign_texts(distinct_texts(spark, d), "md5"))
+    return dd.shared_checkpoint(dd.sign_texts(distinct_texts(spark, d), "md5").select("doc_rank", "sig", "keys"))
 
 
 def _jaccard(s: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,8 @@ def _lsh_dups(s: SparkSession, d: str) -> DataFrame:
 
 
 def _precision(s: SparkSession, d: str) -> DataFrame:
-    pr = dd.precision_recall(_lsh_dups(s, d), _exact_dups(s, d))
+    ideal = _exact_dups(s, d)  # first, while no signatures are kept
+    pr = dd.precision_recall(_lsh_dups(s, d), ideal)
     return pr.select("got", "ideal", "common", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 

@@ -146,6 +146,20 @@ def test_exact_pairs_write_less_than_their_shingles(spark):
     assert packed < 9 * 0.22 * 2000 * len(texts)
 
 
+def test_a_checkpoint_leaves_no_shuffle_files(spark):
+    folders = [Path(str(p)) for p in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {p for f in folders for p in f.rglob("shuffle_*.data")}
+    before = files()
+    made = dd.shared_checkpoint(spark.range(0, 10_000, 1, 4).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("n")))
+    assert not files() - before and made.count() == 100
+
+
+def test_only_candidates_signatures_are_joined(spark):
+    signed = dd.sign_documents(docs_frame(spark, ["one two three four five six seven"] * 2 + [f"other text {k}" for k in range(9)]))
+    pairs = spark.createDataFrame([(0, 1), (2, 3)], "a bigint, b bigint")
+    assert dd.verified_edges(pairs, signed).collect() == [(0, 1, 1.0)]
+
+
 def test_least_of_each_key(spark):
     rows = [(k % 50 if k > 40 else None if k < 3 else 1000 + k, f"t{k % 7}", f"s{k % 5}" if k % 3 else None) for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, subset string")
