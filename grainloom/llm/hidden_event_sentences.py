@@ -38,6 +38,9 @@ from grainloom.llm.common import map_batches, small_batches
 #: Rounds of training; hash slots of words before a dot, and of characters and pairs of characters.
 ROUNDS, WORD_SLOTS, CHAR_SLOTS = 4, 1 << 15, 1 << 16
 
+#: Characters that are looked up together, and probabilities that are kept.
+CHARS_AT_ONCE, PAIRS_KEPT = 1 << 18, 1 << 16
+
 #: Characters of an unpunctuated stretch from which its gaps are open, and those in a short sentence.
 UNPUNCTUATED, SHORT = 40, 6
 
@@ -50,17 +53,33 @@ _THAI = "฀-๿"
 _NOBLANK = f"{_HAN}{_KANA}{_THAI}຀-໿ក-៿"
 _MARKS = ".!?…。！？．｡।॥؟۔‼⁇⁈⁉"
 _CLOSE = "\"'”’»」』）)\\]】〉》〕*_"
-_BREAK = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
+#: Patterns that are searched begin with a class of characters: to these the engine skips.
+_BREAK = re.compile(r"[\n\r\v\f\x85  ](?:(?<=\r)\n)?")
 _BULLET = re.compile(r"[ \t]*(?:[-*+•·●○◦‣▪■–—]\s|#{1,6}\s|>\s|\(?\d{1,3}[.)、）]\s?|\(?[a-zA-Z][.)]\s|[一二三四五六七八九十百]{1,3}、|（[一二三四五六七八九十\d]{1,3}）|第[一二三四五六七八九十百\d]{1,4}[章节回篇部卷]\s?|\|)")
+#: What follows a match: white space, and the character behind it.
+_AHEAD = r"(?=(\s*)(\S?))"
+_MARK_TAIL = f"[{_MARKS}]*(?:[ \xa0\u202f](?=[»]))?[{_CLOSE}]*"
+_BLANKS = " \t\u3000\xa0"
 _GAP = re.compile(
-    f"[{_MARKS}]+(?:[   ](?=[»]))?[{_CLOSE}]*"
-    f"|(?<=[{_NOBLANK}”」』）》])[ \t　 ]+(?=[{_NOBLANK}“「『（《])"
+    f"[{_MARKS}{_BLANKS}](?:(?<=[{_MARKS}]){_MARK_TAIL}"
+    f"|(?<=[{_NOBLANK}”」』）》][{_BLANKS}])[{_BLANKS}]*(?=[{_NOBLANK}“「『（《])){_AHEAD}"
 )
+#: The same of a text in ASCII, where no blank is a gap.
+_ASCII_GAP = re.compile(f"[{_MARKS}]{_MARK_TAIL}{_AHEAD}")
 _WORD = re.compile(r"\S+")
 _NUMBER = re.compile(r"[$€£¥]?\d[\d.,:/]*%?$")
 _INITIAL = re.compile(r"(?:[^\W\d_]\.)*[^\W\d_]$")
 _REPORT = re.compile(r"(?:說|说|道|问|問|答|喊|叫|称|稱|嚷|回答|कहा|पूछा|चिल्लाया|बोला|बोली)")
 _DASH = "-–—―"
+_COMMA = ",;:，；：、،؛"
+_OPENING, _LEADING = "\"'“„‘«「『(（[《¿¡", "(（[\"'“„‘«「『¿¡—–-"
+_FOLLOWING = re.compile(f"\\s*([{re.escape(_OPENING)}]*)(\\S?)")
+_BEHIND_DOT = re.compile(f"[{_HAN}{_KANA}“「《]")
+_ADDRESS = re.compile(r"(?:https?:|www\.|/)\S*$")
+_CLOSING = re.compile(r"[。！？．｡!?]|\.(?!\w)")
+_MARK = re.compile(f"[{_MARKS}]")
+_PARTICLE = re.compile("[とっ]")
+_HAN_OR_KANA = re.compile(f"[{_HAN}{_KANA}]")
 
 #: Abbreviations by what follows them. Titles stand before names, references before numbers, inner ones
 #: inside a sentence; the rest may also end one.
@@ -73,7 +92,6 @@ ENDING = frozenset("etc inc ltd corp co jr sr p.m a.m pm am u.s u.k ph.d b.a m.a
 ORDINAL = frozenset("am im der den dem des das die zum beim vom bis ab seit zur in ins und".split())
 
 
-@lru_cache(maxsize=1 << 16)
 def _word_class(token: str, upper: bool) -> str:
     """Class of a word before a single dot; ``upper`` tells whether its last letter is a capital."""
     if _NUMBER.match(token):
@@ -89,44 +107,62 @@ def _word_class(token: str, upper: bool) -> str:
     return "word"
 
 
-def _left(text: str, start: int, mark_at: int, mark: str) -> tuple[str, str]:
-    """Class of the token before the mark, and the token itself, without opening signs, in lower case."""
+@lru_cache(maxsize=1 << 16)
+def _token(word: str, upper: bool) -> tuple[str, str, int]:
+    """Class of a word before a single dot, the word without opening signs, in lower case, and its slot."""
+    token = word.lstrip(_LEADING).lower()
+    return (_word_class(token, upper), token, word_slot(token)) if token else ("none", "", -1)
+
+
+def _left(text: str, start: int, mark_at: int, mark: str) -> tuple[str, str, str, int]:
+    """Class of the mark, class of the token before it, and where the mark is a dot the token and its slot."""
+    kind, single = _mark_kind(mark)
+    if not single and kind[0] != ".":
+        last = text[mark_at - 1] if mark_at > start else " "
+        if last not in _LEADING and not last.isspace():
+            return kind, "other", "", -1
     words = text[max(start, mark_at - 40) : mark_at].rsplit(None, 1)
-    token = words[-1].lstrip("(（[\"'“„‘«「『¿¡—–-").lower() if words else ""
-    if not token:
-        return "none", ""
-    if mark[0] not in ".．｡" or len(mark.rstrip(_CLOSE)) > 1:
-        return "other", token
-    return _word_class(token, text[mark_at - 1].isupper()), token
+    left, token, slot = _token(words[-1], text[mark_at - 1].isupper()) if words else ("none", "", -1)
+    return kind, left if single or not token else "other", token, slot if kind[0] == "." else -1
 
 
-def _right(text: str, at: int, end: int) -> str:
-    """Class of what follows the gap."""
-    m = _WORD.search(text, at, end)
-    if not m:
-        return "nothing"
-    word = m.group()
-    opened = word.lstrip("\"'“„‘«「『(（[《¿¡")
-    c = opened[:1] or word[0]
-    if word[0] in _DASH and len(word) > 1 and word[1].isupper():
-        return "upper"
-    if c in ",;:，；：、،؛" or word[0] in ",;:，；：、،؛)）]」』”»":
+@lru_cache(maxsize=1 << 14)
+def _char_class(c: str, quoted: bool) -> str:
+    """Class of what begins with the character, behind opening signs or without."""
+    if c in _COMMA or not quoted and c in ")）]」』”»":
         return "comma"
-    if c in _DASH:
-        rest = text[m.end() : m.end() + 3].lstrip()
-        return "dash-lower" if not rest or not rest[0].isupper() else "dash-upper"
     if c.isdigit():
         return "digit"
     if c.islower():
         return "lower"
     if c.isupper():
-        return "quote-upper" if opened != word else "upper"
+        return "quote-upper" if quoted else "upper"
     if c.isalpha() or "ऀ" <= c <= "࿿":
-        return "quote-uncased" if opened != word else "uncased"
+        return "quote-uncased" if quoted else "uncased"
     return "sign"
 
 
-@dataclass
+def _right(text: str, at: int, end: int) -> str:
+    """Class of what follows the gap."""
+    m = _FOLLOWING.match(text, at, end)
+    opening, c = m.groups()
+    if not opening and not c:
+        return "nothing"
+    if c and c in _DASH:
+        word = _WORD.match(text, m.start(1), end)
+        if not opening and word.end() > m.end() and text[m.end()].isupper():
+            return "upper"
+        rest = text[word.end() : word.end() + 3].lstrip()
+        return "dash-lower" if not rest or not rest[0].isupper() else "dash-upper"
+    return _char_class(c or opening[0], bool(opening))
+
+
+def _follows(text: str, at: int, end: int, c: str) -> str:
+    """`_right`, if the first character behind the white space is known."""
+    return _right(text, at, end) if c in _OPENING or c in _DASH else _char_class(c, False)
+
+
+@dataclass(slots=True)
 class Gap:
     """A place where a sentence may end: before `end` (exclusive); the next one begins at or after `next`."""
 
@@ -141,9 +177,9 @@ class Gap:
     forced: int = 0  # 1: an end, -1: none
     quote: int = -1  # index of the bracketed stretch it lies in
     key: tuple = ()
+    slot: int = -1  # of the token before a dot
 
 
-@lru_cache(maxsize=4096)
 def _mark_class(mark: str) -> str:
     core = mark.rstrip(_CLOSE + "   ")
     closed = "q" if core != mark else ""
@@ -158,6 +194,12 @@ def _mark_class(mark: str) -> str:
     return ("。" if core[0] in "。।॥۔" else "strong") + closed
 
 
+@lru_cache(maxsize=4096)
+def _mark_kind(mark: str) -> tuple[str, bool]:
+    """Class of a mark, and whether it is a single dot, by which the word before it counts."""
+    return _mark_class(mark), mark[0] in ".．｡" and len(mark.rstrip(_CLOSE)) <= 1
+
+
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "《": "》", "【": "】", "[": "]", "〈": "〉"}
 _SIGNS = re.compile("[\"“”„«»「」『』（）()《》【】\\[\\]〈〉]")
 
@@ -165,6 +207,8 @@ _SIGNS = re.compile("[\"“”„«»「」『』（）()《》【】\\[\\]〈
 def _spans(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
     """Matched outermost quotations and brackets of a stretch."""
     out: list[tuple[int, int, str]] = []
+    if not _SIGNS.search(text, start, end):
+        return out
     stack: list[tuple[str, int]] = []
     inner: list[tuple[int, int, str]] = []
     waiting: Counter = Counter()  # closing signs that something open waits for
@@ -203,50 +247,50 @@ def _spans(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
 def find_gaps(text: str, start: int, end: int, layout: bool = False) -> list[Gap]:
     """The gaps of a stretch at which a sentence may end, with all that is certain about them decided."""
     gaps: list[Gap] = []
-    spans: list[tuple[int, int, str]] | None = None
-    marker = _BULLET.match(text, start, end)
-    body = marker.end() if marker else start
+    body = -1
     closing = None
-    begin = start
-    for m in _GAP.finditer(text, start, end):
+    for m in (_ASCII_GAP if text.isascii() else _GAP).finditer(text, start, end):
         a, b = m.span()
-        mark = m.group()
-        if b >= end or not text[b:end].strip():
+        mark, space, following = m.group(0, 1, 2)
+        if not following:
             break
+        if body < 0:
+            marker = _BULLET.match(text, start, end)
+            body = marker.end() if marker else start
         if b <= body:
             continue
-        blank = not mark.strip()
-        after = text[b]
-        if blank:
+        if mark.isspace():
             if closing is None:
-                closing = bool(re.search(r"[。！？．｡!?]|\.(?!\w)", text[start:end]))
+                closing = bool(_CLOSING.search(text, start, end))
             if closing:
                 continue
-            gaps.append(Gap(a, b, mark, "uncased", text[a - 1], "", _right(text, b, end)))
+            right = _follows(text, b, end, following)
+            gaps.append(Gap(a, b, mark, "uncased", text[a - 1], "", right, key=("blank", "uncased", right)))
             continue
-        if mark == "." or mark == "．":
-            before = text[a - 1] if a > start else " "
-            if not after.isspace():
+        if not space:
+            after = following
+            if mark == "." or mark == "．":
                 # a dot inside a word or number; a sentence may still begin right behind it
-                joined = after.isupper() and (before.islower() or before.isdigit() or before in ")”’") or bool(re.match(f"[{_HAN}{_KANA}“「《]", after)) and not before.isdigit() or before.isalnum() and after in "“«„¿¡—"
-                if joined and before.isascii() and before.islower() and re.search(r"(?:https?:|www\.|/)\S*$", text[max(start, a - 60) : a]):
+                before = text[a - 1] if a > start else " "
+                joined = after.isupper() and (before.islower() or before.isdigit() or before in ")”’") or bool(_BEHIND_DOT.match(after)) and not before.isdigit() or before.isalnum() and after in "“«„¿¡—"
+                if joined and before.isascii() and before.islower() and _ADDRESS.search(text[max(start, a - 60) : a]):
                     joined = False
                 if not joined:
                     continue
-        if mark[0] in "?!" and after.isascii() and (after.islower() or after.isdigit() or after in "=&/"):
-            continue  # inside an address or a piece of code
-        left, token = _left(text, start, a, mark)
-        right = _right(text, b, end)
-        previous = text[max(start, a - len(token) - 20) : a - len(token)].split()
-        g = Gap(b, b, mark, left, token, previous[-1].lower() if previous else "", right)
+            if mark[0] in "?!" and after.isascii() and (after.islower() or after.isdigit() or after in "=&/"):
+                continue  # inside an address or a piece of code
+        kind, left, token, slot = _left(text, start, a, mark)
+        right = _follows(text, b, end, following)
+        g = Gap(b, b, mark, left, token, _before(text, start, a, token) if left == "number" else "", right, key=(kind, left, right), slot=slot)
         # closing signs that open the next quotation belong to it
-        if mark[-1] == '"' and after.isalnum():
+        if not space and mark[-1] == '"' and following.isalnum():
             g.end = g.next = b - 1
         gaps.append(g)
     if not gaps:
         return gaps
     spans = sorted(_spans(text, start, end))
-    k = 0
+    k, seen = 0, -1
+    fresh = goes_on = False
     words_from = start
     for g in gaps:
         g.words = text.count(" ", words_from, g.end) + (g.end - words_from > 14)
@@ -255,49 +299,69 @@ def find_gaps(text: str, start: int, end: int, layout: bool = False) -> list[Gap
             k += 1
         if k < len(spans) and spans[k][0] < g.end <= spans[k][1]:
             a, z, sign = spans[k]
-            inside = g.end < z
-            lead = text[max(start, a - 30) : a].rstrip()
-            fresh = not lead or a <= body or lead[-1] in _MARKS + _CLOSE
-            tail = _right(text, z, end)
-            goes_on = tail in ("lower", "comma", "dash-lower")
-            told = bool(lead) and lead[-1] in ":："
-            if tail == "uncased" and sign not in "(（[" and not told:
-                stop = re.search(f"[{_MARKS}]", text[z:end])
-                clause = text[z : z + stop.start() if stop else end]
-                goes_on = len(clause) <= 12 or bool(_REPORT.search(clause)) or bool(re.match("[とっ]", clause)) or sign in "《〈"
+            if seen < k:
+                seen = k
+                fresh, goes_on = _surroundings(text, start, end, body, spans[k])
             if sign in "《〈【[":
                 g.forced = -1
-            elif inside:
+            elif g.end < z:
                 g.forced = -1 if not fresh or goes_on or sign in "(（" else 0
             elif not fresh and sign in "(（" or goes_on:
                 g.forced = -1
         if g.forced == 0:
             g.forced = _certain(g)
-        g.key = (_mark_class(g.mark), g.left, g.right)
     return gaps
 
 
+def _before(text: str, start: int, mark_at: int, token: str) -> str:
+    """The word before the token at a mark, in lower case."""
+    previous = text[max(start, mark_at - len(token) - 20) : mark_at - len(token)].split()
+    return previous[-1].lower() if previous else ""
+
+
+def _surroundings(text: str, start: int, end: int, body: int, span: tuple[int, int, str]) -> tuple[bool, bool]:
+    """Whether a quotation or bracket begins afresh, and whether the sentence goes on behind it."""
+    a, z, sign = span
+    lead = text[max(start, a - 30) : a].rstrip()
+    fresh = not lead or a <= body or lead[-1] in _MARKS + _CLOSE
+    tail = _right(text, z, end)
+    goes_on = tail in ("lower", "comma", "dash-lower")
+    told = bool(lead) and lead[-1] in ":："
+    if tail == "uncased" and sign not in "(（[" and not told:
+        stop = _MARK.search(text, z, end)
+        clause = text[z : stop.start() if stop else end]
+        goes_on = len(clause) <= 12 or bool(_REPORT.search(clause)) or bool(_PARTICLE.match(clause)) or sign in "《〈"
+    return fresh, goes_on
+
+
 def _certain(g: Gap) -> int:
     """What needs no model: continuations in small letters, references before numbers, titles before names."""
-    kind = _mark_class(g.mark)
-    if g.right == "comma" or g.right == "lower" and kind[0] in ".d":
+    kind, left, right = g.key
+    single = left == "initial" and len(g.token) == 1
+    ordinal = left == "number" and g.before.strip("(") in ORDINAL and bool(re.fullmatch(r"\d{1,2}", g.token))
+    return _decided(kind, left, right, single, ordinal, "(" in g.mark)
+
+
+@lru_cache(maxsize=4096)
+def _decided(kind: str, left: str, right: str, single: bool, ordinal: bool, opens: bool) -> int:
+    if right == "comma" or right == "lower" and kind[0] in ".d":
         return -1
-    if g.right in ("lower", "dash-lower") and kind.endswith("q"):
+    if right in ("lower", "dash-lower") and kind.endswith("q"):
         return -1
     if kind in (".", ".q"):
-        if g.left == "title" and g.right in ("upper", "digit", "lower"):
+        if left == "title" and right in ("upper", "digit", "lower"):
             return -1
-        if g.left == "initial" and g.right == "upper" and len(g.token) == 1:
+        if single and right == "upper":
             return -1
-        if g.left in ("reference", "inner") and g.right in ("digit", "sign", "lower"):
+        if left in ("reference", "inner") and right in ("digit", "sign", "lower"):
             return -1
-        if g.left == "reference" and g.right == "quote-upper" and "(" in g.mark:
+        if left == "reference" and right == "quote-upper" and opens:
             return -1
-        if g.left == "number" and g.before.strip("(") in ORDINAL and re.fullmatch(r"\d{1,2}", g.token) and g.right == "upper":
+        if ordinal and right == "upper":
             return -1
-    if kind in ("strong", "。", "strongq", "。q") and g.right in ("upper", "quote-upper", "uncased", "quote-uncased", "digit"):
+    if kind in ("strong", "。", "strongq", "。q") and right in ("upper", "quote-upper", "uncased", "quote-uncased", "digit"):
         return 1
-    if kind == "dots" and g.right == "uncased":
+    if kind == "dots" and right == "uncased":
         return -1
     return 0
 
@@ -325,6 +389,8 @@ class Model:
     short: float = -2.0  # log odds that a sentence has a single short token
     #: of characters without blanks, by slot: met, ended a sentence, began one (the last two rows are of pairs)
     chars: np.ndarray = field(default_factory=lambda: np.zeros((len(CHAR_TABLES), CHAR_SLOTS)))
+    #: what `pair` has worked out of the finished counts
+    pairs: dict = field(default_factory=dict, repr=False, compare=False)
 
     def odds(self, g: Gap) -> float:
         """Log odds of an end at the gap, by its own context."""
@@ -332,12 +398,22 @@ class Model:
         p = (ends + 0.5) / (n + 1.0)
         ends, n = self.context.get(g.key, (0.0, 0.0))
         p = (ends + 4.0 * p) / (n + 4.0)
-        if g.key[0][0] == "." and g.token:
-            ends, n = self.lexical.get((word_slot(g.token), g.right), (0.0, 0.0))
+        if g.slot >= 0:
+            ends, n = self.lexical.get((g.slot, g.right), (0.0, 0.0))
             p = (ends + 6.0 * p) / (n + 6.0)
         p = min(max(p, 1e-6), 1 - 1e-6)
         return math.log(p / (1 - p))
 
+    def pair(self, g: Gap) -> tuple[float, float]:
+        """Probabilities of an end at the gap and of none, by its own context."""
+        at = (g.key, g.slot)
+        found = self.pairs.get(at)
+        if found is None:
+            if len(self.pairs) >= PAIRS_KEPT:
+                self.pairs.clear()
+            found = self.pairs[at] = _pair(self.odds(g))
+        return found
+
     def char_odds(self, points: np.ndarray) -> np.ndarray:
         """Log odds of an end between each two neighbours of an unpunctuated stretch, by its characters."""
         met, ended, began, pair_met, pair_ended = self.chars
@@ -363,8 +439,9 @@ def posteriors(gaps: list[Gap], model: Model, odds: list[float] | None = None) -
     Two ends with at most one short token between them are tied by the model's odds of such a sentence.
     """
     n = len(gaps)
-    own = [(1e-9, 1.0) if g.forced < 0 else (1.0, 1e-9) if g.forced > 0 else _pair(odds[i] if odds else model.odds(g)) for i, g in enumerate(gaps)]
-    tie = [math.exp(model.short) if i and gaps[i].words <= 1 and gaps[i].key[0] != "blank" and not gaps[i].forced else 1.0 for i in range(n)]
+    own = [(1e-9, 1.0) if g.forced < 0 else (1.0, 1e-9) if g.forced > 0 else _pair(odds[i]) if odds else model.pair(g) for i, g in enumerate(gaps)]
+    short = math.exp(model.short)
+    tie = [short if i and g.words <= 1 and g.key[0] != "blank" and not g.forced else 1.0 for i, g in enumerate(gaps)]
     ahead: list[tuple[float, float]] = []
     e, o = 1.0, 1.0
     for i in range(n):
@@ -392,58 +469,67 @@ def _pair(odds: float) -> tuple[float, float]:
 
 CHAR_TABLES = ("met", "ended", "began", "pair met", "pair ended")
 
-_IN_NOBLANK = re.compile(f"[{_NOBLANK}]")
-_MARKED = re.compile(f"[{_MARKS}]+(?:[   ](?=[»]))?[{_CLOSE}]*")
-_AHEAD = re.compile(r"\s*")
+_MARKED = re.compile(f"[{_MARKS}][{_MARKS}]*(?:[ ](?=[»]))?[{_CLOSE}]*{_AHEAD}")
 
 
-def event_counts(text: str) -> tuple[Counter, Counter]:
+def event_counts(text: str, kinds: Counter | None = None, ended: Counter | None = None) -> tuple[Counter, Counter]:
     """The kinds of gaps at the marks of a text, ``(mark, left, right, slot)``, but for certain ones; and the slots of the
-    words behind which a line ends with a mark."""
-    kinds: Counter = Counter()
-    ended: Counter = Counter()
+    words behind which a line ends with a mark. Both are added to what is given."""
+    kinds = Counter() if kinds is None else kinds
+    ended = Counter() if ended is None else ended
     for m in _MARKED.finditer(text):
-        a, b = m.span()
-        mark, gap = m.group(), _AHEAD.match(text, b)
-        rest = gap.group()
-        if mark in ".．" and not rest and gap.end() < len(text):
+        mark, space, following = m.group(0, 1, 2)
+        if mark in ".．" and not space and following:
             continue
-        left, token = _left(text, max(0, a - 40), a, mark)
-        kind = _mark_class(mark)
-        slot = word_slot(token) if kind[0] == "." and token else -1
-        if gap.end() == len(text) or "\n" in rest or "\r" in rest:
+        a, b = m.span()
+        kind, left, token, slot = _left(text, 0, a, mark)
+        if not following or "\n" in space or "\r" in space:
             ended[slot] += 1
             continue
-        previous = text[max(0, a - len(token) - 20) : a - len(token)].split()
-        g = Gap(b, b, mark, left, token, previous[-1].lower() if previous else "", _right(text, b, len(text)))
+        right = _follows(text, b, len(text), following)
+        g = Gap(b, b, mark, left, token, _before(text, 0, a, token) if left == "number" else "", right, key=(kind, left, right))
         if not _certain(g):
-            kinds[(kind, left, g.right, slot)] += 1
+            kinds[(kind, left, right, slot)] += 1
     return kinds, ended
 
 
-def char_counts(text: str, tables: np.ndarray) -> None:
+def char_counts(texts: list[str], tables: np.ndarray) -> None:
     """Add the characters of scripts without blanks, and where sentences end among them, to the tables of slots."""
-    if text.isascii() or not _IN_NOBLANK.search(text):
-        return
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = np.zeros(len(points) + 1, dtype=bool)
-    for low, high in _NOBLANK_RANGES:
-        inside[:-1] |= (points >= low) & (points <= high)
-    here = np.flatnonzero(inside[:-1])
-    breaks = np.zeros(len(points) + 1, dtype=bool)
-    breaks[:-1] = np.isin(points, _ENDING_POINTS)
+    size, some = 0, []
+    for text in texts:
+        if not text.isascii():
+            some.append(text)
+            size += len(text)
+            if size > CHARS_AT_ONCE:
+                _count_chars(some, tables)
+                size, some = 0, []
+    if some:
+        _count_chars(some, tables)
+
+
+def _count_chars(texts: list[str], tables: np.ndarray) -> None:
+    # a sign of no class between the texts, so that none meets the next
+    points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    classes = _POINT_CLASSES[points]
+    inside, breaks = classes == 1, classes == 2
+    here = np.flatnonzero(inside)
     # a sentence ends before a mark, a line's end or, where there are no marks, a blank; the next begins behind it
-    last = here[~inside[here + 1] & breaks[np.minimum(here + 1, len(points))]]
-    first = here[(here > 0) & ~inside[here - 1] & breaks[here - 1]]
+    last = here[breaks[here + 1]]
+    first = here[(here > 0) & breaks[here - 1]]
     pairs = here[inside[here + 1]]
     two = last[(last > 0)]
     two = two[inside[two - 1]]
     for k, slots in enumerate((_char_slots(points[here]), _char_slots(points[last]), _char_slots(points[first]), _char_slots(points[pairs], points[pairs + 1]), _char_slots(points[two - 1], points[two]))):
-        np.add.at(tables[k], slots, 1)
+        tables[k] += np.bincount(slots, minlength=CHAR_SLOTS)
 
 
 _NOBLANK_RANGES = [(ord(x[0]), ord(x[2])) for x in re.findall(r".-.", _NOBLANK)]
 _ENDING_POINTS = np.array(sorted({ord(c) for c in _MARKS + "\n\r"} | {0x20, 0x3000}), dtype=np.uint32)
+#: Of each code point: 1 in a script without blanks, 2 where a sentence may end before it.
+_POINT_CLASSES = np.zeros(0x110000, dtype=np.uint8)
+_POINT_CLASSES[_ENDING_POINTS] = 2
+for _low, _high in _NOBLANK_RANGES:
+    _POINT_CLASSES[_low : _high + 1] = 1
 
 
 def fit(kinds: dict[tuple, int], ended: dict[int, int], chars: np.ndarray | None = None, rounds: int = ROUNDS) -> Model:
@@ -501,10 +587,8 @@ def train(texts: list[str], rounds: int = ROUNDS) -> Model:
     ended: Counter = Counter()
     chars = np.zeros((len(CHAR_TABLES), CHAR_SLOTS))
     for text in texts:
-        k, e = event_counts(text)
-        kinds.update(k)
-        ended.update(e)
-        char_counts(text, chars)
+        event_counts(text, kinds, ended)
+    char_counts(texts, chars)
     return fit(kinds, ended, chars, rounds)
 
 
@@ -520,11 +604,10 @@ def trained_model(plain: DataFrame) -> Model:
         ended: Counter = Counter()
         chars = np.zeros((len(CHAR_TABLES), CHAR_SLOTS), dtype=np.int64)
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                k, e = event_counts(text)
-                kinds.update(k)
-                ended.update(e)
-                char_counts(text, chars)
+            texts = batch.column(1).to_pylist()
+            for text in texts:
+                event_counts(text, kinds, ended)
+            char_counts(texts, chars)
         rows = [("gap", *k, n) for k, n in kinds.items()] + [("ended", "", "", "", k, n) for k, n in ended.items()]
         table, slot = np.nonzero(chars)
         rows += [("char", CHAR_TABLES[t], "", "", k, n) for t, k, n in zip(table.tolist(), slot.tolist(), chars[table, slot].tolist())]
@@ -542,19 +625,16 @@ def trained_model(plain: DataFrame) -> Model:
 
 def unpunctuated_ends(text: str, start: int, end: int, model: Model) -> list[int]:
     """Where sentences end in a stretch of a script without blanks that has no marks and no blanks either."""
-    if end - start < UNPUNCTUATED or text.isascii() or not _IN_NOBLANK.search(text, start, end):
+    if end - start < UNPUNCTUATED or not _BARE_RUN.fullmatch(text, start, end):
         return []
-    for run in _BARE_RUN.finditer(text, start, end):
-        if run.end() - run.start() == end - start:
-            odds = model.char_odds(np.frombuffer(text[start:end].encode("utf-32-le", "surrogatepass"), np.uint32))
-            open_ = np.flatnonzero(odds > -4.0)
-            gaps = [Gap(start + k + 1, start + k + 1, "", "uncased", "", "", "uncased", key=("bare", "uncased", "uncased")) for k in open_.tolist()]
-            at = start
-            for g in gaps:
-                g.words = 2 if g.end - at > SHORT else 1
-                at = g.end
-            return [g.end for g, p in zip(gaps, posteriors(gaps, model, odds[open_].tolist())) if p > 0.5 and min(g.end - start, end - g.end) > SHORT]
-    return []
+    odds = model.char_odds(np.frombuffer(text[start:end].encode("utf-32-le", "surrogatepass"), np.uint32))
+    open_ = np.flatnonzero(odds > -4.0)
+    gaps = [Gap(start + k + 1, start + k + 1, "", "uncased", "", "", "uncased", key=("bare", "uncased", "uncased")) for k in open_.tolist()]
+    at = start
+    for g in gaps:
+        g.words = 2 if g.end - at > SHORT else 1
+        at = g.end
+    return [g.end for g, p in zip(gaps, posteriors(gaps, model, odds[open_].tolist())) if p > 0.5 and min(g.end - start, end - g.end) > SHORT]
 
 
 _BARE_RUN = re.compile(f"[{_NOBLANK}]+")
@@ -598,7 +678,7 @@ def _wrapped(text: str, paragraphs: list[list[tuple[int, int]]]) -> bool:
         for (a, b), (c, d) in zip(p, p[1:]):
             line = text[a:b].rstrip()
             word = _WORD.search(text, c, d).group()
-            room = 1 if re.match(f"[{_HAN}{_KANA}]", word) else 1 + len(word)
+            room = 1 if _HAN_OR_KANA.match(word) else 1 + len(word)
             fits.append((len(line), len(line) + room))
             unfinished = line[-1] not in _MARKS + "\"”」』»"
             flowing += unfinished and word[0].islower()

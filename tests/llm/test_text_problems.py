@@ -450,6 +450,26 @@ def test_open_quotations_hide_nothing_and_cost_no_time():
     assert time.time() - began < 20
 
 
+def test_time_grows_with_the_text_in_a_script_without_blanks():
+    text = "村里的人都来了。" * 20_000
+    began = time.process_time()
+    model = hidden_event_sentences.train([text])
+    spans = hidden_event_sentences.split_sentences(text, model)
+    assert time.process_time() - began < 10
+    assert spans == [(k, k + 8) for k in range(0, len(text), 8)]
+
+
+def test_characters_of_texts_counted_together_do_not_meet():
+    texts = ["我们来了。", "他们", "\n村里的人 都来了", "ascii. ", "", "Été.", "ก", "了"]
+    slots = (len(hidden_event_sentences.CHAR_TABLES), hidden_event_sentences.CHAR_SLOTS)
+    together, single = np.zeros(slots, dtype=np.int64), np.zeros(slots, dtype=np.int64)
+    hidden_event_sentences.char_counts(texts, together)
+    for text in texts:
+        hidden_event_sentences.char_counts([text], single)
+    assert together.sum(axis=1).tolist() == [15, 2, 2, 9, 2]
+    assert (together == single).all()
+
+
 def test_every_character_is_in_one_sentence():
     rng = random.Random(3)
     pool = ["Dr.", "word", "Word", "。", "汉字", "“", "”", '"', "(", ")", "!", "?", "...", "\n", "\r\n", "\n\n", " ", "  ", "1.", "- ", "3.5", "»", "«", " ", "ก"]
