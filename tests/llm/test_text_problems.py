@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import random
+import re
 import time
 
 import numpy as np
@@ -305,6 +306,43 @@ def test_a_huge_line_is_counted_in_linear_time():
     assert seconds(8000) < 16 * max(seconds(1000), 0.05)
 
 
+def test_lines_counted_together_give_what_each_gives():
+    from dataclasses import asdict
+
+    rng = random.Random(11)
+    common = frozenset(w for (w,) in COMMON if w)
+    pool = ["the ", "of ", "house", "The ", "汉", "的", "了", " ", "  ", "- x", ".", ". ", "1,2,3", ",-3.5%,", "|", "\t", "N/A", "It ends. ", "why?” ", "Ab0=" * 9, "....... 12", "… 7", " > ", "2026-01-01 10:00:00", "名字：值", "。", "_", "İ", "ΑΣ", "Ⅷ", "\u2028", "ไทย", "।", "क", "😀", "$%", "(a) ", ":", "!"]
+    for _ in range(600):
+        lines = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 6))]
+        apart = text_stats.Counts(chars=len(lines) - 1, spaces=len(lines) - 1)
+        for line in lines:
+            # a single line is summarised as a piece, with every measure taken
+            apart.add(text_stats.Chunk.of(line, common).total())
+        assert asdict(text_stats.count_lines("\n".join(lines), common)) == asdict(apart), lines
+
+
+def test_lines_take_few_passes_over_their_text(monkeypatch):
+    common = frozenset(w for (w,) in COMMON if w)
+    scanned = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.match = pattern.match
+            for name in ("findall", "search", "split"):
+                setattr(self, name, lambda text, *at, scan=getattr(pattern, name): scanned.append(len(text)) or scan(text, *at))
+            self.sub = lambda new, text: scanned.append(len(text)) or pattern.sub(new, text)
+
+    for name, value in list(vars(text_stats).items()):
+        if isinstance(value, re.Pattern):
+            monkeypatch.setattr(text_stats, name, Counted(value))
+    for line in (PROSE, "Никто не знал, что дом старый, и река текла мимо.", "- item, with no end", "Notes on the loom"):
+        scanned.clear()
+        text = f"{line}\n" * 200
+        text_stats.Chunk.of(text, common).total()
+        # all measures of each line take seven passes or more
+        assert sum(scanned) < 5 * len(text), line
+
+
 # -- code -------------------------------------------------------------------------------------------------------------
 
 HAND = "import os\n\n# the report below is generated by the nightly job\ndef carry(row, limit=3):\n    total = limit\n    for x in row:\n        total += x\n    return total\n"
